@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_rules, sharding, url_filter
+from tidemark.llm import host_rules, mixing, packing, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_host_rules": host_rules.op2_host_rules,
     "op5_sharding": sharding.op5_sharding,
+    "op7_packing": packing.op7_packing,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
