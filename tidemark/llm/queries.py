@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_rules, mixing, packing, sharding, url_filter
+from tidemark.llm import host_rules, langid, media, mixing, packing, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_host_rules": host_rules.op2_host_rules,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
+    "op6_simhash": simhash.op6_simhash,
     "op7_packing": packing.op7_packing,
+    "op8_langid": langid.op8_langid,
+    "op9_media": media.op9_media,
     "op10_mixing": mixing.op10_mixing,
 }
 
