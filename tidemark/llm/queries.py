@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_rules, langid, media, mixing, packing, sharding, simhash, toxicity, url_filter
+from tidemark.llm import host_rules, langid, media, mixing, packing, sharding, simhash, substrings, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_host_rules": host_rules.op2_host_rules,
+    "op3_substrings": substrings.op3_substrings,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,
     "op6_simhash": simhash.op6_simhash,
