@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,11 @@ END = 2
 #: Pieces that one group packs together, about; groups are dealt by hash.
 GROUP_PIECES = 16_384
 #: Encoded chunks that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
-#: A blank before a visible character always begins a token, so texts can be encoded chunk by chunk.
-_CHUNKS = re.compile(r" (?=\S)").split
 _encoders: dict[str, ChunkEncoder] = {}
+#: Where a token begins whatever stands before: at a blank or line feed before a visible character.
+_CHUNKS = re.compile(r"(?=[ \n]\S)").split
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,7 +38,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class ChunkEncoder:
-    """Token ids as little-endian bytes of 32-bit numbers; chunks met before come from memory."""
+    """Token ids as little-endian bytes of 32-bit numbers. Texts are encoded chunk by chunk, and chunks met before come from memory."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,37 +46,49 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        #: By what stands before a chunk's visible characters.
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            first, *more = _CHUNKS(text)
-            parts.append((first, more))
-        known = self.known
-        new = {" " + c for _, more in parts for c in more if c not in known}
-        fresh: dict[str, bytes] = {}
-        chunks = list(new)
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(chunks), 20_000):
-            some = chunks[at : at + 20_000]
-            for chunk, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[chunk[1:]] = np.array(x.ids, dtype="<u4").tobytes()
-        if len(known) < REMEMBERED:
-            known.update(fresh)
-            look = known.__getitem__
-        else:
-            both = _Both(fresh)
-            both.known = known
-            look = both.__getitem__
-        starts = self.tokenizer.encode_batch_fast([first for first, _ in parts], add_special_tokens=False)
-        return [np.array(s.ids, dtype="<u4").tobytes() + b"".join(map(look, more)) for s, (_, more) in zip(starts, parts)]
-
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(chunks[at : at + 20_000], add_special_tokens=False)]
+        return out
 
-class _Both(dict):
-    known: dict[str, bytes]
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.known[chunk]
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        blank, line = self.known[" "], self.known["\n"]
+        plans: list[tuple[str, list[list[str]]] | None] = []
+        new: dict[str, set[str]] = {" ": set(), "\n": set()}
+        for text in texts:
+            lines = [x.split(" ") for x in text.split("\n")]
+            missing = {w for parts in lines for w in parts[1:] if w not in blank}, {p[0] for p in lines[1:] if p[0] not in line}
+            if any(not w or w[0].isspace() for some in missing for w in some):
+                plans.append(None)  # white space in a row: cut at safe places only
+                continue
+            new[" "] |= missing[0]
+            new["\n"] |= missing[1]
+            plans.append((lines[0][0], lines))
+        look = {}
+        for before, words in new.items():
+            some = list(words)
+            fresh = dict(zip(some, self.ids([before + w for w in some])))
+            if len(self.known[before]) < REMEMBERED:
+                self.known[before].update(fresh)
+                fresh = {}
+            look[before] = (lambda w, f=fresh, k=self.known[before]: f[w] if w in f else k[w]) if fresh else self.known[before].__getitem__
+        starts = iter(self.ids([p[0] for p in plans if p]))
+        out = []
+        for text, plan in zip(texts, plans):
+            if plan is None:
+                out.append(b"".join(self.ids(_CHUNKS(text))))
+                continue
+            first, *more = plan[1]
+            held = [next(starts), *map(look[" "], first[1:])]
+            for parts in more:
+                held.append(look["\n"](parts[0]))
+                held += map(look[" "], parts[1:])
+            out.append(b"".join(held))
+        return out
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -123,32 +136,39 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, ...] = CAPACITY, weights:
     (rule "norm") or the greatest weighted dot product of r and d ("dot"), all in shares of the capacity. If none has room, it opens a bin.
     """
     lengths = np.asarray(lengths, dtype=np.int64)
-    cap = np.asarray(capacity, dtype=np.float64)
-    w = np.asarray(weights, dtype=np.float64)
     order = np.argsort(-lengths, kind="stable")
-    demand = np.stack([lengths, np.ones_like(lengths), lengths * lengths], axis=1) / cap
-    if len(demand) and (demand > 1).any():
+    demand = np.stack([lengths, np.ones_like(lengths), lengths * lengths], axis=1) / np.asarray(capacity, dtype=np.float64)
+    if (demand > 1).any():
         raise ValueError("a piece is larger than a sequence")
     bins = np.empty(len(lengths), dtype=np.int64)
-    residual = np.empty((max(16, len(lengths)), 3))
-    number = np.empty(len(residual), dtype=np.int64)
+    residual = [np.empty(max(16, len(lengths))) for _ in capacity]
+    number = np.empty(len(residual[0]), dtype=np.int64)
     n_open, n_bins = 0, 0
-    smallest = demand[order[-1]] if len(order) else None
-    for step, i in enumerate(order):
-        d = demand[i]
-        if step % 256 == 255:  # bins that hold no more piece are closed
-            keep = (residual[:n_open] >= smallest - 1e-12).all(axis=1)
+    smallest = demand[order[-1]] - 1e-12 if len(order) else None
+    for step, i in enumerate(order.tolist()):
+        d = demand[i].tolist()
+        if step % 128 == 127:  # bins that hold no more piece are closed
+            keep = np.logical_and.reduce([r[:n_open] >= s for r, s in zip(residual, smallest)])
             n = int(keep.sum())
-            residual[:n], number[:n], n_open = residual[:n_open][keep], number[:n_open][keep], n
-        r = residual[:n_open]
-        fits = np.flatnonzero((r >= d - 1e-12).all(axis=1))
+            for x in (*residual, number):
+                x[:n] = x[:n_open][keep]
+            n_open = n
+        fits = np.flatnonzero(residual[0][:n_open] >= d[0] - 1e-12)
+        for r, x in zip(residual[1:], d[1:]):
+            fits = fits[r[fits] >= x - 1e-12]
         if len(fits):
-            left = r[fits] - d
-            at = fits[np.argmin((left * left) @ w)] if rule == "norm" else fits[np.argmax((r[fits] * d) @ w)]
-            residual[at] -= d
+            left = [r[fits] for r in residual]
+            if rule == "norm":
+                at = fits[np.argmin(sum(w * (r - x) ** 2 for w, r, x in zip(weights, left, d)))]
+            else:
+                at = fits[np.argmax(sum(w * x * r for w, r, x in zip(weights, left, d)))]
+            for r, x in zip(residual, d):
+                r[at] -= x
             bins[i] = number[at]
         else:
-            residual[n_open], number[n_open], bins[i] = 1.0 - d, n_bins, n_bins
+            for r, x in zip(residual, d):
+                r[n_open] = 1.0 - x
+            number[n_open] = bins[i] = n_bins
             n_open, n_bins = n_open + 1, n_bins + 1
     return bins
 
