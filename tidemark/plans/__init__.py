@@ -1,6 +1,6 @@
 """Named queries; importing this package registers them all."""
 
-from tidemark.plans import analysis  # noqa: F401
+from tidemark.plans import analysis, resampling  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
