@@ -45,14 +45,27 @@ def subwords(raw: np.ndarray) -> Iterator[np.ndarray]:
     yield np.where(inside[:-1] | inside[1:], 0, np.maximum((four * np.uint32(2246822519)) >> shift & mask, 1))
 
 
+def parts(text: str) -> Iterator[bytes]:
+    """A whole text, normalized, in parts of about BLOCK bytes that begin and end with a blank, so no subword is lost or made between them; only words longer than that are cut."""
+    raw = normal(text)
+    at = 0
+    while len(raw) - at > BLOCK:
+        end = raw.rfind(b" ", at + 1, at + BLOCK)
+        if end < 0:
+            yield b" " + raw[at : at + BLOCK].strip() + b" "
+            at += BLOCK
+        else:
+            yield raw[at : end + 1]
+            at = end
+    yield b" " + raw[at:] + b"  "
+
+
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a whole text and their shares."""
-    raw = np.frombuffer(normal(text), dtype=np.uint8)
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for at in range(0, len(raw), BLOCK):
-        part = raw[at : at + BLOCK + 3]
-        for k, h in enumerate(subwords(part)) if len(part) > 3 else ():
-            counts += np.bincount(h[: BLOCK if len(raw) > at + BLOCK else None], minlength=BUCKETS)
+    for part in parts(text):
+        for h in subwords(np.frombuffer(part, dtype=np.uint8)) if len(part) > 3 else ():
+            counts += np.bincount(h, minlength=BUCKETS)
     counts[0] = 0
     at = np.flatnonzero(counts)
     return at.astype(np.int32), (counts[at] / max(1, counts.sum())).astype(np.float32)
@@ -85,9 +98,7 @@ class Model:
             held, size = [], 0
 
         for i, text in enumerate(texts):
-            raw = normal(text)
-            for at in range(0, max(1, len(raw) - 3), BLOCK):
-                part = raw[at : at + BLOCK + 3]
+            for part in parts(text):
                 held.append((i, part if len(part) > 3 else part + b"    "))
                 size += len(part)
                 if size >= BLOCK:
