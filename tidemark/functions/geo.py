@@ -34,7 +34,7 @@ def cross(a: Vector, b: Vector) -> Vector:
 
 
 def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def latitude(v: Vector) -> Column:

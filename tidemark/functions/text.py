@@ -68,11 +68,11 @@ def quality(text: Column) -> Column:
     """From 0 to 1: shares of letters, white space and characters that are neither, and the mean length of the first 200 lines."""
     total = F.nullif(F.length(text), F.lit(0)).cast("double")
     share = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / total
-    lines = F.slice(F.filter(F.transform(F.split(text, r"\R"), F.trim), lambda x: x != ""), 1, 200)
+    lines = F.slice(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != ""), 1, 200)
     mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.size(lines), F.lit(1))
     line_score = F.when(mean.between(25, 180), 1.0).otherwise(0.6)
     score = share(r"\p{L}") * 0.45 + F.least(share(r"\s"), F.lit(0.25)) * 1.2 + (1 - F.least(share("[^\\x00-\\x7e°–—©]"), F.lit(0.2))) * 0.25 + line_score * 0.1
-    return F.coalesce(F.bround(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 3), F.lit(0.0))
+    return F.when(total > 0, F.bround(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 3)).otherwise(0.0)
 
 
 def keywords(text: Column, words: list[str]) -> Column:
@@ -89,7 +89,7 @@ def in_context(text: Column, phrase: str, before: int = 150, after: int = 450, m
 
 def title(text: Column) -> Column:
     """The first line that is not blank."""
-    return F.get(F.filter(F.transform(F.split(text, r"\R"), F.trim), lambda x: x != ""), 0)
+    return F.get(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != ""), 0)
 
 
 def html_text(html: Column) -> Column:

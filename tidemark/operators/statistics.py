@@ -38,8 +38,8 @@ def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) ->
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """For each group n and the correlation of average ranks; null where either is constant."""
     ranked = average_rank(average_rank(df.select(*by, x, y).dropna(subset=[x, y]), x, "_rx", by), y, "_ry", by)
-    spread = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(spread, F.corr("_rx", "_ry")).alias("spearman"))
+    spread = F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), (F.covar_pop("_rx", "_ry") / spread).alias("spearman"))
 
 
 def gamma(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -64,7 +64,7 @@ def doc_quality(spark, d):
 @query("title_first_line", "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, l[1] AS title, CAST(len(l) AS INTEGER) AS n_lines FROM l")
 def title_first_line(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", tx.title(t).alias("title"), F.size(F.filter(F.transform(F.split(t, r"\R"), F.trim), lambda x: x != "")).alias("n_lines"))
+    return table(spark, d, "documents").select("doc_id", tx.title(t).alias("title"), F.size(F.filter(F.transform(F.split(t, r"\R"), lambda x: F.trim(x)), lambda x: x != "")).alias("n_lines"))
 
 
 @query("kwic", f"WITH {_NOTE_SQL}, p AS (SELECT doc_id, note, strpos(lower(note), 'submerged beach') AS pos FROM notes) SELECT doc_id, trim(regexp_replace(substr(note, greatest(pos - 40, 1), least(60, pos + 19)), '\\s+', ' ', 'g')) AS quote FROM p WHERE pos > 0")

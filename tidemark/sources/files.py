@@ -84,7 +84,7 @@ def page_blocks(df: DataFrame, items: str = "items") -> DataFrame:
     each = df.select("source_id", F.explode(items).alias("i")).filter(F.col("i.type").isin("image", "table", "chart"))
     body = collapse(F.regexp_replace(F.regexp_replace(F.coalesce("i.table_body", F.lit("")), r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | "), r"<[^>]*>", " "))
     parts = F.array(F.concat_ws("\n", "i.captions"), F.concat_ws("\n", "i.footnotes"), body, F.coalesce("i.text", F.lit("")))
-    text = F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), "\n")
+    text = F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), "\n")
     return each.select("source_id", (F.col("i.page_idx") + 1).alias("page"), F.col("i.type").alias("source"), F.substring(text, 1, 120).alias("cue"), text.alias("text")).filter("text <> ''")
 
 
@@ -130,7 +130,7 @@ def to_file_row(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     out = {}
     for n in RECORD_FILE.names:
-        if n in ("elevation_m", "age_ka") and kinds[n].startswith("struct"):
+        if n in ("elevation_m", "age_ka") and kinds.get(n, "").startswith("struct"):
             out[n] = _union_json(F.col(n))
         elif n in kinds and kinds[n].startswith(("struct", "array", "map")):
             out[n] = F.to_json(n)
