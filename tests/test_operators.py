@@ -293,3 +293,38 @@ def test_entry_without_training_data(spark, sf, tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'best_plane' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_extraction(spark):
+    from tidemark.operators import extraction as ex
+
+    s = one(spark, ex.depth_summary(F.lit("at a depth of 20 m, a terrace 30–40 m bmsl and the 212 m isobath; at 1, 2 and ~3")))
+    assert (s["mid"], s["low"], s["high"]) == (20.5, -40.0, -1.0)
+    assert one(spark, ex.depth_summary(F.lit("nothing"))) is None and one(spark, ex.depth_summary(F.lit("guyot summit depth of 1,250 m")))["low"] == -1250.0
+    a = one(spark, ex.age_from_text(F.lit("12-14,000 years")))
+    assert (a["num"], a["low"], a["high"]) == (None, 12.0, 14.0) and one(spark, ex.age_from_text(F.lit("9,500 BP")))["num"] == 9.5
+    assert one(spark, ex.beach_name(F.lit("Lower beach (west)."))) == "Lower beach" and one(spark, ex.beach_depth(F.lit("10–12 fathoms"))) == 20.12
+    assert one(spark, ex.salvage_json(F.lit('ok {"a": {"b": 1}} end'))) == '{"a": {"b": 1}}' and one(spark, ex.salvage_json(F.lit("{bad"))) is None
+    assert one(spark, ex.strip_controls(F.lit("\x1b[31mred\x1b[0m"))) == "red" and one(spark, ex.number_list(F.lit("0.1, 1,x,"))) == [0.1, 1.0, None]
+    assert one(spark, ex.elapsed(F.lit(59))) == "00:59" and one(spark, ex.elapsed(F.lit(3725))) == "1:02:05"
+    assert one(spark, ex.author_list(F.array(*map(F.lit, "abcd")))) == "a et al." and one(spark, ex.author_list(F.array(F.lit("a"), F.lit("b")))) == "a; b"
+    assert spark.createDataFrame([('{"a": ["x", {"b": "y"}], "c": 1}',), ("{",), (None,)], "t string").select(ex.json_strings("t").alias("s")).collect() == [(["x", "y"],), ([],), ([],)]
+
+
+def test_tables_sections_and_answers(spark):
+    from tidemark.operators import extraction as ex
+
+    html = "<table><tr><th>Group</th><th>Age (yrs B.P.)</th></tr><tr><td>A</td><td>100</td></tr><tr><td> </td><td>200</td><td>extra</td></tr></table>"
+    t = ex.table_records(spark.createDataFrame([(1, html), (2, "none")], "page_id int, html string"), "page_id")
+    assert [(r["row"], r["cells"]) for r in t.orderBy("row").collect()] == [(1, {"group": "A", "age yrs bp": "100"}), (2, {"group": "", "age yrs bp": "200"})]
+    flat = t.select("page_id", "row", F.col("cells")["group"].alias("g"))
+    assert [r["g"] for r in ex.carried(flat, "page_id", "row", ["g"]).orderBy("row").collect()] == ["A", "A"]
+    d = spark.createDataFrame([(1, "intro\nmore\n\n# Head #\nbody one\n\nbody  two"), (2, ""), (3, None)], "doc_id int, text string")
+    got = [tuple(r) for r in ex.sectioned_paragraphs(d, "doc_id").orderBy("n").collect()]
+    assert got == [(1, 1, None, "intro more"), (1, 2, "Head", "body one"), (1, 3, "Head", "body two")]
+    answers = {"intro": 'noise {"candidate_records": [{"site_name": "s", "latitude": 95}, {"site_name": "t", "latitude": 5.5, "coordinate_source": "guess"}]} noise'}
+    ask = lambda text: answers.get((text or "").split("\n")[0])
+    got = ex.interpreted(d, "doc_id", "text", ask).collect()
+    assert [(r["doc_id"], r["site_name"], r["latitude"], r["coordinate_source"]) for r in got] == [(1, "t", 5.5, "inferred_text")]
+    refs = spark.createDataFrame([(1, "doi: 10.1000/abc. text 10.1000/zzz\nReferences\n" + "10.1000/zzz " * 3)], "doc_id int, text string")
+    assert ex.ranked_dois(refs, "doc_id").first()["doi"] == "10.1000/abc"
