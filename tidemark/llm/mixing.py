@@ -140,4 +140,56 @@ def repeat_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's target and the words that the mix takes of it."""
-    return mix(documents(spark, sf_dir))
+    return mix(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
+
+
+SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), items AS (
+    SELECT doc_id, source, size, count(*) AS n_rows FROM docs GROUP BY doc_id, source, size
+), src AS (
+    SELECT source, CAST(sum(size * n_rows) AS DOUBLE) AS s, sum(CASE WHEN size > 0 THEN 1 ELSE 0 END) AS n, avg(CASE WHEN size > 0 THEN pow(size, 0.5) END) AS mean FROM items GROUP BY source
+), weighed AS (
+    SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM src
+), filled AS (
+    SELECT *, 2.0 * s AS cap, row_number() OVER o AS j, 1.5 * sum(s) OVER () AS total,
+        coalesce(sum(2.0 * s) OVER (ORDER BY 2.0 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken_before,
+        sum(w) OVER (ORDER BY 2.0 * s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+    FROM weighed WINDOW o AS (ORDER BY 2.0 * s / w, source NULLS LAST)
+), level AS (
+    SELECT arg_min((total - taken_before) / open_weight, j) AS level FROM filled WHERE (total - taken_before) / open_weight * w <= cap
+), aims AS (
+    SELECT source, s, n, mean, least(cap, level * w) AS target FROM filled, level
+), parts AS (
+    SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole, pow(2, ceil(log2(greatest(1.0::DOUBLE, least(65536.0::DOUBLE, n / 128.0::DOUBLE))))) AS buckets FROM aims
+), draws AS (
+    SELECT i.*, p.s, p.target, p.whole, p.buckets, greatest(0, p.target - p.whole * p.s) AS rest, i.size * i.n_rows AS words,
+        (CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u, p.mean
+    FROM items i JOIN parts p ON i.source IS NOT DISTINCT FROM p.source
+), odds AS (
+    SELECT *, (u / (1 - u)) / greatest(pow(size, 0.5) / mean, 1e-9) AS q FROM draws
+), ranked AS (
+    SELECT *, CASE WHEN size > 0 THEN q / (1 + q) ELSE 1.0 END AS rnk FROM odds
+), bucketed AS (
+    SELECT *, floor(rnk * buckets) AS bucket FROM ranked
+), sums AS (
+    SELECT source, rest, bucket, sum(sum(words)) OVER (PARTITION BY source, rest ORDER BY bucket) AS upto FROM bucketed GROUP BY source, rest, bucket
+), edge AS (
+    SELECT source, min(CASE WHEN upto > rest THEN bucket END) AS last, coalesce(max(CASE WHEN upto <= rest THEN upto END), 0) AS before FROM sums GROUP BY source
+), placed AS (
+    SELECT b.*, e.last, e.before, row_number() OVER (PARTITION BY b.source, b.bucket ORDER BY b.rnk, coalesce(CAST(b.doc_id AS VARCHAR), '')) AS k FROM bucketed b JOIN edge e ON b.source IS NOT DISTINCT FROM e.source
+), fill AS (
+    SELECT source, k, words, rest - before - CASE WHEN words > 0 AND words <= rest - before THEN words ELSE 0 END AS gap, words > 0 AND words <= rest - before AS extra FROM placed WHERE bucket = last AND k = 1
+    UNION ALL
+    SELECT p.source, p.k, p.words, f.gap - CASE WHEN p.words > 0 AND p.words <= f.gap THEN p.words ELSE 0 END, p.words > 0 AND p.words <= f.gap
+    FROM fill f JOIN placed p ON f.source IS NOT DISTINCT FROM p.source AND p.bucket = p.last AND p.k = f.k + 1
+), ends AS (
+    SELECT source, min(gap) AS gap FROM fill GROUP BY source
+), nearer AS (
+    SELECT f.source, arg_min(k, words * 1000000000 + k) AS k FROM fill f JOIN ends e ON f.source IS NOT DISTINCT FROM e.source WHERE NOT extra AND words > 0 GROUP BY f.source, e.gap HAVING min(words) < 2 * e.gap
+), decided AS (
+    SELECT p.*, CASE WHEN p.last IS NULL OR p.bucket < p.last THEN 1 WHEN p.bucket > p.last THEN 0 WHEN f.extra OR n.k IS NOT NULL THEN 1 ELSE 0 END AS extra
+    FROM placed p LEFT JOIN fill f ON p.source IS NOT DISTINCT FROM f.source AND p.bucket = p.last AND p.k = f.k LEFT JOIN nearer n ON p.source IS NOT DISTINCT FROM n.source AND p.bucket = p.last AND p.k = n.k
+)
+SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, round(target, 6) AS target, CAST(size * (whole + extra) AS BIGINT) AS taken FROM (SELECT *, unnest(range(n_rows)) FROM decided)"""

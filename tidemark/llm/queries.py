@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op1_url_filter": url_filter.SQL,
     "op2_host_rules": host_rules.SQL,
     "op5_sharding": sharding.sql(),
+    "op10_mixing": mixing.SQL,
 }
