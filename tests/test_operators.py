@@ -328,3 +328,28 @@ def test_tables_sections_and_answers(spark):
     assert [(r["doc_id"], r["site_name"], r["latitude"], r["coordinate_source"]) for r in got] == [(1, "t", 5.5, "inferred_text")]
     refs = spark.createDataFrame([(1, "doi: 10.1000/abc. text 10.1000/zzz\nReferences\n" + "10.1000/zzz " * 3)], "doc_id int, text string")
     assert ex.ranked_dois(refs, "doc_id").first()["doi"] == "10.1000/abc"
+
+
+def test_interpretation(spark):
+    from tidemark.operators import interpret as it
+
+    docs = spark.createDataFrame([("a", "Raised beach near Port Elin", "An ancient beach at 30 feet.\n\nThe submerged forest lies at a depth of 12 m.\n\nNothing else."), ("b", "Plain", "A guyot at 10.50, 20.25 with summit depth of 900 m and a marine terrace"), ("c", None, None)], "source_id string, title string, text string")
+    places = spark.createDataFrame([("Port Elin", 1.0, 2.0)], "query string, lat double, lon double")
+    got = {(r["source_id"], r["indicator_type"]): r for r in it.document_records(docs, places).collect()}
+    assert set(got) == {("a", "raised_beach"), ("b", "marine_terrace"), ("b", "guyot_or_drowned_platform")}
+    assert got["a", "raised_beach"]["coordinate_source"] == "inferred_text" and got["b", "marine_terrace"]["latitude"] == 10.5
+    c = {(r["source_id"], r["kind"]): r["elevation_m"] for r in it.clusters(docs).collect()}
+    assert c[("a", "raised_beach")] == 9.14 and c[("a", "submerged_forest")] == -12.0 and c[("b", "guyot")] == -900.0
+    assert one(spark, it.labelled_lines(F.lit("a\nDepth: 3\nx depth"), ["depth"])) == ["Depth: 3", "x depth"]
+    f = spark.createDataFrame([("s", "Reef A\ntext one\n\nother\n\nReef B. two")], "source_id string, text string")
+    assert [r["name"] for r in it.feature_paragraphs(f, ["Reef A", "Reef B"]).collect()] == ["Reef A", "Reef B"]
+    r = spark.createDataFrame([(1, 5.0, 6.0, "reported"), (2, 7.0, 8.0, "reported")], "id int, latitude double, longitude double, coordinate_source string")
+    m = spark.createDataFrame([(1, 50.0, 60.0)], "id int, lat double, lon double")
+    g = {x["id"]: x for x in it.with_geocodes(r, m, True).collect()}
+    assert (g[1]["latitude"], g[1]["coordinate_source"]) == (50.0, "inferred_map") and g[2]["latitude"] is None and g[2]["longitude"] is None
+    assert it.with_geocodes(r, m, False).filter("latitude IS NULL").count() == 0
+    x = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 0.0, 0.0, 5.0), (3, 1.0, 0.0, 5.0)], "seq int, axis_lat double, axis_lon double, angle_deg double")
+    u = it.candidate_union([("x", x), ("no", r), ("y", x.drop("angle_deg"))], 2)
+    assert sorted((q["file"], q["axis_lat"]) for q in u.collect()) == [("x", 0.0), ("y", 0.0)]
+    e = it.evidence_union([spark.createDataFrame([("k", 1)], "id string, v int"), spark.createDataFrame([("k", 2, "z")], "id string, v int, w string")])
+    assert [tuple(q) for q in e.select("id", "v", "w").collect()] == [("k", 2, "z")]

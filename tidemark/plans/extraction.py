@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import extraction as ex
-from tidemark.plans.evidence import _NOTE_SQL, _RECORD_SQL, notes, raw_records
+from tidemark.operators import interpret
+from tidemark.plans.evidence import _ATLAS_SQL, _NOTE_SQL, _RECORD_SQL, atlas_rows, notes, raw_records
 from tidemark.plans.registry import query, table
+from tidemark.sources import atlas
 
 
 @query("depth_ranges", f"WITH {_NOTE_SQL} SELECT doc_id, doc_id % 90 + 0.5::DOUBLE AS mid, -(doc_id % 90 + 0.5::DOUBLE) AS low FROM notes")
@@ -82,3 +84,22 @@ def json_strings(spark, d):
     doc = F.to_json(F.struct(F.struct("event_type", "value").alias("a"), F.array("props", F.lit(None)).alias("b")))
     e = table(spark, d, "events").select("event_id", ex.json_strings(doc).alias("s"))
     return e.select("event_id", F.get("s", 0).alias("first_string"), F.size("s").cast("long").alias("n"))
+
+
+@query("document_records", f"WITH {_NOTE_SQL} SELECT CAST(doc_id AS VARCHAR) AS source_id, 'submerged_beach' AS indicator_type, -(doc_id % 90 + 0.5::DOUBLE) AS elevation_m, abs(doc_id % 120 - 10) + 0.125::DOUBLE AS latitude FROM notes WHERE length(note) <= 20000 AND abs(doc_id % 120 - 10) < 90 AND doc_id % 360 BETWEEN 1 AND 358")
+def document_records(spark, d):
+    n = notes(spark, d).filter("length(note) <= 20000").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("Report off Cape Nord").alias("title"), F.col("note").alias("text"))
+    r = interpret.document_records(n).filter("CAST(source_id AS BIGINT) % 360 < 359 AND abs(CAST(source_id AS BIGINT) % 120 - 10) < 90")
+    return r.select("source_id", "indicator_type", "elevation_m", "latitude")
+
+
+@query("evidence_clusters", f"WITH {_NOTE_SQL} SELECT CAST(doc_id AS VARCHAR) AS source_id, 'landform' AS kind, -(doc_id % 90 + 0.5::DOUBLE) AS elevation_m FROM notes")
+def evidence_clusters(spark, d):
+    n = notes(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), F.col("note").alias("text"))
+    return interpret.promotable(interpret.clusters(n)).select("source_id", "kind", "elevation_m")
+
+
+@query("atlas_confidence", f"WITH {_ATLAS_SQL} SELECT CAST(k AS VARCHAR) AS sample_id, round_even(greatest(0, least(1, 0.6::DOUBLE * 0.75 + (k % 6 + k % 5) / 10.0::DOUBLE * 0.25 + CASE WHEN k % 2 = 0 THEN 0.08::DOUBLE ELSE 0 END - CASE WHEN record_class <> 'sea_level_indicator' THEN 0.05::DOUBLE ELSE 0 END)), 3) AS confidence FROM q WHERE reason IS NULL")
+def atlas_confidence(spark, d):
+    rows = atlas_rows(spark, d).filter(atlas.skip_reason().isNull()).withColumn("Accepted by other study?", F.lit(""))
+    return rows.select(atlas.text("WALIS_ID").alias("sample_id"), atlas.confidence(F.lit(0.6)).alias("confidence"))

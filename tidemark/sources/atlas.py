@@ -109,3 +109,30 @@ def canonical(df: DataFrame, quality_mode: str = "all", include_limiting: bool =
 def skipped(df: DataFrame, quality_mode: str = "all", include_limiting: bool = True) -> DataFrame:
     """Rows left out, by reason, most first."""
     return df.select(skip_reason(quality_mode, include_limiting).alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def composed(separator: str, *names: str) -> Column:
+    """The texts of the columns that are not blank, joined."""
+    return F.concat_ws(separator, *(F.nullif(text(n), F.lit("")) for n in names))
+
+
+def texts() -> dict[str, Column]:
+    """Description, location, site and notes of a row."""
+    blank = lambda n: F.coalesce(F.nullif(text(n), F.lit("")), F.lit("blank"))
+    notes = F.format_string("RSL quality %s, age quality %s. Accepted: %s; by another study: %s.", *(blank(n) for n in ("Quality of RSL information", "Quality of age information", "Originally accepted?", "Accepted by other study?")))
+    return {
+        "description": composed("; ", "RSL Indicator", "RSL indicator description"),
+        "location_name": composed(", ", "Site", "Subsite", "Region", "Nation"),
+        "site_name": F.coalesce(F.nullif(composed(" - ", "Site", "Subsite"), F.lit("")), text("WALIS_ID")),
+        "notes": notes,
+    }
+
+
+def confidence(base: Column) -> Column:
+    """A blend of a record's completeness with the row's quality marks and acceptance, less a little for limiting points."""
+    mark = lambda n: F.coalesce(F.floor(value(n)), F.lit(0))
+    yes = lambda n: F.lower(text(n)) == "yes"
+    # Weights of the blend.
+    total = base * 0.75 + (mark("Quality of RSL information") + mark("Quality of age information")) / 10.0 * 0.25
+    total = total + F.when(yes("Originally accepted?"), 0.08).otherwise(0.0) + F.when(yes("Accepted by other study?"), 0.03).otherwise(0.0) - F.when(record_class() != "sea_level_indicator", 0.05).otherwise(0.0)
+    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3)
