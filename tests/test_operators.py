@@ -185,7 +185,7 @@ def test_bins_and_regimes(spark):
     df = spark.createDataFrame([(x,) for x in (-250.0, -200.0, -199.0, 0.0, 200.0, 201.0)], "z_m double")
     bins = [r["b"] for r in df.select(records.right_closed_bin(F.col("z_m"), [-250, -200, 0, 200]).alias("b")).collect()]
     assert bins == [0, 0, 1, 1, 2, None]
-    assert one(spark, records.depth_regime(F.lit(-200.0))) == "littoral"
+    assert one(spark, records.depth_regime(F.lit(-200.0))) == "shelf"
     assert records.parse_regimes("a:-1,2; b:0,3;") == [("a", -1.0, 2.0), ("b", 0.0, 3.0)]
 
 
@@ -353,3 +353,12 @@ def test_interpretation(spark):
     assert sorted((q["file"], q["axis_lat"]) for q in u.collect()) == [("x", 0.0), ("y", 0.0)]
     e = it.evidence_union([spark.createDataFrame([("k", 1)], "id string, v int"), spark.createDataFrame([("k", 2, "z")], "id string, v int, w string")])
     assert [tuple(q) for q in e.select("id", "v", "w").collect()] == [("k", 2, "z")]
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'best_plane' in e.queries() and e.oracle_sql()"], cwd=root, check=True)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import GUYOT, collapse, first_group, number, quality, table_rows  # noqa: F401
 from tidemark.operators import records
@@ -156,7 +157,7 @@ def author_list(names: Column, most: int = 3) -> Column:
     return F.when(F.size(names) > most, F.concat(F.get(names, 0), F.lit(" et al."))).otherwise(F.array_join(names, "; "))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_strings(text: pd.Series) -> pd.Series:
     """All strings in a JSON document, in order, at any depth; none if it is malformed."""
     import json

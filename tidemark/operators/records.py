@@ -43,8 +43,9 @@ def choose_z(df: DataFrame, precomputed: str | None = "z_m") -> DataFrame:
     return df.withColumns({"z_m": F.when(known, F.coalesce(*(c for _, c in options))), "z_source": name})
 
 
-def depth_regime(z: Column, threshold: float = DEEPWATER_M) -> Column:
-    return F.when(z < threshold, "deepwater").when(z >= threshold, "littoral")
+def depth_regime(z: Column, threshold: float = DEEPWATER_M, names: tuple[str, str] = ("deepwater", "shelf")) -> Column:
+    """The name of what lies below the threshold, or of what lies on and above it."""
+    return F.when(z < threshold, names[0]).when(z >= threshold, names[1])
 
 
 def parse_regimes(text: str) -> list[tuple[str, float, float]]:

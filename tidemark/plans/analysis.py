@@ -25,7 +25,7 @@ def usable_query(spark, d):
     return rounded(usable_sites(spark, d).select("id", "latitude", "longitude", "z_m", "source_id", "record_class"))
 
 
-@query("regime_counts", f"{W} SELECT CASE WHEN z_m < -200 THEN 'deepwater' ELSE 'littoral' END AS depth_regime, -200.0::DOUBLE AS depth_regime_threshold_m, count(*) AS n FROM u GROUP BY ALL")
+@query("regime_counts", f"{W} SELECT CASE WHEN z_m < -200 THEN 'deepwater' ELSE 'shelf' END AS depth_regime, -200.0::DOUBLE AS depth_regime_threshold_m, count(*) AS n FROM u GROUP BY ALL")
 def regime_counts(spark, d):
     return usable_sites(spark, d).groupBy(records.depth_regime(F.col("z_m")).alias("depth_regime"), F.lit(-200.0).alias("depth_regime_threshold_m")).agg(F.count("*").alias("n"))
 
@@ -172,7 +172,7 @@ def spherical_fit(spark, d):
     return _fit_columns(fits.spherical(usable_sites(spark, d)))
 
 
-@query("group_fits", f"{W}, l AS (SELECT 'record_class' AS kind, record_class AS grp, * FROM u UNION ALL SELECT 'source_id', CAST(source_id AS VARCHAR), * FROM u UNION ALL SELECT 'depth_regime', CASE WHEN z_m < -200 THEN 'deepwater' ELSE 'littoral' END, * FROM u), {_spherical_sql('kind, grp', 'l', 'WHERE grp IS NOT NULL')} SELECT kind, grp AS \"group\", n, {_FIT} FROM g WHERE n >= 12")
+@query("group_fits", f"{W}, l AS (SELECT 'record_class' AS kind, record_class AS grp, * FROM u UNION ALL SELECT 'source_id', CAST(source_id AS VARCHAR), * FROM u UNION ALL SELECT 'depth_regime', CASE WHEN z_m < -200 THEN 'deepwater' ELSE 'shelf' END, * FROM u), {_spherical_sql('kind, grp', 'l', 'WHERE grp IS NOT NULL')} SELECT kind, grp AS \"group\", n, {_FIT} FROM g WHERE n >= 12")
 def group_fits(spark, d):
     keys = F.create_map(F.lit("record_class"), F.col("record_class"), F.lit("source_id"), F.col("source_id").cast("string"), F.lit("depth_regime"), records.depth_regime(F.col("z_m")))
     s = usable_sites(spark, d).select("*", F.explode(keys).alias("kind", "group")).filter("`group` IS NOT NULL")
