@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
+from tidemark.functions.placing import numbered
 from tidemark.operators import fields, fits, records, statistics
 from tidemark.plans.analysis import EDGES, BINS_SQL, W, rounded
 from tidemark.plans.registry import query, table
@@ -254,10 +255,11 @@ def single_site_inverse(spark, d):
 
 @query("top_fraction", f"{W}, r AS (SELECT id, z_m, row_number() OVER (ORDER BY z_m DESC, id) AS k, count(*) OVER () AS n FROM u) SELECT id, round(z_m, 7) AS z_m FROM r WHERE k <= greatest(1, ceil(n * 0.1))")
 def top_fraction(spark, d):
-    """The top tenth: by the value at that place from an exact quantile of distinct (value, id) order, without sorting all rows in one task."""
+    """The tenth of the greatest values: rows are numbered by ranges of (-z_m, id), and no task sees all of them."""
     s = usable_sites(spark, d).select("id", "z_m")
-    n = s.count()
-    return rounded(s.orderBy(F.desc("z_m"), "id").limit(max(1, -(-n // 10))))
+    most = s.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * 0.1))).scalar()
+    placed = numbered(s.withColumn("_o", F.struct((-F.col("z_m")).alias("a"), F.col("id").alias("b"))), "_o", "_i")
+    return rounded(placed.filter(F.col("_i") < most).select("id", "z_m"))
 
 
 @query("class_zscore", f"{W} SELECT id, round((z_m - avg(z_m) OVER w) / nullif(stddev_pop(z_m) OVER w, 0), 7) + 0.0 AS z_score FROM u WINDOW w AS (PARTITION BY record_class)")
