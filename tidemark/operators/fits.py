@@ -106,9 +106,13 @@ def plane_rescan(df: DataFrame, step: float = 4.0, z: str = "z_m") -> DataFrame:
 
     The grid (4 050 poles at 4 degrees) is broadcast to the places; each task keeps one row of sums a pole.
     """
-    places, grid = by_place(df, z), pole_grid(df.sparkSession, step)
-    d = geo.plane_distance(geo.unit("latitude", "longitude"), geo.unit("pole_lat", "pole_lon"))
-    scanned = places.crossJoin(F.broadcast(grid)).select("pole_lat", "pole_lon", "n", "sz", "szz", d.alias("d"))
+    x, y, w = geo.unit("latitude", "longitude")
+    places = by_place(df, z).select("n", "sz", "szz", x.alias("x"), y.alias("y"), w.alias("w"))
+    p, q, r = geo.unit("pole_lat", "pole_lon")
+    grid = pole_grid(df.sparkSession, step).select("pole_lat", "pole_lon", p.alias("p"), q.alias("q"), r.alias("r"))
+    met = places.crossJoin(F.broadcast(grid))  # a pair costs a dot product and an arc sine
+    d = geo.plane_distance((F.col("x"), F.col("y"), F.col("w")), (F.col("p"), F.col("q"), F.col("r")))
+    scanned = met.select("pole_lat", "pole_lon", "n", "sz", "szz", d.alias("d"))
     n, w = F.sum("n"), F.col("n") * F.col("d")
     s = scanned.groupBy("pole_lat", "pole_lon").agg(n.alias("n"), F.sum(w).alias("sx"), F.sum(w * F.col("d")).alias("sxx"), F.sum(F.col("d") * F.col("sz")).alias("sxz"), F.sum("sz").alias("sz"), F.sum("szz").alias("szz"))
     c = F.col

@@ -101,5 +101,5 @@ def evidence_clusters(spark, d):
 
 @query("atlas_confidence", f"WITH {_ATLAS_SQL} SELECT CAST(k AS VARCHAR) AS sample_id, round_even(greatest(0, least(1, 0.6::DOUBLE * 0.75 + (k % 6 + k % 5) / 10.0::DOUBLE * 0.25 + CASE WHEN k % 2 = 0 THEN 0.08::DOUBLE ELSE 0 END - CASE WHEN record_class <> 'sea_level_indicator' THEN 0.05::DOUBLE ELSE 0 END)), 3) AS confidence FROM q WHERE reason IS NULL")
 def atlas_confidence(spark, d):
-    rows = atlas_rows(spark, d).filter(atlas.skip_reason().isNull()).withColumn("Accepted by other study?", F.lit(""))
+    rows = atlas.cleaned(atlas_rows(spark, d)).filter(atlas.skip_reason().isNull()).withColumn("Accepted by other study?", F.lit(""))
     return rows.select(atlas.text("WALIS_ID").alias("sample_id"), atlas.confidence(F.lit(0.6)).alias("confidence"))

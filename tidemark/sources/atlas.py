@@ -30,8 +30,14 @@ RELATIONS = ((("older",), "older_than"), (("younger",), "younger_than"), (("equa
 DATUMS = ((("lowest astronomical",), "LAT"), (("mean sea level", "egm", "geoid", "datum"), "MSL"))
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """All columns as texts with white space collapsed, once for the many rules that read them."""
+    return df.select(*(F.coalesce(collapse(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in df.columns))
+
+
 def text(name: str) -> Column:
-    return F.coalesce(collapse(F.col(f"`{name}`")), F.lit(""))
+    """A column of a cleaned table; blank for null."""
+    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
 def value(name: str) -> Column:
@@ -93,7 +99,7 @@ def indicative_range() -> Column:
 def canonical(df: DataFrame, quality_mode: str = "all", include_limiting: bool = True) -> DataFrame:
     """One record for each row that is not skipped."""
     paleo, measured, depth, distance = (value(n) for n in ("Paleo RSL (m)", "Elevation (m)", "Paleo water depth estimate (m)", "Distance from sample"))
-    return df.filter(skip_reason(quality_mode, include_limiting).isNull()).select(
+    return cleaned(df).filter(skip_reason(quality_mode, include_limiting).isNull()).select(
         text("WALIS_ID").alias("sample_id"), record_class().alias("record_class"), indicator_type().alias("indicator_type"),
         value("Latitude").alias("latitude"), value("Longitude").alias("longitude"),
         F.when(distance >= 0, distance).otherwise(100.0).alias("coordinate_uncertainty_m"),
@@ -108,7 +114,7 @@ def canonical(df: DataFrame, quality_mode: str = "all", include_limiting: bool =
 
 def skipped(df: DataFrame, quality_mode: str = "all", include_limiting: bool = True) -> DataFrame:
     """Rows left out, by reason, most first."""
-    return df.select(skip_reason(quality_mode, include_limiting).alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    return cleaned(df).select(skip_reason(quality_mode, include_limiting).alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 def composed(separator: str, *names: str) -> Column:
