@@ -190,7 +190,7 @@ def test_bins_and_regimes(spark):
 
 
 def test_record_files(spark, tmp_path):
-    rows = [("r1", 1.5, -2.5, ["1", "[1.0,null]"][0], '{"reported_elevation_m":3.0}'), ("r2", None, None, '"LGM"', None)]
+    rows = [("r1", 1.5, -2.5, "1", '{"reported_elevation_m":3.0}'), ("r2", None, None, '"LGM"', None)]
     df = spark.createDataFrame(rows, "id string, latitude double, longitude double, elevation_m string, reported_observations string")
     df = df.withColumn("elevation_m", records.union_value(F.col("elevation_m"))).withColumn("reported_observations", F.from_json("reported_observations", files.REPORTED))
     path = str(tmp_path / "out")
