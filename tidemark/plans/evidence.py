@@ -56,7 +56,10 @@ def keyword_analysis(spark, d):
     return notes(spark, d).select(F.explode(tx.keywords(F.col("note"), WORDS)).alias("word")).groupBy("word").agg(F.count("*").alias("n_docs"))
 
 
-@query("doc_quality")
+@query("doc_quality", r"""WITH c AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS total, length(regexp_replace(text, '\p{L}', '', 'g')) AS no_alpha, length(regexp_replace(text, '\s', '', 'g')) AS no_ws, length(regexp_replace(text, '[^\x00-\x7e°–—©]', '', 'g')) AS no_weird,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:200] AS l FROM documents), m AS (
+    SELECT *, list_sum(list_transform(l, lambda x: length(x))) / CAST(greatest(len(l), 1) AS DOUBLE) AS mean FROM c)
+    SELECT doc_id, round_even(greatest(0, least(1, (total - no_alpha) / total * 0.45 + least((total - no_ws) / total, 0.25) * 1.2 + (1 - least((total - no_weird) / total, 0.2)) * 0.25 + CASE WHEN mean BETWEEN 25 AND 180 THEN 1.0 ELSE 0.6 END * 0.1)), 3) AS quality FROM m""")
 def doc_quality(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.quality(F.col("text")).alias("quality"))
 

@@ -192,7 +192,7 @@ def random_axes(spark, d):
     return rounded(spark.range(10_000).select(k.alias("k"), F.degrees(F.asin(2 * statistics.uniform(statistics.draw("lat", k)) - 1)).alias("axis_lat"), (360 * statistics.uniform(statistics.draw("lon", k)) - 180).alias("axis_lon")))
 
 
-@query("field_interp")
+@query("field_interp", f"{W}, {_FIELD_SQL}, k AS (SELECT id, latitude AS lat, longitude AS lon, floor(latitude / 5) + i AS a, floor(longitude / 5) + j AS o FROM u, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)), c AS (SELECT id, k.lat, k.lon, (1 - abs(k.lat / 5 - a)) * (1 - abs(k.lon / 5 - o)) AS w, m FROM k LEFT JOIN f ON f.lat = 5 * a AND f.lon = 5 * o) SELECT id, lat, lon, round(sum(w * m) / nullif(sum(CASE WHEN m IS NOT NULL THEN w END), 0), 7) AS m FROM c WHERE w > 0 GROUP BY id, lat, lon")
 def field_interp(spark, d):
     points = usable_sites(spark, d).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     return rounded(fields.bilinear(points, field(spark), 5.0), 7)
