@@ -13,6 +13,22 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: What a Python worker keeps from one task to the next, such as a tokenizer and the chunks it knows.
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What this worker keeps under `name`; made if it has none."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Lets go of what this worker keeps. Tasks of other operators begin with it, so that a reused worker holds the memory of one operator at a time."""
+    _held.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

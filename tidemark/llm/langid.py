@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, documents, id_mod
+from tidemark.llm.common import checkpointed, documents, id_mod, release
 
 #: Documents that the model is fitted on at most, the first by a hash of their id; a fifth of them calibrate it.
 SAMPLE = 4_000
@@ -166,6 +166,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = usable.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             bags = [bag(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array([a for a, _ in bags], pa.list_(pa.int32())), pa.array([s for _, s in bags], pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "share"])
@@ -197,6 +198,7 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = docs.select("doc_id", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = held.value
         for batch in batches:
             texts = batch["text"].to_pylist()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import documents, shared_dir
+from tidemark.llm.common import documents, release, shared_dir
 
 #: Payloads fill whole images of 24 x 24 samples.
 SIDE = 24
@@ -123,6 +123,7 @@ def write_archives(df: DataFrame, folder: str, key: str = "doc_id", text: str =
     fs.create_dir(at, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         writer = ArchiveWriter(folder)
         for batch in batches:
             for k, t in zip(batch["key"], batch["text"]):
@@ -251,6 +252,7 @@ def digests(stored: DataFrame) -> DataFrame:
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         import hashlib
 
         for batch in batches:

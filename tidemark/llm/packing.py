@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, held
 
 #: Tokens, documents and attention cost (sum of squared piece lengths) that a sequence holds at most.
 CAPACITY = (1024, 1024, 1024**2)
@@ -26,7 +26,6 @@ GROUP_PIECES = 16_384
 #: Encoded chunks that a worker remembers.
 REMEMBERED = 800_000
 
-_encoders: dict[str, ChunkEncoder] = {}
 #: Where a token begins whatever stands before: at a blank or line feed before a visible character.
 _CHUNKS = re.compile(r"(?=[ \n]\S)").split
 
@@ -92,9 +91,7 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def cut(length: int, most: int) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, documents
+from tidemark.llm.common import checkpointed, documents, release
 from tidemark.llm.graph import components
 
 SHINGLE = 3
@@ -45,6 +45,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = [fingerprint((t.as_py() or "").encode(), shingle, seed) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=["key", "fp"])

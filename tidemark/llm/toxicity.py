@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, documents, id_mod
+from tidemark.llm.common import checkpointed, documents, id_mod, release
 
 #: Labelled rows that the model is fitted on at most, by label: the first by a hash of their id.
 POSITIVES, NEGATIVES = 4_000, 8_000
@@ -122,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
     rows = checkpointed(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
@@ -144,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
         index = {r["term"]: i for i, r in enumerate(best.collect())}
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = Known(index)
         for batch in batches:
             found = [known.active(t) for t in batch["text"].to_pylist()]
@@ -161,6 +163,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", column: str = "sc
     rows = df.select(*(F.col(c) for c in keep), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = held.value
         known = Known(m.index)
         for batch in batches:

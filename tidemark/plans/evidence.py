@@ -167,7 +167,16 @@ def keep_last(spark, d):
     return merge.keep_last(points(spark, d)).select("id", "seq", "place", "method")
 
 
-@query("fold_duplicates")
+_FOLD_SQL = """d AS (SELECT id, elevation_m AS e, notes AS n, method AS m, max(seq) AS seq FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM d), fold AS (
+    SELECT id, k, e, n, m FROM r WHERE k = 1
+    UNION ALL
+    SELECT id, k, CASE WHEN t THEN coalesce(ae, be) ELSE coalesce(be, ae) END, CASE WHEN t THEN CASE WHEN coalesce(lower(trim(an)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(bn)) NOT IN ('', 'null', 'none'), false) THEN an ELSE bn END ELSE CASE WHEN coalesce(lower(trim(bn)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(an)) NOT IN ('', 'null', 'none'), false) THEN bn ELSE an END END, CASE WHEN t THEN CASE WHEN coalesce(lower(trim(am)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(bm)) NOT IN ('', 'null', 'none'), false) THEN am ELSE bm END ELSE CASE WHEN coalesce(lower(trim(bm)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(am)) NOT IN ('', 'null', 'none'), false) THEN bm ELSE am END END FROM (
+        SELECT *, CASE WHEN (ae IS NOT NULL) <> (be IS NOT NULL) THEN ae IS NOT NULL ELSE ((CASE WHEN ae IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN coalesce(lower(trim(an)) NOT IN ('', 'null', 'none'), false) THEN 1 ELSE 0 END) + (CASE WHEN coalesce(lower(trim(am)) NOT IN ('', 'null', 'none'), false) THEN 1 ELSE 0 END)) > ((CASE WHEN be IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN coalesce(lower(trim(bn)) NOT IN ('', 'null', 'none'), false) THEN 1 ELSE 0 END) + (CASE WHEN coalesce(lower(trim(bm)) NOT IN ('', 'null', 'none'), false) THEN 1 ELSE 0 END)) END AS t
+        FROM (SELECT f.id, r.k, f.e AS ae, f.n AS an, f.m AS am, r.e AS be, r.n AS bn, r.m AS bm FROM fold f JOIN r ON f.id = r.id AND r.k = f.k + 1) AS j) AS w)
+    SELECT id, e AS elevation_m, n AS notes, m AS method FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS z FROM fold) AS x WHERE z = 1"""
+
+
+@query("fold_duplicates", f"WITH RECURSIVE {_POINTS_SQL}, {_FOLD_SQL}")
 def fold_duplicates(spark, d):
     return merge.fold_duplicates(points(spark, d))
 
