@@ -87,7 +87,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """
     marked = checkpointed(fingerprints(df, key, text, shingle, seed))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = checkpointed(components(links(distinct, radius)))
+    roots = checkpointed(components(checkpointed(links(distinct, radius))))  # components reads its edges twice
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     component = grouped.join(least, "root").select("fp", "component_id")
