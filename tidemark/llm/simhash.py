@@ -87,13 +87,34 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """
     marked = checkpointed(fingerprints(df, key, text, shingle, seed))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    roots = checkpointed(components(checkpointed(links(distinct, radius))))  # components reads its edges twice
-    grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = _rooted(distinct, radius)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     component = grouped.join(least, "root").select("fp", "component_id")
     return marked.join(component, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """`distinct` fingerprints with the root of their component."""
+    roots = checkpointed(components(checkpointed(links(distinct, radius))))  # components reads its edges twice
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def first_rows(df: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` whose key and text are the first of their component; `grouped` has (key, id, root) for all, id the xxhash64 of the text, a null one as an empty one.
+
+    First is the least key, then the least id; null keys come last. Rows with the same key and the same text stay or go together;
+    of those without a key one stays. A row goes by its key and text, so neither takes another along that shares only one of them.
+    """
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id")).alias("first"))
+    is_first = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("id") == F.col("first.id"))
+    gone = checkpointed(grouped.join(first, "root").filter(~is_first).select(F.col("key").alias("_gone"), F.col("id").alias("_gone_id")).distinct())
+    told = df.withColumn("_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    named = told.filter(F.col(key).isNotNull()).join(gone.filter("_gone IS NOT NULL"), (F.col(key) == F.col("_gone")) & (F.col("_id") == F.col("_gone_id")), "left_anti")
+    bare = told.filter(F.col(key).isNull()).join(gone.filter("_gone IS NULL"), F.col("_id") == F.col("_gone_id"), "left_anti")
+    bare = bare.groupBy("_id").agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("_row")).select("_row.*")
+    return named.drop("_id").unionByName(bare)
+
+
 def first_of_each(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of `df` whose key is the least of its component; rows that share a key stay or go together."""
     gone = near_duplicates(df, key, **options).filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
