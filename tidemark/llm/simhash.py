@@ -115,10 +115,12 @@ def first_rows(df: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str
     return named.drop("_id").unionByName(bare)
 
 
-def first_of_each(df: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `df` whose key is the least of its component; rows that share a key stay or go together."""
-    gone = near_duplicates(df, key, **options).filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    return df.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """The rows of `df` whose key and text are the first of their component, as `first_rows` says."""
+    told = df.select(F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id")).alias("row"), F.col(text).alias("text"))
+    marked = checkpointed(fingerprints(told, "row", "text", shingle, seed))
+    rooted = _rooted(checkpointed(marked.select("fp").distinct()), radius)
+    return first_rows(df, marked.join(rooted, "fp").select("key.key", "key.id", "root"), key, text)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
