@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, documents, words
@@ -15,7 +15,7 @@ from tidemark.llm.common import checkpointed, documents, words
 WEIGHTS = (5, 2, 1)
 #: All sources together take this share of their words, and none more than CAP times its own.
 SHARE, CAP = 1.5, 2.0
-#: Inclusion odds within a source grow as a document's size to this power.
+#: Inclusion probabilities within a source grow as a document's size to this power.
 GAMMA = 0.5
 SEED = "mix-1"
 #: Documents that a bucket of ranks should hold, and the most buckets of a source.
@@ -80,40 +80,58 @@ def _fill(table: pa.Table) -> pa.Table:
     return table.drop_columns(["extra"]).append_column("extra", pa.array(extra)).select(table.schema.names)
 
 
+def levels(items: DataFrame, aims: DataFrame, gamma: float) -> DataFrame:
+    """(of, level): for each source the number that makes inclusion probabilities min(1, level * size ** gamma) take `rest` words on average.
+
+    From the greatest size down sizes become certain until the level leaves the next one below 1. The running sums are over a source's
+    distinct sizes, of which there are no more than the words of its longest document.
+    """
+    by_size = items.filter("size > 0").groupBy("source", "size").agg(F.sum(F.col("size") * F.col("rows")).alias("w"), F.sum(F.col("rows") * F.pow("size", F.lit(1 + gamma))).alias("s"))
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by_size.select("source", "size", F.sum("w").over(upto).alias("w"), F.sum("s").over(upto).alias("s"))
+    at = run.join(aims.select("of", "rest", "source_size"), F.col("source").eqNullSafe(F.col("of")))
+    at = at.withColumn("level", (F.col("rest") - (F.col("source_size") - F.col("w"))) / F.col("s"))
+    return at.filter(F.col("level") * F.pow("size", F.lit(gamma)) < 1).groupBy("of").agg(F.max_by("level", "size").alias("level"))
+
+
 def copies(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, gamma: float = GAMMA, seed: str = SEED) -> DataFrame:
-    """For (key, source, size) rows the items key, source, size, rows, source_size, target, copies.
+    """For (key, source, size) rows the items key, source, size, rows, source_size, target, inclusion, copies.
 
     Rows that agree in all three are one item of `rows` rows, drawn together. A source that is to take f of its
-    words takes each document floor(f) times for certain and draws the rest: documents are ranked by
-    random odds over inclusion odds (Pareto order sampling), with inclusion odds in proportion to (size / mean size) ** gamma,
-    and are taken in rank order until the words of the rest are reached. The place where that happens comes from sums over
-    buckets of ranks; only the documents of one bucket of a source are looked at one by one.
+    words takes each document floor(f) times for certain and draws the rest with inclusion probabilities p = min(1, level * size ** gamma), solved so that
+    the drawn words are the rest on average (`inclusion`). Documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)) (Pareto order
+    sampling), and are taken in rank order until the words of the rest are reached: a sample of fixed size in words. Equal ranks go by key. The document that would
+    pass the rest stays out and those after it in order that still fit come in, then one more if that comes nearer. The place where the rest is reached
+    comes from sums over buckets of ranks; only the documents of one bucket of a source are looked at one by one. Documents without words are never drawn.
     """
     items = checkpointed(sized.groupBy("key", "source", "size").agg(F.count("*").alias("rows")))
     words_of = F.col("size") * F.col("rows")
-    per_source = items.groupBy("source").agg(F.sum(words_of).alias("source_size"), F.count_if(F.col("size") > 0).alias("n"), F.avg(F.when(F.col("size") > 0, F.pow("size", F.lit(gamma)))).alias("mean"))
+    per_source = items.groupBy("source").agg(F.sum(words_of).alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     aims = with_targets(per_source, weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     buckets = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.least(F.lit(float(MOST_BUCKETS)), F.col("n") / BUCKET_ROWS)))))
     aims = aims.withColumn("whole", F.floor(ratio)).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).withColumn("buckets", buckets)
     aims = checkpointed(aims.withColumnRenamed("source", "of"))
+    level = levels(items, aims, gamma).withColumnRenamed("of", "_of")
+    aims = checkpointed(aims.join(level, F.col("of").eqNullSafe(F.col("_of")), "left").drop("_of"))
     same = F.col("source").eqNullSafe(F.col("of"))
 
     u = uniform(F.col("key"), F.col("size"), seed)
-    q = (u / (1 - u)) / F.greatest(F.pow("size", F.lit(gamma)) / F.col("mean"), F.lit(1e-9))
-    ranked = items.join(aims, same).withColumn("rank", F.when(F.col("size") > 0, q / (1 + q)).otherwise(F.lit(1.0)))
+    p = F.least(F.lit(1.0), F.coalesce("level", F.lit(0.0)) * F.pow("size", F.lit(gamma)))
+    q = (u / (1 - u)) * ((1 - F.col("inclusion")) / F.col("inclusion"))
+    ranked = items.join(aims, same).withColumn("inclusion", p).withColumn("rank", F.when((F.col("size") > 0) & (F.col("inclusion") > 0), q / (1 + q)).otherwise(F.lit(1.0)))
     ranked = ranked.withColumn("bucket", F.floor(F.col("rank") * F.col("buckets"))).withColumn("words", words_of)
-    ranked = checkpointed(ranked.select("key", "source", "size", "rows", "source_size", "target", "whole", "rest", "rank", "bucket", "words"))
+    ranked = checkpointed(ranked.select("key", "source", "size", "rows", "source_size", "target", "inclusion", "whole", "rest", "rank", "bucket", "words"))
 
     sums = ranked.groupBy("source", "rest", "bucket").agg(F.sum("words").alias("w"))
     run = sums.selectExpr("*", "sum(w) OVER (PARTITION BY source, rest ORDER BY bucket) AS upto")
     last = run.groupBy(F.col("source").alias("of")).agg(F.min(F.when(F.col("upto") > F.col("rest"), F.col("bucket"))).alias("last"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("before"))
     placed = ranked.join(last, same).drop("of").withColumn("tie", F.coalesce(F.col("key").cast("string"), F.lit("")))
-    placed = placed.withColumn("extra", F.when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), 1).otherwise(0))
+    placed = placed.withColumn("extra", F.when((F.col("size") > 0) & (F.col("last").isNull() | (F.col("bucket") < F.col("last"))), 1).otherwise(0))
     at_last = F.coalesce(F.col("bucket") == F.col("last"), F.lit(False))
     filled = placed.filter(at_last).groupBy("source").applyInArrow(_fill, placed.schema)
     out = placed.filter(~at_last).unionByName(filled)
-    return out.select("key", "source", "size", "rows", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies"))
+    return out.select("key", "source", "size", "rows", "source_size", "target", "inclusion", (F.col("whole") + F.col("extra")).cast("long").alias("copies"))
 
 
 def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -123,16 +141,21 @@ def sizes(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """A row for each row of `df`: key, size, source_size, target, taken.
 
-    Null and empty texts have size 0 and take 0. Rows of a null source are one source, last in the order. Repeated rows are
-    drawn together. An empty table gives an empty result. Other columns are not read. Reruns give the same rows.
+    Null and empty texts have size 0 and take 0. Very long texts count as they are; one longer than its source's rest may keep that source's words below the target.
+    Rows of a null source are one source, last in the order. Repeated rows are drawn together; equal ranks go by key. An empty table gives
+    an empty result. Other columns are not read. Reruns give the same rows.
     """
-    out = copies(sizes(df, key, text, source), **options)
-    each = out.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return each.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    sized = checkpointed(sizes(df, key, text, source))
+    drawn = copies(sized, **options).withColumnsRenamed({"key": "_key", "source": "_source", "size": "_size"})
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    return sized.join(drawn, same).select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeat_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of `df`, each as often as it is taken. Documents without words are taken as often as their source's whole copies say."""
+    """The mix itself: the rows of `df`, each as often as it is taken.
+
+    Documents without words are taken as often as their source's whole copies say, not at all where no text of the source has a word.
+    """
     taken = copies(sizes(df, key, text, source), **options).filter("copies > 0").select(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").cast("int").alias("_copies"))
     on = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (F.size(words(F.col(text))) == F.col("_size"))
     return df.join(taken, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(c) for c in df.columns))
@@ -149,7 +172,7 @@ WITH RECURSIVE docs AS (
 ), items AS (
     SELECT doc_id, source, size, count(*) AS n_rows FROM docs GROUP BY doc_id, source, size
 ), src AS (
-    SELECT source, CAST(sum(size * n_rows) AS DOUBLE) AS s, sum(CASE WHEN size > 0 THEN 1 ELSE 0 END) AS n, avg(CASE WHEN size > 0 THEN pow(size, 0.5) END) AS mean FROM items GROUP BY source
+    SELECT source, CAST(sum(size * n_rows) AS DOUBLE) AS s, sum(CASE WHEN size > 0 THEN 1 ELSE 0 END) AS n FROM items GROUP BY source
 ), weighed AS (
     SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM src
 ), filled AS (
@@ -160,17 +183,26 @@ WITH RECURSIVE docs AS (
 ), level AS (
     SELECT arg_min((total - taken_before) / open_weight, j) AS level FROM filled WHERE (total - taken_before) / open_weight * w <= cap
 ), aims AS (
-    SELECT source, s, n, mean, least(cap, level * w) AS target FROM filled, level
+    SELECT source, s, n, least(cap, level * w) AS target FROM filled, level
 ), parts AS (
     SELECT *, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS whole, pow(2, ceil(log2(greatest(1.0::DOUBLE, least(65536.0::DOUBLE, n / 128.0::DOUBLE))))) AS buckets FROM aims
+), by_size AS (
+    SELECT source, size, sum(size * n_rows) AS w, sum(n_rows * pow(size, 1.5)) AS s15 FROM items WHERE size > 0 GROUP BY source, size
+), upto AS (
+    SELECT source, size, sum(w) OVER o AS w, sum(s15) OVER o AS s15 FROM by_size WINDOW o AS (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING)
+), trials AS (
+    SELECT u.source, size, (greatest(0, p.target - p.whole * p.s) - (p.s - w)) / s15 AS c FROM upto u JOIN parts p ON u.source IS NOT DISTINCT FROM p.source
+), levels AS (
+    SELECT source, arg_max(c, size) AS c FROM trials WHERE c * pow(size, 0.5) < 1 GROUP BY source
 ), draws AS (
     SELECT i.*, p.s, p.target, p.whole, p.buckets, greatest(0, p.target - p.whole * p.s) AS rest, i.size * i.n_rows AS words,
-        (CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u, p.mean
-    FROM items i JOIN parts p ON i.source IS NOT DISTINCT FROM p.source
+        (CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u,
+        least(1.0::DOUBLE, coalesce(l.c, 0) * pow(size, 0.5)) AS p
+    FROM items i JOIN parts p ON i.source IS NOT DISTINCT FROM p.source LEFT JOIN levels l ON i.source IS NOT DISTINCT FROM l.source
 ), odds AS (
-    SELECT *, (u / (1 - u)) / greatest(pow(size, 0.5) / mean, 1e-9) AS q FROM draws
+    SELECT *, CASE WHEN size > 0 AND p > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS q FROM draws
 ), ranked AS (
-    SELECT *, CASE WHEN size > 0 THEN q / (1 + q) ELSE 1.0 END AS rnk FROM odds
+    SELECT *, CASE WHEN q IS NOT NULL THEN q / (1 + q) ELSE 1.0 END AS rnk FROM odds
 ), bucketed AS (
     SELECT *, floor(rnk * buckets) AS bucket FROM ranked
 ), sums AS (
@@ -189,7 +221,7 @@ WITH RECURSIVE docs AS (
 ), nearer AS (
     SELECT f.source, arg_min(k, words * 1000000000 + k) AS k FROM fill f JOIN ends e ON f.source IS NOT DISTINCT FROM e.source WHERE NOT extra AND words > 0 GROUP BY f.source, e.gap HAVING min(words) < 2 * e.gap
 ), decided AS (
-    SELECT p.*, CASE WHEN p.last IS NULL OR p.bucket < p.last THEN 1 WHEN p.bucket > p.last THEN 0 WHEN f.extra OR n.k IS NOT NULL THEN 1 ELSE 0 END AS extra
+    SELECT p.*, CASE WHEN p.size = 0 THEN 0 WHEN p.last IS NULL OR p.bucket < p.last THEN 1 WHEN p.bucket > p.last THEN 0 WHEN f.extra OR n.k IS NOT NULL THEN 1 ELSE 0 END AS extra
     FROM placed p LEFT JOIN fill f ON p.source IS NOT DISTINCT FROM f.source AND p.bucket = p.last AND p.k = f.k LEFT JOIN nearer n ON p.source IS NOT DISTINCT FROM n.source AND p.bucket = p.last AND p.k = n.k
 )
 SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, round(target, 6) AS target, CAST(size * (whole + extra) AS BIGINT) AS taken FROM (SELECT *, unnest(range(n_rows)) FROM decided)"""
