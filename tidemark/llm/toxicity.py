@@ -16,9 +16,9 @@ from tidemark.llm.common import checkpointed, documents, id_mod, release
 
 #: Labelled rows that the model is fitted on at most, by label: the first by a hash of their id.
 POSITIVES, NEGATIVES = 4_000, 8_000
-#: Terms that the model knows at most; others weigh nothing.
-TERMS = 4_096
-#: A term needs this many documents and this chi-square (one degree of freedom) to be known.
+#: Slots of the table that all terms are hashed into; terms that share a slot share its weight and factors.
+TABLE = 1 << 20
+#: A slot needs this many sampled documents and this chi-square (one degree of freedom) to weigh anything.
 LEAST_DOCS, LEAST_CHI2 = 4, 20.0
 #: Beginnings of words that are terms beside the words.
 PREFIXES = (4, 5, 6)
@@ -36,8 +36,8 @@ def words_of(text: str) -> set[str]:
 
 
 def terms_of(word: str) -> list[int]:
-    """A word's hashed terms: itself and its beginnings, as 32-bit hashes."""
-    return [zlib.crc32(b"w" + word.encode()), *(zlib.crc32(b"p" + word[:n].encode()) for n in PREFIXES if len(word) >= n)]
+    """The slots of a word's terms: of itself and of its beginnings."""
+    return [zlib.crc32(b"w" + word.encode()) % TABLE, *(zlib.crc32(b"p" + word[:n].encode()) % TABLE for n in PREFIXES if len(word) >= n)]
 
 
 @dataclass
@@ -58,7 +58,7 @@ class Machine:
 
 
 class Known(dict):
-    """word -> numbers of its known terms."""
+    """word -> numbers of its known slots."""
 
     def __init__(self, index: dict[int, int]):
         super().__init__()
@@ -74,13 +74,13 @@ class Known(dict):
         return sorted({i for found in map(self.__getitem__, words_of(text)) if found for i in found})
 
 
-def fit_machine(index: dict[int, int], rows: list[list[int]], y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Machine:
-    """Weighted logistic loss, stochastic gradient descent with steps scaled by past gradients (AdaGrad)."""
+def fit_machine(index: dict[int, int], rows: list[list[int]], y: np.ndarray, weight: np.ndarray, seed: int = 7, factors: int = FACTORS) -> Machine:
+    """Weighted logistic loss, stochastic gradient descent with steps scaled by past gradients (AdaGrad). Without factors the machine is additive."""
     rng = np.random.default_rng(seed)
     n = len(index)
     rate = float((weight * y).sum() / weight.sum()) if len(y) else 0.0
-    m = Machine(index, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))), np.zeros(n), rng.normal(0, 0.05, (n, FACTORS)))
-    gb, gw, gv = 1.0, np.full(n, 1e-2), np.full((n, FACTORS), 1e-2)
+    m = Machine(index, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))), np.zeros(n), rng.normal(0, 0.05, (n, factors)))
+    gb, gw, gv = 1.0, np.full(n, 1e-2), np.full((n, factors), 1e-2)
     for _ in range(EPOCHS if 0 < rate < 1 else 0):
         for i in rng.permutation(len(rows)):
             a = rows[i]
@@ -100,7 +100,7 @@ def fit_machine(index: dict[int, int], rows: list[list[int]], y: np.ndarray, wei
 
 def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int) -> tuple[DataFrame, dict[int, float]]:
     """(text, y) of the sampled labelled documents, and the weight of a row of each label, which restores the labels' shares."""
-    marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(id_mod(F.col("doc_id"), 4) != 2).select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
+    marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(id_mod(F.col("doc_id"), 4) != 2).select("doc_id", (F.col("toxic") > 0).cast("int").alias("y")).distinct()
     ids, weight = [], {}
     shares = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     for y, most in ((1, positives), (0, negatives)):
@@ -108,15 +108,17 @@ def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int)
         weight[y] = shares.get(y, 0) / max(1, min(most, shares.get(y, 0)))
     scale = max(weight.values()) or 1.0
     chosen = ids[0].unionByName(ids[1])  # no more than `positives` + `negatives` rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
-    return rows.limit(positives + negatives), {y: w / scale for y, w in weight.items()}
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("text", "y"), {y: w / scale for y, w in weight.items()}
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, terms: int = TERMS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, factors: int = FACTORS) -> Machine:
     """A machine fitted on at most `positives` + `negatives` labelled rows whose crc32(doc_id) mod 4 is not 2.
 
-    Which terms are known follows from their counts in the sampled documents, summed on the executors. Only the chosen
-    terms, `terms` at most, and each sampled document's known terms come to the driver. Labels that are null are not used; of rows that repeat, each counts.
+    Which of the TABLE slots are known follows from their counts in the sampled documents, summed on the executors. Only the known
+    slots and each sampled document's come to the driver. Labels that are null are not used; a labelled id counts once for each label it has, with the text of the least hash where
+    several rows share it.
     """
     rows, weight = _sample(docs, labels, positives, negatives)
     rows = checkpointed(rows)
@@ -141,8 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
         det = pos * (neg_total - (n - pos)) - (n - pos) * (pos_total - pos)
         chi2 = F.lit(float(total)) * det * det / F.nullif(F.lit(float(pos_total) * neg_total) * n * (total - n), F.lit(0.0))
         counted = rows.mapInArrow(count, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-        best = counted.filter(n >= LEAST_DOCS).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(terms)
-        index = {r["term"]: i for i, r in enumerate(best.collect())}
+        best = counted.filter(n >= LEAST_DOCS).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
+        index = {t: i for i, t in enumerate(sorted(r["term"] for r in best.select("term").collect()))}
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -153,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negati
 
     data = sorted((list(r["active"]), r["y"]) for r in rows.mapInArrow(active, "active array<int>, y int").collect())
     y = np.array([v for _, v in data], dtype=np.float64)
-    return fit_machine(index, [a for a, _ in data], y, np.array([weight[int(v)] for v in y]))
+    return fit_machine(index, [a for a, _ in data], y, np.array([weight[int(v)] for v in y]), factors=factors)
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -179,7 +181,8 @@ def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """A row for each row of `df`: key, held_out, score, predicted.
 
     The model learns from `labels` and the texts alone. Without labels of both kinds all scores are the share of
-    toxic labels, or 0. Repeated rows stay; an empty table gives an empty result; other columns are not read.
+    toxic labels, or 0. Null and empty texts score as texts without terms, very long ones as a whole. A score equal to the threshold is toxic.
+    Repeated rows stay; an empty table gives an empty result; other columns are not read.
     """
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     scored = score(docs, train(docs, labels), keep=["doc_id"])
@@ -187,7 +190,7 @@ def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def without_toxic(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `df` (columns doc_id and text among them) that score below the threshold."""
+    """The rows of `df` (columns doc_id and text among them) that score below the threshold, all columns kept; see `toxicity`."""
     return score(df, train(df, labels), column="_score").filter(F.col("_score") < threshold).drop("_score")
 
 
