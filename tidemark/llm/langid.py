@@ -7,18 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, documents, id_mod, release
 
-#: Documents that the model is fitted on at most, the first by a hash of their id; a fifth of them calibrate it.
+#: Documents that the model is fitted on at most: the languages take turns, each with its first document by a hash of its id; a fifth of them calibrate it.
 SAMPLE = 4_000
-#: Languages that are learned at most, the most frequent in the sample.
-LANGUAGES = 256
 #: Subwords of 3 and 4 bytes share this many buckets; bucket 0 is for none.
 BUCKETS = 1 << 15
-DIMENSION, EPOCHS, RATE = 16, 5, 1.0
+DIMENSION, EPOCHS, RATE = 16, 20, 1.0
 #: `accepted` holds down to the confidence at which this share of the calibration documents is right.
 PRECISION = 0.99
 #: Bytes of text whose subwords are looked up at once.
@@ -159,11 +157,16 @@ def fit_model(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, language
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of (doc_id, text, lang): at most `sample` rows whose lang is not null and crc32(doc_id) mod 5 is not 0.
 
-    Their whole texts are turned into bucket shares on the executors; only these come to the driver. Without such rows the model has no language.
+    The sample has as many documents of each language as of any other, as far as it has them, so that rare languages are learned too; each of
+    `sample` languages has one at least. An id counts once for each of its languages, with the text of the least hash where several rows share it. Whole texts are turned into bucket
+    shares on the executors; only these come to the driver. Without such rows the model has no language.
     """
-    usable = docs.filter("lang IS NOT NULL").filter(id_mod(F.col("doc_id"), 5) != 0)
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so broadcast
-    rows = usable.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(sample)
+    usable = docs.filter("lang IS NOT NULL").filter(id_mod(F.col("doc_id"), 5) != 0).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # tasks keep `sample` ranks of a language before the shuffle
+    ranked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("turn", turn).filter(F.col("turn") <= sample)
+    ids = ranked.orderBy("turn", "h", "lang", "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))  # bounded, so broadcast
+    rows = usable.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -175,14 +178,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     if not len(found):
         return Model([], np.zeros((BUCKETS, 1), dtype=np.float32), None, np.zeros(0), 1.0, 1.0)
     found = found.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    langs, counts = np.unique(found["lang"].to_numpy(), return_counts=True)
-    languages = sorted(langs[np.argsort(-counts, kind="stable")][:LANGUAGES].tolist())
+    languages = sorted(set(found["lang"].to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     bags, y = [], []
     for lang, at, share in zip(found["lang"].to_pylist(), found["at"], found["share"]):
-        if lang in number:
-            bags.append((at.values.to_numpy(), share.values.to_numpy()))
-            y.append(number[lang])
+        bags.append((at.values.to_numpy(), share.values.to_numpy()))
+        y.append(number[lang])
     return fit_model(bags, np.array(y), languages)
 
 
@@ -190,7 +191,8 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A row for each row of `df`: key, held_out, lang_pred, score, accepted.
 
     Texts that are null or have no letter are `und` with score 0, as are all texts if nothing could be learned. `score` is the calibrated
-    probability of lang_pred, and `accepted` whether it reaches the level of the calibrated rejection. Repeated rows stay, an empty table gives
+    probability of lang_pred, and `accepted` whether it reaches the level of the calibrated rejection. Equal probabilities go to the first language by code point; very long texts
+    are read whole. Repeated rows stay, an empty table gives
     an empty result, other columns are not read; `lang` is read for learning only.
     """
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
