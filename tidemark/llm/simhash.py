@@ -17,8 +17,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
 RADIUS = 2
-#: Shingles whose bits are counted at once.
-BLOCK = 1 << 16
+#: Shingles whose bits are counted at once, and fingerprints whose variants a task sends.
+BLOCK, SENT_ROWS = 1 << 16, 4_096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -71,7 +71,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     components as from all pairs. Pairs are made distinct and their distance is checked.
     """
     half = radius // 2
-    sent = distinct.select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
+    even = distinct.select("fp").repartition(max(1, -(-distinct.count() // SENT_ROWS)), "fp")  # few bytes, many variants: dealt by number of rows
+    sent = even.select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
     met = sent.groupBy("variant").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("at")).filter(F.size("at") > 1)
     pairs = met.select("a", F.explode("at").alias("b")).filter("a != b").distinct()
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -87,13 +88,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """
     marked = checkpointed(fingerprints(df, key, text, shingle, seed))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    grouped = _rooted(distinct, radius)
+    grouped = rooted(distinct, radius)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     component = grouped.join(least, "root").select("fp", "component_id")
     return marked.join(component, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+def rooted(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`distinct` fingerprints with the root of their component."""
     roots = checkpointed(components(checkpointed(links(distinct, radius))))  # components reads its edges twice
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -119,8 +120,8 @@ def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """The rows of `df` whose key and text are the first of their component, as `first_rows` says."""
     told = df.select(F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("id")).alias("row"), F.col(text).alias("text"))
     marked = checkpointed(fingerprints(told, "row", "text", shingle, seed))
-    rooted = _rooted(checkpointed(marked.select("fp").distinct()), radius)
-    return first_rows(df, marked.join(rooted, "fp").select("key.key", "key.id", "root"), key, text)
+    roots = rooted(checkpointed(marked.select("fp").distinct()), radius)
+    return first_rows(df, marked.join(roots, "fp").select("key.key", "key.id", "root"), key, text)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
