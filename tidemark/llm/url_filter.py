@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: The verdict on a URL that no rule fits.
 DEFAULT = "allow"
-#: Rule lists up to this many characters in all are broadcast as a trie; longer ones are joined.
+#: Rules that are broadcast as a trie have this many characters at most in all; `judge_joined` takes longer lists.
 BROADCAST_CHARS = 8_000_000
 
 
@@ -80,31 +80,17 @@ class Trie:
         return best
 
 
-def _joined(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """The same verdicts by a join, for rule lists too long to broadcast: every host suffix and path prefix of a distinct (host, path) is looked up."""
-    spark = df.sparkSession
-    table = spark.createDataFrame([(h, p, h + p, v) for (h, p), v in chosen(rules).items()], "r_host string, r_path string, rule string, verdict string")
-    pairs = df.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substr(F.col("path"), F.lit(1), i))
-    keys = pairs.withColumn("r_host", F.explode(suffixes)).withColumn("r_path", F.explode(prefixes))
-    rank = F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"))
-    found = keys.join(table, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("hit"))
-    return df.join(found, ["host", "path"], "left").select(*df.columns, F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))
-
-
 def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", key: str = "page_id", default: str = DEFAULT) -> DataFrame:
     """key, host, path, rule and verdict for every row of `df`.
 
     A rule fits its host and all subdomains if the URL's path starts with the rule's path. The deepest host wins,
     then the longest path; on the same entry in both lists block wins. Without a rule the verdict is `default`.
-    Null, empty and scheme-less URLs have empty host and path. Repeated rows stay; other columns are not read.
+    Null, empty and scheme-less URLs have empty host and path. Very long URLs are matched as a whole, a step for each label and segment. Repeated rows stay; an empty table gives an
+    empty result; other columns are not read. The trie is broadcast, so rules of more than BROADCAST_CHARS characters are an error.
     """
-    host, path = url_parts(F.col(url))
-    parts = df.select(F.col(key), host.alias("host"), path.alias("path"))
     if sum(len(h) + len(p) for _, h, p in rules) > BROADCAST_CHARS:
-        return _joined(parts, rules).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+        raise ValueError("too many rules to broadcast; use judge_joined")
+    parts = _parts(df, url, key)
     held = df.sparkSession.sparkContext.broadcast(Trie(rules))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +104,28 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str
     return parts.mapInArrow(look, f"`{key}` {kind}, host string, path string, rule string, verdict string")
 
 
+def _parts(df: DataFrame, url: str, key: str) -> DataFrame:
+    host, path = url_parts(F.col(url))
+    return df.select(F.col(key), host.alias("host"), path.alias("path"))
+
+
+def judge_joined(df: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = DEFAULT) -> DataFrame:
+    """What `judge` returns, for `rules` (verdict, host, path) too many to broadcast: nothing but joins.
+
+    Each suffix of a distinct host is looked up among the rules' hosts, which know how long their paths are, and then the beginnings of these lengths of its paths.
+    """
+    parts = _parts(df, url, key)
+    table = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(F.col("verdict") == "block").alias("blocks"))
+    lengths = table.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    keys = parts.select("host", "path").distinct().withColumn("r_host", F.explode(suffixes)).join(lengths, "r_host")
+    keys = keys.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path")))).select("host", "path", "r_host", F.substr(F.col("path"), F.lit(1), F.col("n")).alias("r_path"))
+    rule = F.struct(F.concat("r_host", "r_path").alias("rule"), F.when(F.col("blocks"), "block").otherwise("allow").alias("verdict"))
+    found = keys.join(table, ["r_host", "r_path"]).groupBy("host", "path").agg(F.max_by(rule, F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"))).alias("hit"))
+    return parts.join(found, ["host", "path"], "left").select(key, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
