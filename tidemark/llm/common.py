@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +35,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session of one machine (tests) gets a temporary one, and any other an error."""
     context = spark.sparkContext
-    held = context.getCheckpointDir()
-    if held is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-        held = context.getCheckpointDir()
-    return held
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -49,6 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def require_whole(df: DataFrame, key: str) -> None:
+    """An error if the column `key` does not hold whole numbers, which some operators store as 64-bit ones."""
+    if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be of whole numbers")
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once for a row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import documents, release, shared_dir
+from tidemark.llm.common import documents, release, require_whole, shared_dir
 
 #: Payloads fill whole images of 24 x 24 samples.
 SIDE = 24
@@ -32,6 +32,8 @@ PAD = 0xFF
 ENTRY = struct.Struct("<qqqqqq")
 #: Bytes of an archive after which a task begins the next, bytes of members that a read partition covers about, and bytes that one read or one batch holds about.
 ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES = 128 << 20, 16 << 20, 4 << 20
+#: Read partitions of a folder, about; more bytes make them larger, so that the driver's list of them stays short.
+MOST_RANGES = 50_000
 #: How often a member is read again on its own.
 RETRIES = 3
 LEVEL = 1
@@ -115,10 +117,11 @@ class ArchiveWriter:
 
 
 def write_archives(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
-    """Stores every row's text (null: empty) as an image in archives under `folder`. Keys are long integers or null.
+    """Stores every row's text (null: empty) as an image in archives under `folder`. Keys are whole numbers or null; other types are an error.
 
     Each task writes files of its own; the driver gets a line for each archive and writes the manifest.
     """
+    require_whole(df, key)
     fs, at = file_system(folder)
     fs.create_dir(at, recursive=True)
 
@@ -164,8 +167,9 @@ class ArchiveReader(DataSourceReader):
         out = []
         with self._open("MANIFEST.json") as f:
             archives = json.loads(f.read())
+        range_bytes = max(self.range_bytes, sum(size for _, _, size in archives) // MOST_RANGES)
         for name, entries, size in archives:
-            parts = max(1, min(entries, -(-size // self.range_bytes)))
+            parts = max(1, min(entries, -(-size // range_bytes)))
             cuts = [entries * i // parts for i in range(parts + 1)]
             out += [ByteRange(name, a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
         return out or [ByteRange("", 0, 0)]
@@ -272,7 +276,7 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", folder
     """A row for each row of `df`: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     Texts are stored as images in archives under `folder` (a new one in the shared folder if None), which are written when this is called, and then read back.
-    Null and empty texts are one image of padding. Equal texts give equal values; repeated rows stay, an empty table gives an empty result, other columns are not read.
+    Null and empty texts are one image of padding, very long ones one large image. Keys are whole numbers or null. Equal texts give equal values; repeated rows stay, an empty table gives an empty result, other columns are not read.
     """
     spark = df.sparkSession
     folder = folder or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
