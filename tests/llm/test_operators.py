@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -51,10 +52,17 @@ def test_urls_against_brute_force(spark):
 
 
 def test_long_rule_lists_are_joined(spark, monkeypatch):
-    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    want = sorted(map(str, rows(url_filter.judge(df))))
-    monkeypatch.setattr(url_filter, "BROADCAST_CHARS", 0)
-    assert sorted(map(str, rows(url_filter.judge(df)))) == want
+    rng = random.Random(3)
+    urls = [*URLS, "http://x.org/" + "a/" * 5000 + "#", "http://" + "a." * 300 + "org/es/", *("http://" + ".".join(rng.choice(["a", "org", "com", "example"]) for _ in range(3)) + "/" + "/".join(rng.choice(["es", "e", "fr", "en"]) for _ in range(4)) for _ in range(200))]
+    rules = [*url_filter.RULES, ("block", "org", "/e"), ("allow", "example.org", "/es/es"), ("block", "a.org", ""), ("allow", "a.org", ""), ("block", "com", "/fr/en/e")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(str, rows(url_filter.judge(df, rules))))
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert sorted(map(str, rows(url_filter.judge_joined(df, table)))) == want
+    assert rows(url_filter.judge_joined(df.limit(0), table)) == []
+    monkeypatch.setattr(url_filter, "BROADCAST_CHARS", 5)
+    with pytest.raises(ValueError):
+        url_filter.judge(df, rules)
 
 
 def test_block_wins_on_the_same_entry():
@@ -339,6 +347,30 @@ def test_pairs_count_where_single_terms_do_not():
     assert abs(m.logit([0, 1]) - pairwise) < 1e-9
 
 
+def test_insults_of_groups_need_pairs(spark):
+    """Toxic is an insult beside a group's name, which additive weights can't tell from either alone; held-out documents decide."""
+    rng = random.Random(14)
+    insults, groups = ["blorg", "snarve", "grunth"], ["velan", "ostrik", "mirand"]
+    data, labels = [], []
+    for i in range(4000):
+        words = prose(rng, 40, "t").split()
+        a, b = rng.random() < 0.4, rng.random() < 0.4
+        words[:2] = [rng.choice(insults) if a else words[0], rng.choice(groups) if b else words[1]]
+        rng.shuffle(words)
+        data.append((i, " ".join(words)))
+        labels.append((i, 1, int(a and b)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth = {i: t for i, _, t in labels}
+    loss = {}
+    for factors in (0, toxicity.FACTORS):
+        m = toxicity.train(df, lab, factors=factors)
+        held = [r for r in rows(toxicity.score(df, m)) if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+        loss[factors] = -np.mean([np.log(max(1e-9, r["score"] if truth[r["doc_id"]] else 1 - r["score"])) for r in held])
+        right = np.mean([(r["score"] >= 0.3) == truth[r["doc_id"]] for r in held])
+    assert right > 0.97 and loss[toxicity.FACTORS] < 0.6 * loss[0]
+
+
 def test_toxicity_odd_tables(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     nulls = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 1), (5, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
@@ -352,13 +384,40 @@ def test_toxicity_odd_tables(spark, odd, empty):
 # --- Packing
 
 
-def test_token_ids_are_those_of_the_whole_text():
-    e = packing.encoder(packing.tokenizer_path())
+@pytest.fixture(scope="module")
+def fresh():
+    """The tokenizer as the library loads it, nothing set."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def test_token_ids_are_those_of_the_whole_text(fresh):
     texts = ["", " ", "  a", "a  b", "a \n b", "a\n\nb", " \n", "x\n", "x \ny", "é  b", "a\tb c", "a \tb", "foo's can't\n'll <|endoftext|> z", "\n\n\n", "a b\x1c c \x1cd", "1 23\n45", "a \xa0b", "ab\u3000 c \u3000d", "of of\nof of"]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x\n<|endoftext|>\n\ny", "word<|endoftext|>word", "<|endoftext", "word.,' x's ol',\nWord!? äöü. ÀÖ×ab, aɐb ŉ ǅ"]
     rng = random.Random(6)
-    texts += ["".join(rng.choice(" \n\tab.é7'\x0b\u00a0") for _ in range(40)) for _ in range(300)]
-    for t, got in zip(texts, e(texts)):
-        assert got == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t)
+    texts += ["".join(rng.choice([*" \n\tab.é7'\x0b\u00a0,;×", "word", "<|endoftext|>"]) for _ in range(rng.randrange(60))) for _ in range(600)]
+    ids, n = packing.ChunkEncoder(packing.tokenizer_path())(pa.array(texts), 2)
+    assert n.sum() == len(ids)
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+        assert got.tolist() == [*fresh.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_what_is_not_remembered_is_encoded_again(fresh, monkeypatch):
+    monkeypatch.setattr(packing, "RUNS", 2)
+    monkeypatch.setattr(packing, "CHUNKS", 1)
+    e = packing.ChunkEncoder(packing.tokenizer_path())
+    texts = ["one two, three 4 five's\nsix", "one two, 4 three five's 4 six"]
+    for _ in range(2):
+        ids, n = e(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(e.runs) == 2 and len(e.chunks) == 1
+
+
+def test_blocks_split_at_no_text():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "", "b" * 100, "c", "d" * 9])], names=["text"])
+    parts = [p["text"].to_pylist() for p in packing.blocks(batch, "text", 20)]
+    assert [t for p in parts for t in p] == batch["text"].to_pylist() and [len(p) for p in parts] == [3, 1, 2]
 
 
 def check_packed(data, got, tokenizer):
@@ -385,14 +444,34 @@ def check_packed(data, got, tokenizer):
     return len(by_seq)
 
 
-def test_packing_is_complete_and_tight(spark):
+def test_packing_is_complete_and_tight(spark, fresh):
     rng = random.Random(8)
-    data = [(i, prose(rng, rng.choice([1, 5, 40, 200, 700]), "k")) for i in range(300)] + [(300, None), (301, "")]
+    data = [(i, prose(rng, rng.choice([1, 5, 40, 200, 700]), "k")) for i in range(300)] + [(300, None), (301, ""), (302, "a <|endoftext|>b"), (303, " ".join(["of"] * 2047)), (304, "x " * 30_000)]
     got = rows(packing.pack(spark.createDataFrame(data, "doc_id long, text string")))
-    n = check_packed(data, got, packing.encoder(packing.tokenizer_path()).tokenizer)
+    n = check_packed(data, got, fresh)
+    assert sum(r["length"] for r in got if r["doc_id"] == 303) == 2048  # a multiple of the sequence's length
     assert n <= 1.02 * max(sum(r["length"] for r in got) / 1024, sum(r["length"] > 512 for r in got)) + 1
 
 
+def plain_best_fit(lengths, capacity, weights, rule):
+    """Every open bin is looked at for every piece."""
+    bins, of = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        d = [x / c for x, c in zip((lengths[i], 1, lengths[i] ** 2), capacity)]
+        best = None
+        for k, r in enumerate(bins):
+            if all(x <= y + 1e-12 for x, y in zip(d, r)):
+                value = sum(w * (y - x) ** 2 for w, x, y in zip(weights, d, r)) if rule == "norm" else -sum(w * x * y for w, x, y in zip(weights, d, r))
+                if best is None or value < best[0] - 1e-15:
+                    best = (value, k)
+        if best is None:
+            bins.append([1.0, 1.0, 1.0])
+            best = (0, len(bins) - 1)
+        bins[best[1]] = [y - x for x, y in zip(d, bins[best[1]])]
+        of[i] = best[1]
+    return of
+
+
 def test_best_fit_keeps_every_capacity():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 700, 2000)
@@ -404,6 +483,30 @@ def test_best_fit_keeps_every_capacity():
         packing.best_fit(np.array([2000]))
 
 
+def test_best_fit_is_the_plain_search_and_every_capacity_counts():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 700, 500)
+    alone = {}
+    for rule in ("norm", "dot"):
+        for weights in ((1.0, 1.0, 1.0), (1.0, 0.2, 3.0), (1.0, 0.0, 0.0)):
+            bins = packing.best_fit(lengths, (1024, 6, 700_000), weights, rule).tolist()
+            assert bins == plain_best_fit(lengths.tolist(), (1024, 6, 700_000), weights, rule)
+            alone[rule, weights] = bins
+        assert alone[rule, (1.0, 1.0, 1.0)] != alone[rule, (1.0, 0.0, 0.0)]  # other capacities change the choice
+
+
+def test_pieces_keep_the_cost_capacity_and_repeated_rows_are_spread(spark):
+    df = spark.createDataFrame([(1, "of " * 100)] * 50 + [(None, None)] * 200, "doc_id long, text string")
+    got = rows(packing.pack(df, capacity=(1024, 8, 64 * 64), group_pieces=16))
+    assert sum(r["length"] for r in got) == 50 * 102 + 200 and max(r["length"] for r in got) == 64
+    by_seq = defaultdict(list)
+    for r in got:
+        by_seq[r["sequence_id"]].append(r["length"])
+    assert all(len(x) <= 8 and sum(n * n for n in x) <= 64 * 64 for x in by_seq.values())
+    groups = Counter(r["sequence_id"] >> 32 for r in got)
+    assert max(groups.values()) < 60 and len(groups) > 10
+
+
 def test_packing_odd_tables(spark, odd, empty):
     assert rows(packing.pack(empty)) == []
     got = rows(packing.pack(odd))
@@ -431,6 +534,24 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_rare_languages_are_learned_however_many_there_are(spark):
+    """300 languages beside one that has most rows; the sample holds all of them."""
+    rng = random.Random(12)
+    data = [(i, " ".join(rng.choice(["the", "and", "wing", "other"]) for _ in range(20)), "hot") for i in range(3000)]
+    stems = {f"l{k:03d}": "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(4)) for k in range(300)}
+    for k, (lang, stem) in enumerate(stems.items()):
+        data += [(10_000 + 20 * k + j, " ".join(stem + rng.choice("aeiou") for _ in range(20)), lang) for j in range(6)]
+    m = langid.train(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5), sample=2000)
+    assert set(m.languages) == {"hot", *stems}
+    best, _ = m.predict([f"{stem}a {stem}e {stem}i" for stem in stems.values()])
+    assert np.mean([m.languages[k] == lang for k, lang in zip(best, stems)]) > 0.9
+
+
+def test_an_id_with_many_rows_leaves_room_for_others(spark):
+    df = spark.createDataFrame([(7, "same words here", "aa")] * 500 + [(i, "other text there", "aa") for i in range(20, 60)] + [(i, "quoi le eau", "bb") for i in range(100, 140)], "doc_id long, text string, lang string")
+    assert set(langid.train(df, sample=30).languages) == {"aa", "bb"}
+
+
 def test_long_texts_are_read_whole():
     texts = ["abcé " * 200_000, "abcé " * 10, "", "z"]
     e = np.random.default_rng(1).normal(size=(langid.BUCKETS, 3)).astype(np.float32)
@@ -469,6 +590,21 @@ def test_media_round_trip(spark, odd, empty, tmp_path):
     assert rows(media.media_columns(empty, folder=str(tmp_path / "none"))) == []
 
 
+def test_other_keys_than_whole_numbers_are_an_error(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for call in (media.media_columns, substrings.repeated_passages):
+        with pytest.raises(TypeError):
+            call(df)
+
+
+def test_ranges_grow_with_the_archives(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "arc")
+    media.write_archives(docs(spark, [f"text {i} " * 50 for i in range(40)]), folder)
+    monkeypatch.setattr(media, "MOST_RANGES", 5)
+    parts = media.ArchiveReader({"path": folder, "rangeBytes": "1"}).partitions()
+    assert 4 <= len(parts) <= 9 and sum(p.last - p.first for p in parts) == 40
+
+
 def test_encode_decode_and_damage():
     for raw in (b"", b"x", b"\x00\xff" * 288, bytes(range(256)) * 9):
         p = media.decode(media.encode(raw))
@@ -558,11 +694,29 @@ def test_mixing_targets_and_fill(spark):
     assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] for s in sizes)
 
 
-def test_longer_documents_are_likelier_and_every_document_may_be_drawn(spark):
-    df = spark.createDataFrame([(i, " ".join(["w"] * (10 if i % 2 else 160)), "s") for i in range(3000)] + [(9000 + i, "w " * 50, "t") for i in range(4000)], "doc_id long, text string, source string")
-    got = rows(mixing.mix(df, weights=(1, 3), share=0.8))
-    share = lambda long: np.mean([r["taken"] > 0 for r in got if r["doc_id"] < 9000 and (r["size"] == 160) == long])
-    assert share(True) > share(False) > 0.02
+def test_inclusion_probabilities_are_solved_and_kept(spark):
+    """Each size is drawn about as often as its probability says; the certain ones always."""
+    kinds = [10] * 3000 + [40] * 2000 + [160] * 1200 + [90_000, 120_000]
+    sized = spark.createDataFrame([(i, "s", n) for i, n in enumerate(kinds)] + [(50_000 + i, "t", 200) for i in range(3000)], "key long, source string, size long")
+    drawn, p = Counter(), {}
+    seeds = 3
+    for k in range(seeds):
+        for r in rows(mixing.copies(sized, weights=(1, 1), share=0.5, seed=f"seed-{k}")):
+            if r["source"] == "s":
+                p[r["size"]] = r["inclusion"]
+                drawn[r["size"]] += r["copies"]
+                rest = r["target"]
+    assert rest < r["source_size"] and abs(sum(p[n] * n for n in kinds) - rest) < 1e-6 * rest
+    assert p[90_000] == p[120_000] == 1 and drawn[90_000] == drawn[120_000] == seeds
+    for n, m in Counter(kinds[:-2]).items():
+        rate, sd = drawn[n] / (seeds * m), (p[n] * (1 - p[n]) / (seeds * m)) ** 0.5
+        assert abs(rate - p[n]) < 4 * sd + 0.005 and abs(p[n] / p[10] - (n / 10) ** 0.5) < 1e-9
+
+
+def test_documents_without_words_are_not_drawn(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, " ", "a"), (3, "w " * 30, "b"), (4, "", "b")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["taken"] for r in rows(mixing.mix(df))} == {1: 0, 2: 0, 3: 30, 4: 0}
+    assert {r["doc_id"] for r in rows(mixing.repeat_rows(df))} == {3, 4}
 
 
 def test_mixing_odd_tables(spark, odd, empty):
