@@ -110,9 +110,11 @@ def bootstrap_one_per_cell(spark, d):
     return cells.groupBy("rep").agg(F.count("*").alias("n_cells"), F.round(F.avg("z_m"), 7).alias("z_mean")).join(per_source, "rep")
 
 
-@query("bootstrap_summary", f"{W}, i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM u), dr AS (SELECT rep, CAST(floor({uniform_sql(md5_sql(chr(39) + 'b' + chr(39), 'rep', 'i'))} * n) AS BIGINT) AS i FROM i, (SELECT unnest(range(1, {REPS + 1})) AS rep)), b AS (SELECT rep, round(avg(z_m), 7) AS z_mean, round(regr_r2(z_m, latitude), 9) AS r2 FROM dr JOIN i USING (i) GROUP BY rep), l AS (SELECT 'z_mean' AS metric, z_mean AS v FROM b UNION ALL SELECT 'r2', r2 FROM b) SELECT metric, count(*) AS n, round(avg(v), 7) AS mean, round(quantile_cont(v, 0.5), 7) AS median, round(quantile_cont(v, 0.05), 7) AS p05, round(quantile_cont(v, 0.25), 7) AS p25, round(quantile_cont(v, 0.75), 7) AS p75, round(quantile_cont(v, 0.95), 7) AS p95 FROM l GROUP BY metric")
+@query("bootstrap_summary", f"{W}, i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM u), dr AS (SELECT rep, CAST(floor({uniform_sql(md5_sql(chr(39) + 'b' + chr(39), 'rep', 'i'))} * n) AS BIGINT) AS i FROM i, (SELECT unnest(range(1, {REPS + 1})) AS rep)), b AS (SELECT rep, round(avg(z_m), 7) AS z_mean, round(regr_r2(z_m, latitude), 7) AS r2 FROM dr JOIN i USING (i) GROUP BY rep), l AS (SELECT 'z_mean' AS metric, z_mean AS v FROM b UNION ALL SELECT 'r2', r2 FROM b) SELECT metric, count(*) AS n, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.05), 9) AS p05, round(quantile_cont(v, 0.25), 9) AS p25, round(quantile_cont(v, 0.75), 9) AS p75, round(quantile_cont(v, 0.95), 9) AS p95 FROM l GROUP BY metric")
 def bootstrap_summary(spark, d):
-    return rounded(statistics.summary(bootstrap_rows(spark, d), ["z_mean", "r2"]))
+    """Of values with 7 digits, whose means and quantiles over 20 draws end within 9, so that none lies between two results of rounding."""
+    b = statistics.bootstrap_rows(usable_sites(spark, d), "id", REPS, "b").groupBy("rep").agg(F.round(F.avg("z_m"), 7).alias("z_mean"), F.round(F.regr_r2("z_m", "latitude"), 7).alias("r2"))
+    return rounded(statistics.summary(b, ["z_mean", "r2"]), 9)
 
 
 #: Intercept and gradient of the smooth field.
@@ -192,6 +194,32 @@ def random_axes(spark, d):
     return rounded(spark.range(10_000).select(k.alias("k"), F.degrees(F.asin(2 * statistics.uniform(statistics.draw("lat", k)) - 1)).alias("axis_lat"), (360 * statistics.uniform(statistics.draw("lon", k)) - 180).alias("axis_lon")))
 
 
+_MATCHED = "k * 200 + j"
+
+
+@query("matched_random_axes", f"WITH c AS (SELECT c_custkey AS k, CAST(c_custkey % 60 + 1 AS DOUBLE) AS angle_deg FROM customer WHERE c_custkey <= 25), e AS (SELECT k, angle_deg, unnest(range(0, 200)) AS j FROM c) SELECT k, angle_deg, j, round(degrees(asin(2 * {uniform_sql(md5_sql(chr(39) + 'mlat' + chr(39), _MATCHED))} - 1)), 7) AS axis_lat, round(360.0::DOUBLE * {uniform_sql(md5_sql(chr(39) + 'mlon' + chr(39), _MATCHED))} - 180, 7) AS axis_lon FROM e")
+def matched_random_axes(spark, d):
+    """For each of 25 candidates 200 random axes with its angle."""
+    c = table(spark, d, "customer").filter("c_custkey <= 25").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 60 + 1).cast("double").alias("angle_deg"))
+    return rounded(statistics.matched_axes(c, "k", 200, "m"))
+
+
+def _drawn_sql(name: str, by: str, seed: str, source: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rep, {by} ORDER BY {md5_sql(chr(39) + seed + chr(39), 'rep', 'id')}, id) AS k FROM {source}) WHERE k = 1)"
+
+
+@query("bootstrap_schemes", f"""{W}, e AS (SELECT rep, id, z_m, latitude, source_id, concat_ws('_', CAST(CAST(floor((latitude + 90) / 10) AS BIGINT) AS VARCHAR), CAST(CAST(floor((longitude + 180) / 20) AS BIGINT) AS VARCHAR)) AS cell FROM u, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
+    i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM u), dr AS (SELECT rep, CAST(floor({uniform_sql(md5_sql(chr(39) + 's' + chr(39), 'rep', 'i'))} * n) AS BIGINT) AS i FROM i, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
+    {_drawn_sql('pc', 'cell', 's-cell', 'e')}, {_drawn_sql('ps', 'source_id', 's-source', 'e')}, {_drawn_sql('pb', 'source_id', 's-both', '(SELECT rep, id, z_m, latitude, source_id, cell FROM pc)')},
+    a AS (SELECT 'ordinary' AS scheme, rep, z_m, latitude FROM dr JOIN i USING (i) UNION ALL SELECT 'one_per_cell', rep, z_m, latitude FROM pc UNION ALL SELECT 'one_per_source', rep, z_m, latitude FROM ps UNION ALL SELECT 'cell_then_source', rep, z_m, latitude FROM pb)
+    SELECT scheme, CAST(rep AS INTEGER) AS rep, count(*) AS n, round(avg(z_m), 7) AS z_mean, round(regr_r2(z_m, latitude), 9) AS r2 FROM a GROUP BY scheme, rep HAVING count(*) >= 20""")
+def bootstrap_schemes(spark, d):
+    """Every scheme's draws, those of fewer than 20 rows left out."""
+    s = usable_sites(spark, d).withColumn("cell", geo.cell_key("latitude", "longitude")).select("id", "z_m", "latitude", "source_id", "cell")
+    b = statistics.schemes(s, "cell", "source_id", "id", REPS, "s", 20)
+    return b.groupBy("scheme", "rep").agg(F.count("*").alias("n"), F.round(F.avg("z_m"), 7).alias("z_mean"), F.round(F.regr_r2("z_m", "latitude"), 9).alias("r2"))
+
+
 @query("field_interp", f"{W}, {_FIELD_SQL}, k AS (SELECT id, latitude AS lat, longitude AS lon, floor(latitude / 5) + i AS a, floor(longitude / 5) + j AS o FROM u, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)), c AS (SELECT id, k.lat, k.lon, (1 - abs(k.lat / 5 - a)) * (1 - abs(k.lon / 5 - o)) AS w, m FROM k LEFT JOIN f ON f.lat = 5 * a AND f.lon = 5 * o) SELECT id, lat, lon, round(sum(w * m) / nullif(sum(CASE WHEN m IS NOT NULL THEN w END), 0), 7) AS m FROM c WHERE w > 0 GROUP BY id, lat, lon")
 def field_interp(spark, d):
     points = usable_sites(spark, d).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
