@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +46,63 @@ def depth_summary(text: Column) -> Column:
     return F.when(F.size(v) > 0, F.struct(F.bround((low + high) / 2, 2).alias("mid"), F.bround(-high, 2).alias("low"), F.bround(-low, 2).alias("high")))
 
 
+# Where guyots and atolls say how deep they lie; one or two numbers each, in metres, or in kilometres where km follows.
+_UPTO = r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:-|to|and)?\s*(\d+(?:,\d{3})*(?:\.\d+)?)?\s*m"
+_ABOUT = r"depths?\s+of\s+(?:about\s+|approximately\s+|~\s*)?"
+GUYOT_DEPTHS = (
+    r"summit\s+depths?\s+of\s+about\s+(\d+(?:,\d{3})*(?:\.\d+)?)\b.{0,180}?\bm\b",
+    r"(?:summit|plateau|platform|top|break)\s+depths?(?:\s*\([^)]*\))?[^.;:]{0,100}?" + _UPTO,
+    r"(?:summit|plateau|platform|top|break)[^.]{0,80}?water\s+depths?[^.;:]{0,80}?" + _UPTO,
+    r"tops?\s+(?:lie|fall|are|deepen)[^.]{0,80}?" + _UPTO,
+    _ABOUT + _UPTO + r"[^.]{0,80}?(?:guyot|seamount|tablemount|platform)",
+    r"(?:guyot|seamount|tablemount|platform)[^.]{0,100}?" + _ABOUT + _UPTO,
+    r"(?:summits?|tops?)\s+(?:now\s+)?(?:being\s+)?(\d+(?:\.\d+)?)\s*(?:-|to)\s*(\d+(?:\.\d+)?)\s*km\s+below\s+sea\s+level",
+    r"(?:summits?|tops?)[^.]{0,80}?(\d+(?:\.\d+)?)\s*km\s+below\s+sea\s+level",
+    r"atoll\s+(?:top|surface)\s+falls\s+below\s+(\d+(?:\.\d+)?)\s*m\s+with\s+respect\s+to\s+sea\s+level",
+)
+# Phrases that name a place, in order; the second group, if any, is a second place.
+PLACE_PHRASES = (
+    r"offshore of ([A-Z][A-Za-z' -]+?)(?:,|\.|\sand|\sin|\sstretches|\sextends|\sis|\shas|\sranges)", r"off ([A-Z][A-Za-z' -]+?)(?:,|\.|\sand|\sin|\sstretches|\sextends|\sis|\shas|\sranges)",
+    r"between ([A-Z][A-Za-z' -]+?) and ([A-Z][A-Za-z' -]+?)(?:,|\.|\swhen|\swhere)", r"vicinity of ([A-Z][A-Za-z' -]+?)(?:,|\.|\sand|\sin)",
+    r"neighbourhood of ([A-Z][A-Za-z' -]+?)(?:,|\.|\sand|\sin)", r"near ([A-Z][A-Za-z' -]+?)(?:,|\.|\sand|\sin)",
+)
+SHOUTED_PLACE = r"\bNEAR\s+([A-Z][A-Z-]+(?:-[A-Z]+)*)"
+NO_SITE = "Narrative evidence locality"
+
+
+def guyot_depths(text: Column) -> Column:
+    """Depths of guyots in metres, each once, in the order of the patterns: the middle of two numbers, kilometres as metres; 300 to 6 000 m, or up to 100 m where an atoll is named."""
+    plain = F.replace(F.replace(text, F.lit("−"), F.lit("-")), F.lit("–"), F.lit("-"))
+    parts = []
+    for p in GUYOT_DEPTHS:
+        groups = [F.regexp_extract_all(plain, F.lit("(?i)" + p), F.lit(g)) for g in range(1 + p.count("(\\d"))]
+        zipped = F.arrays_zip(*(x.alias(n) for x, n in zip(groups, "tab")))
+        unit = lambda x: F.when(F.contains(F.lower(x["t"]), F.lit("km")), 1000.0).otherwise(1.0)
+        value = lambda x, g: number(F.nullif(x[g], F.lit(""))) * unit(x)
+        both = (lambda x: F.coalesce(F.bround((value(x, "a") + value(x, "b")) / 2, 2), value(x, "a"))) if len(groups) == 3 else (lambda x: value(x, "a"))
+        parts.append(F.transform(zipped, both))
+    atoll = F.contains(F.lower(plain), F.lit("atoll"))
+    return F.array_distinct(F.transform(F.filter(F.concat(*parts), lambda v: v.between(300, 6000) | ((v > 0) & (v <= 100) & atoll)), lambda v: F.bround(v, 2)))
+
+
+def site_name(text: Column, section: Column | None = None, known: Sequence[str] = ()) -> Column:
+    """The place a paragraph speaks of: one in capitals after NEAR, one named by a phrase, the section it stands in, the first of the `known` names in it, else a default."""
+    def clean(x: Column) -> Column:
+        plain = F.regexp_replace(collapse(x), r"^[ ,.;:]+|[ ,.;:]+$", "")
+        return F.nullif(F.substring(F.trim(F.regexp_replace(plain, r"(?i)\b(the|former|latter)\b$", "")), 1, 120), F.lit(""))
+
+    strip = lambda x: F.nullif(F.regexp_replace(x, "^[ -]+|[ -]+$", ""), F.lit(""))
+    named = []
+    for p in PLACE_PHRASES:
+        places = [strip(F.regexp_extract(text, p, g)) for g in range(1, 1 + p.count("([A-Z]"))]
+        named.append(F.nullif(F.concat_ws(" and ", *places), F.lit("")))
+    low = F.lower(text)
+    listed = [F.when(F.contains(low, F.lit(n.lower())), F.lit(n)) for n in known]
+    shouted = F.array_join(F.transform(F.split(F.lower(first_group(text, SHOUTED_PLACE)), "-"), F.initcap), "-")
+    ladder = [shouted, F.coalesce(*named), *([section] if section is not None else []), *listed]
+    return F.coalesce(*(clean(x) for x in ladder), F.lit(NO_SITE))
+
+
 def age_from_text(text: Column) -> Column:
     """struct(num, low, high) in ka: a range of years (`12-14,000` means 12 000), or the first number."""
     plain = F.replace(text, F.lit(","), F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import extraction as ex
 from tidemark.operators import interpret
-from tidemark.plans.evidence import _ATLAS_SQL, _NOTE_SQL, _RECORD_SQL, atlas_rows, notes, raw_records
+from tidemark.plans.evidence import _ATLAS_SQL, _COORDINATES_SQL, _NOTE_SQL, _RECORD_SQL, atlas_rows, notes, raw_records
 from tidemark.plans.registry import query, table
 from tidemark.sources import atlas
 
@@ -16,6 +16,23 @@ def depth_ranges(spark, d):
     return notes(spark, d).select("doc_id", ex.depth_summary(F.col("note")).alias("s")).select("doc_id", "s.mid", "s.low")
 
 
+@query("guyot_depths", "WITH k AS (SELECT p_partkey AS id, CAST(p_size * 100 AS DOUBLE) AS m FROM part) SELECT id, CASE id % 4 WHEN 0 THEN CASE WHEN m >= 300 THEN m END WHEN 1 THEN CASE WHEN m + 100 >= 300 THEN m + 100 END WHEN 2 THEN 1500.0::DOUBLE ELSE 45.0::DOUBLE END AS depth_m FROM k")
+def guyot_depths(spark, d):
+    k, m = F.col("p_partkey"), F.col("p_size") * 100
+    n = lambda x: x.cast("string")
+    t = F.when(k % 4 == 0, F.concat(F.lit("The guyot has a summit depth near "), n(m), F.lit(" m.")))
+    t = t.when(k % 4 == 1, F.concat(F.lit("Guyot tops lie between "), n(m), F.lit("–"), n(m + 200), F.lit(" m."))).when(k % 4 == 2, "Its summits now being 1.2-1.8 km below sea level").otherwise("An atoll top falls below 45 m with respect to sea level")
+    return table(spark, d, "part").select(k.alias("id"), F.get(ex.guyot_depths(t), 0).alias("depth_m"))
+
+
+@query("site_names", "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'Port-Elin' WHEN 1 THEN 'Cape Nord' WHEN 2 THEN 'Holm and Vik' WHEN 3 THEN c_mktsegment WHEN 4 THEN 'Malta' ELSE 'Narrative evidence locality' END AS site FROM customer")
+def site_names(spark, d):
+    k = F.col("c_custkey")
+    t = F.when(k % 6 == 0, "BEACHES NEAR PORT-ELIN").when(k % 6 == 1, "A terrace off Cape Nord, drowned.").when(k % 6 == 2, "Found between Holm and Vik when dredged.").when(k % 6 == 4, "so said malta").otherwise("nothing here")
+    section = F.when(k % 6 == 3, F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" the")))
+    return table(spark, d, "customer").select(k.alias("id"), ex.site_name(t, section, ["Gozo", "Malta"]).alias("site"))
+
+
 @query("age_texts", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey % 90 + 10) / 1000.0::DOUBLE END AS num, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 90 + 10)::DOUBLE END AS low, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 90 + 10) + 1.0::DOUBLE END AS high FROM orders")
 def age_texts(spark, d):
     n = (F.col("o_orderkey") % 90 + 10).cast("string")
@@ -86,11 +103,17 @@ def json_strings(spark, d):
     return e.select("event_id", F.get("s", 0).alias("first_string"), F.size("s").cast("long").alias("n"))
 
 
-@query("document_records", f"WITH {_NOTE_SQL} SELECT CAST(doc_id AS VARCHAR) AS source_id, 'submerged_beach' AS indicator_type, -(doc_id % 90 + 0.5::DOUBLE) AS elevation_m, abs(doc_id % 120 - 10) + 0.125::DOUBLE AS latitude FROM notes WHERE length(note) <= 20000 AND abs(doc_id % 120 - 10) < 90 AND doc_id % 360 BETWEEN 1 AND 358")
+_INDICATORS_SQL = "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(head, '{'|'.join(phrases)}') THEN ['{name}'] ELSE [] END" for name, phrases in interpret.INDICATORS) + ")"
+
+
+@query("document_records", f"""WITH {_COORDINATES_SQL}, r AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, lat AS latitude, -TRY_CAST(regexp_extract(note, '(?i)(?:water depth|depth(?: of| at)?)\\s+(?:of\\s+)?(\\d+(?:\\.\\d+)?)\\s*m', 1) AS DOUBLE) AS elevation_m,
+        lower(substr(note, 1, 6000)) AS head FROM located WHERE lat IS NOT NULL AND lon IS NOT NULL),
+    n AS (SELECT *, {_INDICATORS_SQL} AS found FROM r)
+    SELECT source_id, unnest(CASE WHEN len(found) > 0 THEN found ELSE ['{interpret.DEFAULT_INDICATOR}'] END) AS indicator_type, elevation_m, latitude FROM n""")
 def document_records(spark, d):
-    n = notes(spark, d).filter("length(note) <= 20000").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("Report off Cape Nord").alias("title"), F.col("note").alias("text"))
-    r = interpret.document_records(n).filter("CAST(source_id AS BIGINT) % 360 < 359 AND abs(CAST(source_id AS BIGINT) % 120 - 10) < 90")
-    return r.select("source_id", "indicator_type", "elevation_m", "latitude")
+    """A record for each indicator of each note with coordinates; indicators count within the first 6 000 characters and coordinates within 20 000, which are the operator's rules."""
+    n = notes(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), F.lit("Report off Cape Nord").alias("title"), F.col("note").alias("text"))
+    return interpret.document_records(n).select("source_id", "indicator_type", "elevation_m", "latitude")
 
 
 @query("evidence_clusters", f"WITH {_NOTE_SQL} SELECT CAST(doc_id AS VARCHAR) AS source_id, 'landform' AS kind, -(doc_id % 90 + 0.5::DOUBLE) AS elevation_m FROM notes")
