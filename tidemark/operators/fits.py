@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
+from tidemark.operators.statistics import spearman
 
 
 def line(y: str, x) -> dict[str, Column]:
@@ -171,6 +172,18 @@ def spectral(df: DataFrame, lmax: int = 3, z: str = "z_m") -> DataFrame:
     return df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["degree", "n", "r2", "gain", "degree_norm"]))
 
 
+def residual_fit(df: DataFrame, z: str = "z_m") -> DataFrame:
+    """One row: r2 of degree 1 alone, of degrees 1 and 2 together, of degree 2 on what degree 1 leaves (its share of the left sum of squares), and of both steps after another."""
+    m = gram(df, harmonic_terms(2), z)
+    (beta, first), (_, both) = solve_gram(m, 3), solve_gram(m, 8)
+    t = np.eye(10)
+    t[9, :4] = -beta  # the target becomes the residual of degree 1
+    left = t @ m @ t.T
+    keep = [0, *range(4, 9), 9]
+    _, second = solve_gram(left[np.ix_(keep, keep)], 5)
+    return df.sparkSession.createDataFrame([(int(m[0, 0]), first, both, second, first + (1 - first) * second)], "n long, r2_l1 double, r2_l1_l2 double, r2_residual_l2 double, r2_two_steps double")
+
+
 def quadrupole(df: DataFrame, z: str = "z_m") -> DataFrame:
     """The degree-2 part of the fit as a trace-free tensor: its eigenvalues, greatest first, and their axes, turned to the northern half."""
     beta, _ = solve_gram(gram(df, harmonic_terms(2), z), 8)
@@ -184,11 +197,22 @@ def quadrupole(df: DataFrame, z: str = "z_m") -> DataFrame:
     return df.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "rank int, eigenvalue double, axis_lat double, axis_lon double")
 
 
+#: What names a rotation candidate, and what a fit of it gives.
+CANDIDATE = ("axis_lat", "axis_lon", "angle_deg", "lambda_q")
+ROTATION_FIT = ("n", "r2", "rmse", "intercept", "rotation_coeff", "quadrupole_norm", *(f"q_{k}" for k in ("xy", "yz", "z2", "xz", "x2y2")))
+#: Candidates that a task fits, and that `rotation_scores` takes at most.
+SCAN_ROWS, MOST_SCORED = 20_000, 10_000
+
+
+def _turned_pole() -> tuple[Column, Column, Column]:
+    return geo.rotate((F.lit(0.0), F.lit(0.0), F.lit(1.0)), geo.unit("axis_lat", "axis_lon"), F.col("angle_deg"))
+
+
 def rotation_scan(df: DataFrame, axes: Sequence[tuple[float, float]], angles: Sequence[float], penalties: Sequence[float], z: str = "z_m") -> DataFrame:
-    """Ridge fits of z on the potential's anomaly for turns of the pole, beside the quadrupole: axis_lat, axis_lon, angle_deg, lambda_q, r2.
+    """Ridge fits of z on the potential's anomaly for turns of the pole, beside the quadrupole: axis_lat, axis_lon, angle_deg, lambda_q, n, r2, rmse and the coefficients, that of the anomaly for its scaled form.
 
-    The anomaly is a quadratic form of the unit vector, so every candidate is fitted from the same 9 x 9 sums; the
-    candidates are spread over tasks, and the rows of the table are read once.
+    The anomaly is a quadratic form of the unit vector, so every candidate is fitted from the same 9 x 9 sums; a task solves
+    its candidates' stacked matrices, and the rows of the table are read once.
     """
     spark = df.sparkSession
     x, y, w = geo.unit("latitude", "longitude")
@@ -196,27 +220,61 @@ def rotation_scan(df: DataFrame, axes: Sequence[tuple[float, float]], angles: Se
     held = spark.sparkContext.broadcast(m)
     cands = spark.createDataFrame([(float(a), float(o)) for a, o in axes], "axis_lat double, axis_lon double")
     cands = cands.withColumn("angle_deg", F.explode(F.array(*(F.lit(float(a)) for a in angles)))).withColumn("lambda_q", F.explode(F.array(*(F.lit(float(p)) for p in penalties))))
-    pole = geo.rotate((F.lit(0.0), F.lit(0.0), F.lit(1.0)), geo.unit("axis_lat", "axis_lon"), F.col("angle_deg"))
-    cands = cands.select("*", *(p.alias(f"p{i}") for i, p in enumerate(pole))).repartition(8)
+    tasks = -(-len(axes) * len(angles) * len(penalties) // SCAN_ROWS)
+    cands = cands.select("*", *(p.alias(f"p{i}") for i, p in enumerate(_turned_pole()))).repartition(max(1, tasks))
+    quad = np.zeros((8, 8))  # 1, the anomaly (set below), xy, yz, 3zz - 1, xz, xx - yy, z of 1, xx, yy, zz, xy, yz, xz, z
+    quad[0, 0] = quad[2, 4] = quad[3, 5] = quad[5, 6] = quad[6, 1] = quad[7, 7] = 1.0
+    quad[4, 0], quad[4, 3], quad[6, 2] = -1.0, 3.0, -1.0
 
     def fit(batches):
         g = held.value
         for pdf in batches:
-            out = []
-            for lam, a, b, c in zip(pdf["lambda_q"], pdf["p0"], pdf["p1"], pdf["p2"]):
-                # anomaly ~ (r.p)^2 - z^2, over 1, xx, yy, zz, xy, yz, xz
-                form = np.array([0.0, a * a, b * b, c * c - 1, 2 * a * b, 2 * b * c, 2 * a * c])
-                quad = np.array([[1, 0, 0, 0, 0, 0, 0], form, [0, 0, 0, 0, 1, 0, 0], [0, 0, 0, 0, 0, 1, 0], [-1, 0, 0, 3, 0, 0, 0], [0, 0, 0, 0, 0, 0, 1], [0, 1, -1, 0, 0, 0, 0]], dtype=float)
-                t = np.zeros((8, 8))
-                t[:7, :7], t[7, 7] = quad, 1.0
-                s = t @ g @ t.T
-                scale = np.sqrt(max(s[1, 1] / max(s[0, 0], 1) - (s[0, 1] / max(s[0, 0], 1)) ** 2, 1e-12))
-                s[1] /= scale
-                s[:, 1] /= scale
-                out.append(solve_gram(s, 6, np.concatenate([[1e-9], np.full(5, lam)]))[1])
-            yield pdf[["axis_lat", "axis_lon", "angle_deg", "lambda_q"]].assign(r2=out)
-
-    return cands.mapInPandas(fit, "axis_lat double, axis_lon double, angle_deg double, lambda_q double, r2 double")
+            a, b, c = (pdf[f"p{i}"].to_numpy() for i in range(3))
+            t = np.repeat(quad[None], len(pdf), axis=0)
+            t[:, 1, :7] = np.column_stack([0 * a, a * a, b * b, c * c - 1, 2 * a * b, 2 * b * c, 2 * a * c])  # (r.p)^2 - z^2
+            s = t @ g @ t.transpose(0, 2, 1)
+            n = np.maximum(s[:, 0, 0], 1)
+            scale = np.sqrt(np.maximum(s[:, 1, 1] / n - (s[:, 0, 1] / n) ** 2, 1e-12))
+            s[:, 1] /= scale[:, None]
+            s[:, :, 1] /= scale[:, None]
+            plain, rhs = s[:, :7, :7], s[:, :7, 7]
+            ridge = np.zeros_like(plain)
+            ridge[:, 0, 0], ridge[:, 1, 1] = s[:, 0, 0] == 0, 1e-9
+            for k in range(2, 7):
+                ridge[:, k, k] = pdf["lambda_q"]
+            beta = np.linalg.solve(plain + ridge, rhs[..., None])[..., 0]
+            left = s[:, 7, 7] - 2 * (beta * rhs).sum(axis=1) + np.einsum("ni,nij,nj->n", beta, plain, beta)
+            total = s[:, 7, 7] - s[:, 0, 7] ** 2 / n
+            with np.errstate(invalid="ignore", divide="ignore"):
+                fitted = [s[:, 0, 0].astype(np.int64), np.where(total > 0, 1 - left / total, np.nan), np.sqrt(np.maximum(left, 0) / n), beta[:, 0], beta[:, 1], np.sqrt((beta[:, 2:] ** 2).sum(axis=1)), *beta[:, 2:].T]
+            yield pdf[list(CANDIDATE)].assign(**dict(zip(ROTATION_FIT, fitted)))
+
+    return cands.mapInPandas(fit, ", ".join([*(f"{c} double" for c in CANDIDATE), "n long", *(f"{c} double" for c in ROTATION_FIT[1:])]))
+
+
+def rotation_scores(df: DataFrame, fitted: DataFrame, z: str = "z_m") -> DataFrame:
+    """The candidates `fitted` (rows of `rotation_scan`, MOST_SCORED at most) with what needs residuals: rotated_pole_lat, rotated_pole_lon, mae, spearman of prediction and z, rotation_spearman of the anomaly alone and z.
+
+    The candidates are broadcast to the rows, once for their scale and once for the residuals; ranks are dealt by candidate and range.
+    """
+    if fitted.count() > MOST_SCORED:
+        raise ValueError("too many candidates to score; take the best of them")
+    pole = _turned_pole()
+    c = fitted.withColumns({f"p{i}": p for i, p in enumerate(pole)} | {"rotated_pole_lat": geo.latitude(pole), "rotated_pole_lon": geo.longitude(pole)})
+    v = geo.unit("latitude", "longitude")
+    terms = {k: t for k, t in harmonic_terms(2).items() if k not in ("x", "y", "z")}
+    rows = df.select(*(x.alias(f"v{i}") for i, x in enumerate(v)), *(t.alias(f"t_{k}") for k, t in terms.items()), F.col(z).alias("obs"))
+    dot = sum(F.col(f"v{i}") * F.col(f"p{i}") for i in range(3))
+    anomaly = dot * dot - F.col("v2") * F.col("v2")
+    scales = rows.crossJoin(F.broadcast(c.select(*CANDIDATE, "p0", "p1", "p2"))).groupBy(*CANDIDATE).agg(F.greatest(F.stddev_pop(anomaly), F.lit(1e-6)).alias("scale"))
+    met = rows.crossJoin(F.broadcast(c.join(scales, [*CANDIDATE]))).withColumn("rot", anomaly / F.col("scale"))
+    met = met.withColumn("pred", F.col("intercept") + F.col("rotation_coeff") * F.col("rot") + sum(F.col(f"q_{k}") * F.col(f"t_{k}") for k in terms))
+    errors = met.groupBy(*CANDIDATE).agg(F.avg(F.abs(F.col("obs") - F.col("pred"))).alias("mae"))
+    digits = met.select(*CANDIDATE, "obs", F.round("pred", 9).alias("pred"), F.round("rot", 12).alias("rot"))
+    ranks = spearman(digits, "pred", "obs", CANDIDATE).select(*CANDIDATE, "spearman")
+    alone = spearman(digits, "rot", "obs", CANDIDATE).select(*CANDIDATE, F.col("spearman").alias("rotation_spearman"))
+    out = c.drop("p0", "p1", "p2").join(errors, [*CANDIDATE]).join(ranks, [*CANDIDATE], "left").join(alone, [*CANDIDATE], "left")
+    return out.select(*CANDIDATE, "rotated_pole_lat", "rotated_pole_lon", *ROTATION_FIT, "mae", "spearman", "rotation_spearman")
 
 
 def influence(df: DataFrame, top: int = 25, z: str = "z_m", key: str = "id") -> DataFrame:

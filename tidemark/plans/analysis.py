@@ -245,20 +245,40 @@ def quadrupole_eigen(spark, d):
     return fits.quadrupole(usable_sites(spark, d))
 
 
+# The scan's axes (every 5 degrees), angles (every 2) and penalties.
+SCAN_AXES = [(lat, lon) for lat in range(-60, 61, 5) for lon in range(-180, 180, 5)]
+SCAN_ANGLES = range(1, 121, 2)
+SCAN_PENALTIES = (0.1, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10_000.0, 30_000.0, 100_000.0)
+
+
+def ridge_scan(spark, d):
+    return fits.rotation_scan(usable_sites(spark, d), SCAN_AXES, SCAN_ANGLES, SCAN_PENALTIES)
+
+
 @query("rotation_ridge_scan")
 def rotation_ridge_scan(spark, d):
-    axes = [(lat, lon) for lat in range(-80, 81, 20) for lon in range(-180, 180, 20)]
-    scan = fits.rotation_scan(usable_sites(spark, d), axes, range(3, 60, 6), (0.1, 1.0, 10.0, 100.0, 1000.0))
-    return scan.orderBy(F.desc("r2"), "axis_lat", "axis_lon", "angle_deg", "lambda_q").limit(250)
+    """The 250 best of all 1 296 000 candidates, a report of fixed length."""
+    return ridge_scan(spark, d).withColumn("_r", F.round("r2", 9)).orderBy(F.desc("_r"), "axis_lat", "axis_lon", "angle_deg", "lambda_q").limit(250).drop("_r")
 
 
 @query("conservative_rotation")
 def conservative_rotation(spark, d):
-    """The best candidate with a penalty of 100 or more, else the best of all."""
-    axes = [(lat, lon) for lat in range(-80, 81, 40) for lon in range(-180, 180, 40)]
-    scan = fits.rotation_scan(usable_sites(spark, d), axes, (9, 21, 33), (1.0, 100.0, 1000.0))
-    key = F.struct(F.col("lambda_q") >= 100, F.round("r2", 10))
-    return scan.agg(F.max_by(F.struct(*scan.columns), key).alias("b")).select("b.*")
+    """The best candidate with a penalty of 100 or more, else the best of all; of equal ones the first axis, angle and penalty."""
+    scan = ridge_scan(spark, d)
+    key = F.struct(F.col("lambda_q") < 100, -F.round("r2", 9), *fits.CANDIDATE)
+    return scan.agg(F.min_by(F.struct(*scan.columns), key).alias("b")).select("b.*")
+
+
+@query("rotation_scores")
+def rotation_scores(spark, d):
+    """The fixed reference turns in full: fit, pole, coefficients, errors and rank correlations, for each penalty."""
+    s = usable_sites(spark, d)
+    return fits.rotation_scores(s, fits.rotation_scan(s, [(40, -175), (0, 30), (32, -74)], (21, 43), (0.1, 10.0, 1000.0)))
+
+
+@query("residual_fit")
+def residual_fit(spark, d):
+    return fits.residual_fit(usable_sites(spark, d))
 
 
 @query("influence_top25")
