@@ -93,12 +93,10 @@ def merge_into(path: str, key: str = "id"):
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
-        try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):  # else this is the table's first batch
             existing = spark.read.schema(batch.schema).parquet(path)
             new = append_merge(existing.limit(0), new.join(existing.select(key), key, "left_anti"), key)
-        except Exception as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.select(*batch.columns).write.mode("append").parquet(path)
 
     return write
