@@ -362,3 +362,65 @@ def test_entry_needs_no_session():
 
     root = Path(__file__).resolve().parent.parent
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'best_plane' in e.queries() and e.oracle_sql()"], cwd=root, check=True)
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 40])
+def test_gamma_by_ranges(spark, blocks):
+    """A value that a third of the rows have, and many ties, however many ranges there are."""
+    rng = random.Random(blocks)
+    data = [(float(rng.choice([5, rng.randrange(40), rng.randrange(40)])), float(rng.choice([7, rng.randrange(30), rng.randrange(30)]))) for _ in range(220)]
+    c = sum((a - p) * (b - q) > 0 for a, b in data for p, q in data) // 2
+    d = sum((a - p) * (b - q) < 0 for a, b in data for p, q in data) // 2
+    got = statistics.gamma(spark.createDataFrame([*data, (None, 1.0)], "x double, y double"), "x", "y", blocks).first()
+    assert (got["concordant"], got["discordant"]) == (c, d) and abs(got["gamma"] - (c - d) / (c + d)) < 1e-12
+
+
+def test_quantiles_by_ranges(spark):
+    rng = random.Random(2)
+    data = [("a", round(rng.gauss(0, 3), 1)) for _ in range(300)] + [("b", 4.0)] * 40 + [(None, float(k)) for k in range(7)] + [("c", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(3)
+    shares = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    got = {r["g"]: r for r in statistics.quantiles(df, "v", shares, ["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, r in got.items():
+        v = [x for k, x in data if k == g and x is not None]
+        assert r["n"] == len(v) and all(abs(r[n] - np.quantile(v, p)) < 1e-9 for n, p in shares.items())
+    whole = statistics.quantiles(df, "v", shares).first()
+    assert abs(whole["median"] - np.median([x for _, x in data if x is not None])) < 1e-9
+    assert statistics.quantiles(df.limit(0), "v", shares, ["g"]).collect() == [] and statistics.quantiles(df.limit(0), "v", shares).first()["n"] is None
+    assert statistics.trim(df.filter("g = 'a'"), "v").count() == sum(np.quantile([x for k, x in data if k == "a"], 0.02) <= x <= np.quantile([x for k, x in data if k == "a"], 0.98) for k, x in data if k == "a")
+
+
+def test_rotation_scores_and_residual_fit(points):
+    lat, lon, z, df = points
+    v = unit(lat, lon)
+    x, y, w = v.T
+    quad = np.column_stack([x * y, y * w, 3 * w * w - 1, x * w, x * x - y * y])
+    r = fits.rotation_scores(df, fits.rotation_scan(df, [(40, -175)], [21], [10.0])).first()
+    pole = unit(np.array([r["rotated_pole_lat"]]), np.array([r["rotated_pole_lon"]]))[0]
+    rot = (v @ pole) ** 2 - w**2
+    rot /= rot.std()
+    d = np.column_stack([np.ones(len(z)), rot, quad])
+    beta = np.linalg.solve(d.T @ d + np.diag([0, 1e-9, *[10.0] * 5]), d.T @ z)
+    left = z - d @ beta
+    rank = lambda a: np.argsort(np.argsort(a))
+    assert np.allclose([r["intercept"], r["rotation_coeff"], r["quadrupole_norm"]], [beta[0], beta[1], np.linalg.norm(beta[2:])])
+    assert np.allclose([r["rmse"], r["mae"], r["spearman"]], [np.sqrt((left**2).mean()), np.abs(left).mean(), np.corrcoef(rank(d @ beta), rank(z))[0, 1]])
+    f = fits.residual_fit(df).first()
+    b1, l1 = r2_of(v, z)
+    both = r2_of(np.column_stack([v, quad]), z)[1]
+    rest = z - np.column_stack([np.ones(len(z)), v]) @ b1
+    assert np.allclose([f["r2_l1"], f["r2_l1_l2"], f["r2_residual_l2"]], [l1, both, r2_of(quad, rest)[1]]) and f["r2_two_steps"] <= both + 1e-9
+    with pytest.raises(ValueError):
+        fits.rotation_scores(df, df.sparkSession.range(fits.MOST_SCORED + 1))
+
+
+def test_tables_of_no_kind_and_odd_rows(spark):
+    from tidemark.operators import tables
+
+    html = ["<table><tr><td>a</td></tr></table>", "", None, "<table><tr><td>Beach name</td><td>Age</td></tr><tr><td></td><td></td></tr><tr><td>x</td></tr><tr><td>5 fathom beach</td><td>none</td></tr></table>"]
+    items = spark.createDataFrame([(f"s{i}", i, None, h) for i, h in enumerate(html)], "source_id string, table_no int, caption string, html string")
+    docs = spark.createDataFrame([("s3", None, None)], "source_id string, title string, text string")
+    got = tables.mined(items, docs).collect()
+    assert [(r["source_id"], r["row"], r["elevation_m"], r["group_name"], r["age"]["num"], r["dating_method"]) for r in got] == [("s3", 2, -9.14, "x", None, "other")]
+    assert tables.mined(items.limit(0), docs).collect() == []

@@ -40,7 +40,7 @@ def placed_values(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """For each group `n` and exact quantiles, interpolated between neighbours; nulls are left out. A row for no group but an empty table has none."""
+    """For each group `n` and exact quantiles, interpolated between neighbours; nulls are left out. Without `by` there is one row, of nulls if nothing is left."""
     placed = placed_values(df.filter(F.col(value).isNotNull()), value, by)
     each = _same(placed, placed.groupBy(*by).agg(F.sum("_n").alias("n")), by)
     place = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in shares.items()}
