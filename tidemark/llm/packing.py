@@ -26,9 +26,9 @@ END = 2
 #: Pieces shorter than a sequence that one group packs together, about; groups are dealt by hash.
 GROUP_PIECES = 16_384
 #: Runs of letters or marks, and other chunks, whose ids a worker remembers.
-RUNS, CHUNKS = 800_000, 100_000
+RUNS, CHUNKS = 600_000, 100_000
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 #: Where a token begins whatever stands before: at a blank or line feed before a visible character.
 _CHUNKS = re.compile(r"(?=[ \n]\S)").split

@@ -25,7 +25,7 @@ PREFIXES = (4, 5, 6)
 FACTORS, EPOCHS, RATE, DECAY = 8, 12, 0.1, 1e-4
 THRESHOLD = 0.3
 #: Words whose terms a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _find_words = re.compile(r"[^\W\d_]+").findall
 
