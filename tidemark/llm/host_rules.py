@@ -112,7 +112,7 @@ def host_verdicts(counted: DataFrame, limits: dict[str, float] | None = None) ->
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", limits: dict[str, float] | None = None) -> DataFrame:
     """A row for each row of `df`: key, the counts, base_failed, host_blocked, kept.
 
-    Null and empty texts have no words and fail. Rows of a null host share one host. Repeated rows stay and count
+    Null and empty texts have no words and fail; very long texts are counted whole. A rate equal to its limit blocks. Rows of a null host share one host. Repeated rows stay and count
     each. An empty table gives an empty result. The counts, without texts, are computed once and kept in the
     shared folder; hosts are summed map-side before they are shuffled, so a hot host costs no more than others.
     """
