@@ -424,3 +424,13 @@ def test_tables_of_no_kind_and_odd_rows(spark):
     got = tables.mined(items, docs).collect()
     assert [(r["source_id"], r["row"], r["elevation_m"], r["group_name"], r["age"]["num"], r["dating_method"]) for r in got] == [("s3", 2, -9.14, "x", None, "other")]
     assert tables.mined(items.limit(0), docs).collect() == []
+
+
+def test_large_grids_are_broadcast_in_parts(points, monkeypatch):
+    from tidemark.functions import placing
+
+    df = points[3]
+    want = sorted(tuple(r) for r in fits.plane_rescan(df, 22.0).collect())
+    monkeypatch.setattr(placing, "MOST_BROADCAST", 40)
+    got = sorted(tuple(r) for r in fits.plane_rescan(df, 22.0).collect())
+    assert len(got) == len(want) == 9 * 16 and np.allclose(np.array(got, dtype=float), np.array(want, dtype=float), equal_nan=True)

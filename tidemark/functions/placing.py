@@ -54,3 +54,13 @@ def running(df: DataFrame, order: Sequence[str], amount: str, out: str) -> DataF
     dealt, starts = _dealt(df, order, F.col(amount))
     before = F.sum(amount).over(Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
     return dealt.withColumn(out, F.coalesce(before, F.lit(0))).join(starts, "_p").withColumn(out, F.col(out) + F.col("_s")).drop("_p", "_s", "_at")
+
+
+#: Rows of a grid of candidates that are broadcast at once.
+MOST_BROADCAST = 1 << 20
+
+
+def in_parts(grid: DataFrame, rows: int | None = None) -> list[DataFrame]:
+    """`grid` in parts, by a hash, of about MOST_BROADCAST rows at most, each small enough to broadcast; `rows`, if known, saves counting."""
+    parts = max(1, -(-(grid.count() if rows is None else rows) // MOST_BROADCAST))
+    return [grid] if parts == 1 else [grid.filter(F.pmod(F.xxhash64(*grid.columns), F.lit(parts)) == k) for k in range(parts)]

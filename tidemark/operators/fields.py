@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.functions import geo
+from tidemark.functions.placing import in_parts
 
 LAT_NAMES = ("lat", "latitude", "y")
 LON_NAMES = ("lon", "longitude", "long", "x")
@@ -90,12 +92,13 @@ def centroid(lat, lon, weight: Column | None = None) -> tuple[Column, Column]:
 def preference(records: DataFrame, poles: DataFrame, bulge: float = 11_000.0, sigma: float = 25.0) -> DataFrame:
     """How well each candidate pole (px, py, pz) predicts the weighted records: preference_raw, preference_norm, hit_fraction, mae_m, rmse_m, preference_0_1.
 
-    The grid, whose size its steps set, is broadcast; places with equal z and weight are summed first.
+    The grid, whose size its steps set, is broadcast, in parts if it has over a million poles; places with equal z and weight are summed first.
     """
     keys = [c for c in poles.columns]
     places = records.groupBy("latitude", "longitude", "z_m", "weight").agg(F.count("*").alias("n"))
     v = geo.unit("latitude", "longitude")
-    met = places.select(*(c.alias(f"v{i}") for i, c in enumerate(v)), "z_m", (F.col("weight") * F.col("n")).alias("w")).crossJoin(F.broadcast(poles))
+    weighed = places.select(*(c.alias(f"v{i}") for i, c in enumerate(v)), "z_m", (F.col("weight") * F.col("n")).alias("w"))
+    met = reduce(DataFrame.unionByName, (weighed.crossJoin(F.broadcast(p)) for p in in_parts(poles)))
     miss = F.col("z_m") - geo.predicted_elevation((F.col("v0"), F.col("v1"), F.col("v2")), (F.col("px"), F.col("py"), F.col("pz")), bulge)
     scored = met.withColumn("miss", miss)
     w, x = F.col("w"), F.col("miss")

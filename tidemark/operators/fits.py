@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
+from tidemark.functions.placing import in_parts
 from tidemark.operators.statistics import spearman
 
 
@@ -105,13 +107,14 @@ def pole_grid(spark, step: float, last_lat: float = 88.0) -> DataFrame:
 def plane_rescan(df: DataFrame, step: float = 4.0, z: str = "z_m") -> DataFrame:
     """For each pole of the grid the fit of z on the distance from its great circle: pole_lat, pole_lon, n, r2, slope.
 
-    The grid (4 050 poles at 4 degrees) is broadcast to the places; each task keeps one row of sums a pole.
+    The grid (4 050 poles at 4 degrees) is broadcast to the places, in parts if it has over a million poles; each task keeps one row of sums a pole.
     """
     x, y, w = geo.unit("latitude", "longitude")
     places = by_place(df, z).select("n", "sz", "szz", x.alias("x"), y.alias("y"), w.alias("w"))
     p, q, r = geo.unit("pole_lat", "pole_lon")
     grid = pole_grid(df.sparkSession, step).select("pole_lat", "pole_lon", p.alias("p"), q.alias("q"), r.alias("r"))
-    met = places.crossJoin(F.broadcast(grid))  # a pair costs a dot product and an arc sine
+    parts = in_parts(grid, (int(round(176 / step)) + 1) * int(round(360 / step)))
+    met = reduce(DataFrame.unionByName, (places.crossJoin(F.broadcast(g)) for g in parts))  # a pair costs a dot product and an arc sine
     d = geo.plane_distance((F.col("x"), F.col("y"), F.col("w")), (F.col("p"), F.col("q"), F.col("r")))
     scanned = met.select("pole_lat", "pole_lon", "n", "sz", "szz", d.alias("d"))
     n, w = F.sum("n"), F.col("n") * F.col("d")
