@@ -212,12 +212,12 @@ def _drawn_sql(name: str, by: str, seed: str, source: str) -> str:
     i AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM u), dr AS (SELECT rep, CAST(floor({uniform_sql(md5_sql(chr(39) + 's' + chr(39), 'rep', 'i'))} * n) AS BIGINT) AS i FROM i, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
     {_drawn_sql('pc', 'cell', 's-cell', 'e')}, {_drawn_sql('ps', 'source_id', 's-source', 'e')}, {_drawn_sql('pb', 'source_id', 's-both', '(SELECT rep, id, z_m, latitude, source_id, cell FROM pc)')},
     a AS (SELECT 'ordinary' AS scheme, rep, z_m, latitude FROM dr JOIN i USING (i) UNION ALL SELECT 'one_per_cell', rep, z_m, latitude FROM pc UNION ALL SELECT 'one_per_source', rep, z_m, latitude FROM ps UNION ALL SELECT 'cell_then_source', rep, z_m, latitude FROM pb)
-    SELECT scheme, CAST(rep AS INTEGER) AS rep, count(*) AS n, round(avg(z_m), 7) AS z_mean, round(regr_r2(z_m, latitude), 9) AS r2 FROM a GROUP BY scheme, rep HAVING count(*) >= 20""")
+    SELECT scheme, CAST(rep AS INTEGER) AS rep, count(*) AS n, round(sum(z_m), 6) AS z_sum, round(regr_r2(z_m, latitude), 9) AS r2 FROM a GROUP BY scheme, rep HAVING count(*) >= 20""")
 def bootstrap_schemes(spark, d):
     """Every scheme's draws, those of fewer than 20 rows left out."""
     s = usable_sites(spark, d).withColumn("cell", geo.cell_key("latitude", "longitude")).select("id", "z_m", "latitude", "source_id", "cell")
     b = statistics.schemes(s, "cell", "source_id", "id", REPS, "s", 20)
-    return b.groupBy("scheme", "rep").agg(F.count("*").alias("n"), F.round(F.avg("z_m"), 7).alias("z_mean"), F.round(F.regr_r2("z_m", "latitude"), 9).alias("r2"))
+    return b.groupBy("scheme", "rep").agg(F.count("*").alias("n"), F.round(F.sum("z_m"), 6).alias("z_sum"), F.round(F.regr_r2("z_m", "latitude"), 9).alias("r2"))
 
 
 @query("field_interp", f"{W}, {_FIELD_SQL}, k AS (SELECT id, latitude AS lat, longitude AS lon, floor(latitude / 5) + i AS a, floor(longitude / 5) + j AS o FROM u, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)), c AS (SELECT id, k.lat, k.lon, (1 - abs(k.lat / 5 - a)) * (1 - abs(k.lon / 5 - o)) AS w, m FROM k LEFT JOIN f ON f.lat = 5 * a AND f.lon = 5 * o) SELECT id, lat, lon, round(sum(w * m) / nullif(sum(CASE WHEN m IS NOT NULL THEN w END), 0), 7) AS m FROM c WHERE w > 0 GROUP BY id, lat, lon")
