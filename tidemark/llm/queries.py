@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_rules, langid, media, mixing, packing, sharding, simhash, substrings, toxicity, url_filter
+from tidemark.llm import codes, host_rules, langid, media, mixing, negatives, packing, sharding, simhash, substrings, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_media": media.op9_media,
     "op10_mixing": mixing.op10_mixing,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_warc": warc.op12_warc,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op2_host_rules": host_rules.SQL,
     "op5_sharding": sharding.sql(),
     "op10_mixing": mixing.SQL,
+    "op11_vector_codes": codes.sql(),
+    "op12_warc": warc.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
