@@ -704,7 +704,7 @@ def test_inclusion_probabilities_are_solved_and_kept(spark):
         for r in rows(mixing.copies(sized, weights=(1, 1), share=0.5, seed=f"seed-{k}")):
             if r["source"] == "s":
                 p[r["size"]] = r["inclusion"]
-                drawn[r["size"]] += r["copies"]
+                drawn[r["size"]] += r["whole"] * r["rows"] + r["extra"]
                 rest = r["target"]
     assert rest < r["source_size"] and abs(sum(p[n] * n for n in kinds) - rest) < 1e-6 * rest
     assert p[90_000] == p[120_000] == 1 and drawn[90_000] == drawn[120_000] == seeds
@@ -719,6 +719,27 @@ def test_documents_without_words_are_not_drawn(spark):
     assert {r["doc_id"] for r in rows(mixing.repeat_rows(df))} == {3, 4}
 
 
+def test_rows_that_share_ids_are_drawn_one_by_one(spark, monkeypatch):
+    """Null, repeated and shared ids: every source comes within its longest document of its target."""
+    monkeypatch.setattr(mixing, "SENT_COPIES", 7)
+    data = [(None, "w " * 40, "a")] * 3000 + [(i % 3, f"{i} " * (5 + i % 4), "b") for i in range(900)] + [(9, "v " * 300, None)] * 50 + [(i, "u " * (i % 90), None) for i in range(100, 400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    got = rows(mixing.mix(df))
+    assert len(got) == len(data) and sorted(map(str, got)) == sorted(map(str, rows(mixing.mix(df))))
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    longest = {sum(len(t.split()) for _, t, s in data if s == source): max(len(t.split()) for _, t, s in data if s == source) for source in ("a", "b", None)}
+    assert all(abs(taken[n] - target[n]) <= longest[n] for n in longest)
+    repeated = Counter()
+    for r in rows(mixing.repeat_rows(df)):
+        repeated[r["source"]] += len(r["text"].split())
+    by_source = {s: sum(len(t.split()) for _, t, x in data if x == s) for s in ("a", "b", None)}
+    assert all(abs(repeated[s] - target[n]) <= longest[n] for s, n in by_source.items())
+
+
 def test_mixing_odd_tables(spark, odd, empty):
     assert rows(mixing.mix(empty)) == [] and rows(mixing.repeat_rows(empty)) == []
     got = rows(mixing.mix(odd))
