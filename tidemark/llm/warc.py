@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import checkpointed, release, require_whole, shared_dir
+from tidemark.llm.common import release, require_whole, shared_dir
 from tidemark.llm.media import file_system
 
 VERSION = b"WARC/1.1"
@@ -287,7 +287,9 @@ def roles(df: DataFrame, key: str = "page_id", payload: str = "html", least: int
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     digest = F.when(F.length(raw) >= least, F.sha2(raw, 256))
     seen = df.select(digest.alias("_digest"), F.col(key).alias("key")).filter("_digest IS NOT NULL").groupBy("_digest").agg(F.min("key").alias("_first"), F.count("*").alias("n"))
-    repeated = checkpointed(seen.filter("n > 1").select(F.col("_digest").alias("_of"), "_first"))
+    at = f"{shared_dir(df.sparkSession)}/repeated-{uuid.uuid4().hex}"
+    seen.filter("n > 1").select(F.col("_digest").alias("_of"), "_first").write.parquet(at)
+    repeated = df.sparkSession.read.parquet(at)  # of known size, so that few are broadcast and payloads stay where they are
     return df.withColumn("_digest", digest).join(repeated, F.col("_digest") == F.col("_of"), "left").drop("_digest", "_of")
 
 
