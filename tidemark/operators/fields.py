@@ -34,13 +34,14 @@ def load_field(df: DataFrame) -> DataFrame:
 
 
 def bilinear(points: DataFrame, field: DataFrame, step: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Adds `m` from the four grid points around each point; beyond the grid or its holes, from those that are there, by weight. Equi-joins on cells; no place meets the whole grid."""
-    a, o = F.floor(F.col(lat) / step), F.floor(F.col(lon) / step)
-    corner = F.array(*(F.struct((a + i).alias("a"), (o + j).alias("o"), ((1 - F.abs(F.col(lat) / step - (a + i))) * (1 - F.abs(F.col(lon) / step - (o + j)))).alias("w")) for i in (0, 1) for j in (0, 1)))
-    keyed = points.withColumn("_p", F.struct(*points.columns)).select("_p", F.explode(corner).alias("c")).select("_p", F.col("c.a").alias("_a"), F.col("c.o").alias("_o"), F.col("c.w").alias("_w")).filter("_w > 0")
+    """Adds `m` from the four grid points around each point; beyond the grid or its holes, from those that are there, by weight. Equi-joins on cells; no place meets the whole grid. Repeated points stay, null coordinates give a null `m`."""
+    places = points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).dropna().distinct()
+    a, o = F.floor(F.col("_lat") / step), F.floor(F.col("_lon") / step)
+    corner = F.array(*(F.struct((a + i).alias("a"), (o + j).alias("o"), ((1 - F.abs(F.col("_lat") / step - (a + i))) * (1 - F.abs(F.col("_lon") / step - (o + j)))).alias("w")) for i in (0, 1) for j in (0, 1)))
+    keyed = places.select("_lat", "_lon", F.explode(corner).alias("c")).select("_lat", "_lon", F.col("c.a").alias("_a"), F.col("c.o").alias("_o"), F.col("c.w").alias("_w")).filter("_w > 0")
     grid = field.select(F.round(F.col("lat") / step).cast("long").alias("_a"), F.round(F.col("lon") / step).cast("long").alias("_o"), F.col("m").alias("_m"))
-    met = keyed.join(grid, ["_a", "_o"], "left").groupBy("_p").agg((F.sum(F.col("_w") * F.col("_m")) / F.nullif(F.sum(F.when(F.col("_m").isNotNull(), F.col("_w"))), F.lit(0.0))).alias("m"))
-    return met.select("_p.*", "m")
+    met = keyed.join(grid, ["_a", "_o"], "left").groupBy("_lat", "_lon").agg((F.sum(F.col("_w") * F.col("_m")) / F.nullif(F.sum(F.when(F.col("_m").isNotNull(), F.col("_w"))), F.lit(0.0))).alias("m"))
+    return points.join(met, (F.col(lat) == F.col("_lat")) & (F.col(lon) == F.col("_lon")), "left").drop("_lat", "_lon")
 
 
 def sweep(axes: DataFrame, step: float = 2.0) -> DataFrame:

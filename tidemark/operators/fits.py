@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +54,34 @@ def moments() -> list[Column]:
 
 
 def solved(m: DataFrame, by: Sequence[str]) -> DataFrame:
-    c = F.col
-    minor = {
-        "i11": c("c22") * c("c33") - c("c23") * c("c23"), "i12": c("c13") * c("c23") - c("c12") * c("c33"), "i13": c("c12") * c("c23") - c("c13") * c("c22"),
-        "i22": c("c11") * c("c33") - c("c13") * c("c13"), "i23": c("c12") * c("c13") - c("c11") * c("c23"), "i33": c("c11") * c("c22") - c("c12") * c("c12"),
-    }
-    out = m.withColumns(minor).withColumn("det", c("c11") * c("i11") + c("c12") * c("i12") + c("c13") * c("i13"))
-    d = F.when(F.abs("det") > 1e-12, c("det"))
-    out = out.withColumns({
-        "gx": (c("i11") * c("c1z") + c("i12") * c("c2z") + c("i13") * c("c3z")) / d,
-        "gy": (c("i12") * c("c1z") + c("i22") * c("c2z") + c("i23") * c("c3z")) / d,
-        "gz": (c("i13") * c("c1z") + c("i23") * c("c2z") + c("i33") * c("c3z")) / d,
-    })
-    g = (c("gx"), c("gy"), c("gz"))
-    r2 = (c("gx") * c("c1z") + c("gy") * c("c2z") + c("gz") * c("c3z")) / F.nullif(c("czz"), F.lit(0.0))
-    return out.select(*by, "n", r2.alias("r2"), "gx", "gy", "gz", F.sqrt(geo.dot(g, g)).alias("gradient_norm"), geo.latitude(g).alias("axis_lat"), geo.longitude(g).alias("axis_lon"))
+    """The fits of rows of central moments. Each step binds what the next ones use several times, so that no expression is written out more than once."""
+    names = ("11", "12", "13", "22", "23", "33", "1z", "2z", "3z", "zz")
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def minors(c: Column) -> Column:
+        e = {n: c[f"c{n}"] for n in names}
+        i = {
+            "i11": e["22"] * e["33"] - e["23"] * e["23"], "i12": e["13"] * e["23"] - e["12"] * e["33"], "i13": e["12"] * e["23"] - e["13"] * e["22"],
+            "i22": e["11"] * e["33"] - e["13"] * e["13"], "i23": e["12"] * e["13"] - e["11"] * e["23"], "i33": e["11"] * e["22"] - e["12"] * e["12"],
+        }
+        return F.struct(*(e[n].alias(f"c{n}") for n in names), *(v.alias(k) for k, v in i.items()))
+
+    def gradient(m: Column) -> Column:
+        det = m["c11"] * m["i11"] + m["c12"] * m["i12"] + m["c13"] * m["i13"]
+        d = F.when(F.abs(det) > 1e-12, det)
+        rows = (("i11", "i12", "i13"), ("i12", "i22", "i23"), ("i13", "i23", "i33"))
+        return let(F.struct(d.alias("d"), *((m[a] * m["c1z"] + m[b] * m["c2z"] + m[c] * m["c3z"]).alias(f"g{k}") for k, (a, b, c) in enumerate(rows)), m["c1z"].alias("c1z"), m["c2z"].alias("c2z"), m["c3z"].alias("c3z"), m["czz"].alias("czz")), divided)
+
+    def divided(s: Column) -> Column:
+        return let(F.struct(*((s[f"g{k}"] / s["d"]).alias(n) for k, n in enumerate(("gx", "gy", "gz"))), *(s[c] for c in ("c1z", "c2z", "c3z", "czz"))), fit)
+
+    def fit(g: Column) -> Column:
+        v = (g["gx"], g["gy"], g["gz"])
+        r2 = (v[0] * g["c1z"] + v[1] * g["c2z"] + v[2] * g["c3z"]) / F.nullif(g["czz"], F.lit(0.0))
+        return F.struct(r2.alias("r2"), *(x.alias(n) for x, n in zip(v, ("gx", "gy", "gz"))), F.sqrt(geo.dot(v, v)).alias("gradient_norm"), geo.latitude(v).alias("axis_lat"), geo.longitude(v).alias("axis_lon"))
+
+    out = let(let(F.struct(*(f"c{n}" for n in names)), minors), gradient)
+    return m.select(*by, "n", out.alias("_fit")).select(*by, "n", "_fit.*")
 
 
 #: Sums over rows, which add up over groups and can be taken away again.
@@ -124,10 +138,10 @@ def plane_rescan(df: DataFrame, step: float = 4.0, z: str = "z_m") -> DataFrame:
     return s.select("pole_lat", "pole_lon", "n", (xz * xz / F.nullif(xx * zz, F.lit(0.0))).alias("r2"), (xz / F.nullif(xx, F.lit(0.0))).alias("slope"))
 
 
-def best(df: DataFrame, score: str = "r2", ties: Sequence[str] = ("pole_lat", "pole_lon"), digits: int = 10) -> DataFrame:
-    """The row of the greatest score, of equal ones (after rounding) the first in the order of `ties`: an aggregate, no sort."""
+def best(df: DataFrame, score: str = "r2", ties: Sequence[str] = ("pole_lat", "pole_lon"), digits: int = 10, by: Sequence[str] = ()) -> DataFrame:
+    """The row of the greatest score, of each group of `by`, of equal ones (after rounding) the first in the order of `ties`: an aggregate, no sort."""
     key = F.struct(-F.round(score, digits), *ties)
-    return df.filter(F.col(score).isNotNull()).agg(F.min_by(F.struct(*df.columns), key).alias("b")).select("b.*")
+    return df.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.min_by(F.struct(*df.columns), key).alias("b")).select("b.*")
 
 
 def harmonic_terms(lmax: int) -> dict[str, Column]:
@@ -164,6 +178,39 @@ def solve_gram(m: np.ndarray, terms: int, ridge: np.ndarray | None = None) -> tu
     return beta, float(1 - left / total) if total > 0 else float("nan")
 
 
+def grouped_fits(df: DataFrame, by: Sequence[str], terms: dict[str, Column], z: str = "z_m") -> DataFrame:
+    """For each group of `by` the fit of z on 1 and `terms`, of least norm where they depend on each other: by, n, rank, r2, rmse, coefficients (the constant first).
+
+    A group is one row of sums of products, summed on the map side; batches of groups are solved stacked. Rows without z or a term go. r2 is null where z does not vary.
+    """
+    cols = {"_1": F.lit(1.0), **{f"_t{i}": c for i, c in enumerate(terms.values())}, "_z": F.col(z).cast("double")}
+    names = list(cols)
+    rows = df.select(*by, *(c.alias(n) for n, c in cols.items())).dropna(subset=names)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = rows.groupBy(*by).agg(F.array(*(F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs)).alias("_sums"))
+    at, size = tuple(np.array(pairs).T), len(names)
+    schema = sums.select(*by).withColumns({c: F.lit(None).cast(t) for c, t in (("n", "long"), ("rank", "int"), ("r2", "double"), ("rmse", "double"), ("coefficients", "array<double>"))}).schema
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.zeros((batch.num_rows, size, size))
+            m[:, at[0], at[1]] = m[:, at[1], at[0]] = batch["_sums"].flatten().to_numpy().reshape(batch.num_rows, -1)
+            a, b, szz, n = m[:, :-1, :-1], m[:, :-1, -1], m[:, -1, -1], m[:, 0, 0]
+            inverse = np.linalg.pinv(a, rcond=1e-12, hermitian=True)
+            beta = (inverse @ b[..., None])[..., 0]
+            rank = np.linalg.matrix_rank(a, tol=1e-12 * np.abs(np.linalg.eigvalsh(a)).max(axis=1), hermitian=True)
+            left = np.maximum(szz - (beta * b).sum(axis=1), 0)
+            total = szz - m[:, 0, -1] ** 2 / n
+            with np.errstate(invalid="ignore", divide="ignore"):
+                r2 = np.where(total > 1e-12 * np.maximum(szz, 1e-300), 1 - left / total, np.nan)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(beta) + 1, dtype=np.int32) * (size - 1)), pa.array(beta.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in by), pa.array(n.astype(np.int64)), pa.array(rank.astype(np.int32)), pa.array(r2, from_pandas=True), pa.array(np.sqrt(left / n)), flat], names=[*by, "n", "rank", "r2", "rmse", "coefficients"])
+
+    return sums.mapInArrow(run, schema)
+
+
 def spectral(df: DataFrame, lmax: int = 3, z: str = "z_m") -> DataFrame:
     """For degree 1..lmax: n, r2, gain over the degree before, and the norm of the degree's coefficients. One aggregate serves all degrees."""
     m = gram(df, harmonic_terms(lmax), z)

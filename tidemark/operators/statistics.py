@@ -149,7 +149,7 @@ def bootstrap_rows(df: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
     """For rep 1..reps as many rows as `df` has, drawn with replacement: row k of a draw is the row whose place is a hash of (rep, k)."""
     n = df.agg(F.count("*")).scalar()
     placed = numbered(df, key, "_i")
-    slots = placed.select("_i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_i", F.floor(uniform(draw(seed, F.col("rep"), F.col("_i"))) * n).cast("int"))
+    slots = placed.select("_i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_i", F.floor(uniform(draw(seed, F.col("rep"), F.col("_i"))) * n).cast("long"))
     return slots.join(placed, "_i").drop("_i")
 
 
@@ -158,7 +158,7 @@ def bootstrap_groups(df: DataFrame, by: str, reps: int, seed: str) -> DataFrame:
     groups = df.select(by).distinct()
     placed = numbered(groups, by, "_i")
     n = groups.agg(F.count("*")).scalar()
-    slots = placed.select("_i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_i", F.floor(uniform(draw(seed, F.col("rep"), F.col("_i"))) * n).cast("int"))
+    slots = placed.select("_i").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_i", F.floor(uniform(draw(seed, F.col("rep"), F.col("_i"))) * n).cast("long"))
     return slots.join(placed, "_i").select("rep", by).join(df, by)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators import fits, records
+from tidemark.plans.least_squares import RECURSIVE, TERMS_SQL, least_squares_sql
 from tidemark.plans.registry import query
 from tidemark.sources.sites import SITES_SQL, sites, usable_sites
 
@@ -235,14 +236,24 @@ def r2_grid_surface(spark, d):
     return p.select("pole_lat", *(F.col(f"`{x}`").alias(f"lon_{x}") for x in lons))
 
 
-@query("spectral_table")
+_ONE = "one AS (SELECT 1 AS g, u.* FROM u)"
+
+
+@query("spectral_table", f"""{RECURSIVE}, {_ONE}, {least_squares_sql('one', ['g'], TERMS_SQL, (4, 9, 16))}, l AS (SELECT CAST(sqrt(d) AS BIGINT) - 1 AS degree, * FROM ls)
+    SELECT degree, n, round(r2, 8) AS r2, round(r2 - coalesce(lag(r2) OVER (ORDER BY degree), 0), 8) AS gain, round(sqrt(list_sum(list_transform(beta[degree * degree + 1 : d], lambda b: b * b))), 6) AS degree_norm FROM l""")
 def spectral_table(spark, d):
-    return fits.spectral(usable_sites(spark, d), 3)
+    s = fits.spectral(usable_sites(spark, d), 3)
+    return s.select("degree", "n", F.round("r2", 8).alias("r2"), F.round("gain", 8).alias("gain"), F.round("degree_norm", 6).alias("degree_norm"))
 
 
-@query("quadrupole_eigen")
+@query("quadrupole_eigen", f"""{RECURSIVE}, {_ONE}, {least_squares_sql('one', ['g'], TERMS_SQL, (9,))}, c AS (SELECT beta[9] - beta[7] AS a, -beta[9] - beta[7] AS b, 2 * beta[7] AS c, beta[5] / 2 AS d, beta[8] / 2 AS e, beta[6] / 2 AS f FROM ls),
+    t AS (SELECT *, sqrt((a * a + b * b + c * c + 2 * (d * d + e * e + f * f)) / 6) AS p FROM c), h AS (SELECT *, acos(greatest(-1, least(1, (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / (2 * p * p * p)))) / 3 AS phi FROM t),
+    v AS (SELECT *, unnest([2 * p * cos(phi), 2 * p * cos(phi - 2 * pi() / 3), 2 * p * cos(phi + 2 * pi() / 3)]) AS value FROM h),
+    w AS (SELECT value, unnest([[d * f - e * (b - value), e * d - (a - value) * f, (a - value) * (b - value) - d * d], [d * (c - value) - e * f, e * e - (a - value) * (c - value), (a - value) * f - e * d], [(b - value) * (c - value) - f * f, f * e - d * (c - value), d * f - (b - value) * e]]) AS x FROM v),
+    k AS (SELECT value, arg_max(x, list_inner_product(x, x)) AS x FROM w GROUP BY value), o AS (SELECT value, CASE WHEN x[3] < 0 THEN list_transform(x, lambda y: -y) ELSE x END AS x FROM k)
+    SELECT CAST(row_number() OVER (ORDER BY value DESC) AS INTEGER) AS rank, round(value, 6) AS eigenvalue, round(degrees(atan2(x[3], sqrt(x[1] * x[1] + x[2] * x[2]))), 4) AS axis_lat, round(degrees(atan2(x[2], x[1])), 4) AS axis_lon FROM o""")
 def quadrupole_eigen(spark, d):
-    return fits.quadrupole(usable_sites(spark, d))
+    return fits.quadrupole(usable_sites(spark, d)).select("rank", F.round("eigenvalue", 6).alias("eigenvalue"), F.round("axis_lat", 4).alias("axis_lat"), F.round("axis_lon", 4).alias("axis_lon"))
 
 
 # The scan's axes (every 5 degrees), angles (every 2) and penalties.
@@ -269,18 +280,38 @@ def conservative_rotation(spark, d):
     return scan.agg(F.min_by(F.struct(*scan.columns), key).alias("b")).select("b.*")
 
 
-@query("rotation_scores")
+_RANK = "rank() OVER (PARTITION BY cid ORDER BY {0}) + (count(*) OVER (PARTITION BY cid, {0}) - 1) / 2.0::DOUBLE"
+_QUADRUPOLE = ("x * y", "y * z", "3 * z * z - 1", "x * z", "x * x - y * y")
+
+
+@query("rotation_scores", f"""{RECURSIVE}, ax(axis_lat, axis_lon) AS (VALUES (40.0::DOUBLE, -175.0::DOUBLE), (0.0, 30.0), (32.0, -74.0)), cd AS (SELECT row_number() OVER () AS cid, *, cos(radians(axis_lat)) * cos(radians(axis_lon)) AS a0, cos(radians(axis_lat)) * sin(radians(axis_lon)) AS a1, sin(radians(axis_lat)) AS a2
+        FROM ax, (SELECT unnest([21.0::DOUBLE, 43.0]) AS angle_deg), (SELECT unnest([0.1::DOUBLE, 10.0, 1000.0]) AS lambda_q)),
+    po AS (SELECT *, a1 * sin(radians(angle_deg)) + a0 * a2 * (1 - cos(radians(angle_deg))) AS p0, -a0 * sin(radians(angle_deg)) + a1 * a2 * (1 - cos(radians(angle_deg))) AS p1, cos(radians(angle_deg)) + a2 * a2 * (1 - cos(radians(angle_deg))) AS p2 FROM cd),
+    an AS (SELECT po.*, x, y, z, z_m, pow(x * p0 + y * p1 + z * p2, 2) - z * z AS anomaly FROM u, po), sc AS (SELECT *, anomaly / greatest(stddev_pop(anomaly) OVER (PARTITION BY cid), 1e-6) AS rot FROM an),
+    {least_squares_sql('sc', ['cid', 'lambda_q'], ('1', 'rot', *_QUADRUPOLE), (7,), ridge='CASE WHEN i = 1 THEN 0 WHEN i = 2 THEN 1e-9 ELSE lambda_q END')},
+    pr AS (SELECT sc.*, beta, n, list_inner_product(beta, [1.0::DOUBLE, rot, {', '.join(_QUADRUPOLE)}]) AS pred FROM sc JOIN ls USING (cid)),
+    rk AS (SELECT *, {_RANK.format('z_m')} AS rz, {_RANK.format('round(pred, 9)')} AS rp, {_RANK.format('round(rot, 12)')} AS rr FROM pr)
+    SELECT axis_lat, axis_lon, angle_deg, lambda_q, round(degrees(asin(greatest(-1, least(1, any_value(p2))))), 6) AS rotated_pole_lat, round(degrees(atan2(any_value(p1), any_value(p0))), 6) AS rotated_pole_lon, count(*) AS n,
+        round(1 - sum(pow(z_m - pred, 2)) / (count(*) * var_pop(z_m)), 7) AS r2, round(sqrt(avg(pow(z_m - pred, 2))), 6) AS rmse, round(any_value(beta)[1], 5) AS intercept, round(any_value(beta)[2], 5) AS rotation_coeff,
+        round(sqrt(list_sum(list_transform(any_value(beta)[3:7], lambda b: b * b))), 5) AS quadrupole_norm, {', '.join(f'round(any_value(beta)[{i}], 5) AS q_{k}' for i, k in enumerate(('xy', 'yz', 'z2', 'xz', 'x2y2'), 3))},
+        round(avg(abs(z_m - pred)), 6) AS mae, round(corr(rp, rz), 7) AS spearman, round(corr(rr, rz), 7) AS rotation_spearman FROM rk GROUP BY cid, axis_lat, axis_lon, angle_deg, lambda_q""")
 def rotation_scores(spark, d):
     """The fixed reference turns in full: fit, pole, coefficients, errors and rank correlations, for each penalty."""
     s = usable_sites(spark, d)
-    return fits.rotation_scores(s, fits.rotation_scan(s, [(40, -175), (0, 30), (32, -74)], (21, 43), (0.1, 10.0, 1000.0)))
+    out = fits.rotation_scores(s, fits.rotation_scan(s, [(40, -175), (0, 30), (32, -74)], (21, 43), (0.1, 10.0, 1000.0)))
+    digits = {"rotated_pole_lat": 6, "rotated_pole_lon": 6, "rmse": 6, "mae": 6, "r2": 7, "spearman": 7, "rotation_spearman": 7, "n": None, **dict.fromkeys(fits.CANDIDATE)}
+    return out.select(*(F.col(c) if digits.get(c, 5) is None else F.round(c, digits.get(c, 5)).alias(c) for c in out.columns))
 
 
-@query("residual_fit")
+@query("residual_fit", f"""{RECURSIVE}, {_ONE}, {least_squares_sql('one', ['g'], TERMS_SQL, (4, 9))}, rd AS (SELECT one.*, z_m - (beta[1] + beta[2] * x + beta[3] * y + beta[4] * z) AS resid FROM one JOIN ls USING (g) WHERE d = 4), {least_squares_sql('rd', ['g'], ('1', *_QUADRUPOLE), (6,), 'resid', 'l2')}
+    SELECT a.n, round(a.r2, 8) AS r2_l1, round(b.r2, 8) AS r2_l1_l2, round(l2.r2, 8) AS r2_residual_l2, round(a.r2 + (1 - a.r2) * l2.r2, 8) AS r2_two_steps FROM ls a, ls b, l2 WHERE a.d = 4 AND b.d = 9""")
 def residual_fit(spark, d):
-    return fits.residual_fit(usable_sites(spark, d))
+    return rounded(fits.residual_fit(usable_sites(spark, d)), 8)
 
 
-@query("influence_top25")
+@query("influence_top25", f"""{RECURSIVE}, {_ONE}, {least_squares_sql('one', ['g'], TERMS_SQL[:4], (4,))}, v AS (SELECT id, z_m, [1.0::DOUBLE, x, y, z] AS f, beta, inverse, n FROM one JOIN ls USING (g)),
+    l AS (SELECT id, n, list_inner_product(f, list_transform(inverse, lambda r: list_inner_product(r, f))) AS h, z_m - list_inner_product(f, beta) AS e FROM v), k AS (SELECT *, sum(e * e) OVER () / greatest(n - 4, 1) AS s2 FROM l), c AS (SELECT id, h, e, e * e / (4 * s2) * h / ((1 - h) * (1 - h)) AS cook FROM k)
+    SELECT id, round(h, 8) AS leverage, round(e, 7) + 0.0 AS residual, round(cook, 8) AS influence FROM c ORDER BY cook DESC, id LIMIT 25""")
 def influence_top25(spark, d):
-    return rounded(fits.influence(usable_sites(spark, d)), 9)
+    i = fits.influence(usable_sites(spark, d))
+    return i.select("id", F.round("leverage", 8).alias("leverage"), (F.round("residual", 7) + 0.0).alias("residual"), F.round("influence", 8).alias("influence"))
