@@ -77,19 +77,3 @@ def novel(works: DataFrame, known: DataFrame, doi: str = "doi", order: Sequence[
     keyed = works.filter(F.col(doi).isNotNull()).withColumn("_k", F.lower(F.trim(doi)))
     fresh = keyed.join(known.select(F.lower(F.trim(doi)).alias("_k")).distinct(), "_k", "left_anti")
     return fresh.groupBy("_k").agg(F.min_by(F.struct(*works.columns), F.struct(*order)).alias("r")).select("r.*")
-
-
-def not_seen(candidates: DataFrame, existing: DataFrame, elevation_m: float = 1.0, age_ka: float = 0.25) -> DataFrame:
-    """Candidates that are no observation of `existing`: same source and indicator and the same sample, or the same site and an elevation or age as near as the tolerances, or neither known.
-
-    An anti-join on (source_id, indicator_type, site), so only records of one site meet.
-    """
-    site = F.regexp_replace(F.lower(F.coalesce("site_name", F.lit(""))), r"[^\p{L}\p{N}]", "")
-    c, e = candidates.withColumn("_site", site).alias("c"), existing.withColumn("_site", site).alias("e")
-    x, y = lambda n: F.col(f"c.{n}"), lambda n: F.col(f"e.{n}")
-    near = F.coalesce(F.abs(x("elevation_m") - y("elevation_m")) <= elevation_m, F.lit(False)) | F.coalesce(F.abs(x("age_ka") - y("age_ka")) <= age_ka, F.lit(False))
-    neither = x("elevation_m").isNull() & y("elevation_m").isNull() & x("age_ka").isNull() & y("age_ka").isNull()
-    group = (x("source_id") == y("source_id")) & (x("indicator_type") == y("indicator_type"))
-    left = c.join(e, group & (x("_site") == y("_site")) & (near | neither), "left_anti").drop("_site")
-    known = existing.filter("length(sample_id) > 0").select("source_id", "indicator_type", "sample_id").distinct()
-    return left.join(known, ["source_id", "indicator_type", "sample_id"], "left_anti").select(*candidates.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.functions import text as tx
-from tidemark.operators import merge, records
+from tidemark.operators import merge, records, unique
 from tidemark.plans.registry import query, table
 from tidemark.sources import atlas
 
@@ -220,7 +220,25 @@ def semantic_anti(spark, d):
     o = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("k"), ln.alias("ln"), (F.col("l_suppkey") % 5).cast("string").alias("source_id"), F.col("l_returnflag").alias("indicator_type"), F.when(ln % 3 == 0, (p % 40).cast("string")).otherwise("").alias("sample_id"),
         F.concat(F.lit("Site-"), (p % 300).cast("string")).alias("site_name"), F.when(ln % 2 == 0, F.round("l_quantity")).alias("elevation_m"), F.when(ln % 4 == 1, F.round(F.col("l_tax") * 100) / 10).alias("age_ka"))
-    return merge.not_seen(o.filter("k % 2 = 0"), o.filter("k % 2 = 1")).select("k", "ln", "site_name")
+    return unique.not_seen(o.filter("k % 2 = 0"), o.filter("k % 2 = 1")).select("k", "ln", "site_name")
+
+
+_SAME_SQL = """(k.id = x[1].id OR (k.source_id = x[1].source_id AND k.indicator_type = x[1].indicator_type AND ((k.sample_id <> '' AND k.sample_id = x[1].sample_id) OR ((k.site_name = x[1].site_name OR k.location_name = x[1].location_name)
+    AND (coalesce(abs(k.e - x[1].e) <= 1, false) OR coalesce(abs(k.a - x[1].a) <= 0.25, false) OR (k.e IS NULL AND x[1].e IS NULL AND k.a IS NULL AND x[1].a IS NULL))))))"""
+
+
+@query("semantic_unique", f"""WITH o AS (SELECT o_orderkey AS id, CAST(o_custkey % 25 AS VARCHAR) AS source_id, o_orderstatus AS indicator_type, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey % 40 AS VARCHAR) ELSE '' END AS sample_id, 'site' || CAST(o_custkey % 12 AS VARCHAR) AS site_name,
+        'place' || CAST(o_orderkey % 9 AS VARCHAR) AS location_name, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice / 400) / 2 END AS e, CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_orderkey % 400 AS DOUBLE) / 8 END AS a FROM orders),
+    g AS (SELECT source_id, indicator_type, list([o] ORDER BY id) AS rows FROM o GROUP BY source_id, indicator_type),
+    f AS (SELECT list_reduce(rows, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_SAME_SQL})) > 0 THEN acc ELSE list_concat(acc, x) END) AS stay FROM g), t AS (SELECT unnest(stay) AS r FROM f) SELECT r.id AS id, r.source_id AS source_id, r.site_name AS site_name FROM t""")
+def semantic_unique(spark, d):
+    """Orders as observations, taken in the order of their ids: of those that are probably the same the first that no earlier taken one rules out."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, d, "orders").select(
+        k.alias("id"), (c % 25).cast("string").alias("source_id"), F.col("o_orderstatus").alias("indicator_type"), F.when(k % 3 == 0, (c % 40).cast("string")).otherwise("").alias("sample_id"),
+        F.concat(F.lit("Site "), (c % 12).cast("string")).alias("site_name"), F.concat(F.lit("place-"), (k % 9).cast("string")).alias("location_name"),
+        F.when(k % 5 > 0, F.round(F.col("o_totalprice") / 400) / 2).alias("elevation_m"), F.when(k % 4 == 1, (k % 400).cast("double") / 8).alias("age_ka"))
+    return unique.semantically_unique(o, order="id").select("id", "source_id", unique.plain(F.col("site_name")).alias("site_name"))
 
 
 @query("id_sha256", "SELECT c_custkey AS key, sha256(concat_ws('|', CAST(c_nationkey AS VARCHAR), lower(trim(c_name)), '', printf('%.6f', CAST(c_custkey % 90 AS DOUBLE)), printf('%.6f', CAST(c_custkey % 180 AS DOUBLE)), c_mktsegment)) AS id FROM customer")
