@@ -14,7 +14,7 @@ from tidemark.plans.evidence import _RECORD_SQL, raw_records
 from tidemark.plans.registry import query, table
 from tidemark.sources import files
 from tidemark.sources.sites import SITES_SQL, usable_sites
-from tidemark.streaming import status
+from tidemark.streaming import lease, machine, status
 
 
 def _file_rows(spark, d):
@@ -271,3 +271,71 @@ def stream_discovery(spark, d):
     found = status.discovered(spark, f"{folder}/*", 10).unionByName(status.discovered(spark, f"{folder}/deep/*", 10)).dropDuplicates(["source_id"])
     found.select("source_id").writeStream.format("parquet").option("path", path).trigger(availableNow=True).option("checkpointLocation", new_folder(spark, "stream")).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+_MACHINE_SQL = f"""WITH e AS (SELECT event_id, user_id AS source_id, ['queued', 'running', 'completed', 'failed', 'skipped', 'restarted', 'running', 'unsupported', 'cancelled', 'none'][event_id * 7 % 10 + 1] AS w FROM events),
+    g AS (SELECT source_id, list_concat([struct_pack(s := '', n := 0::BIGINT)], list(struct_pack(s := w, n := 0::BIGINT) ORDER BY event_id)) AS rows FROM e GROUP BY source_id),
+    f AS (SELECT source_id, len(rows) - 1 AS events, list_reduce(rows, lambda a, x: CASE WHEN x.s NOT IN ({', '.join(f"'{w}'" for w in status.STATUSES)}) OR (a.s IN ({', '.join(f"'{w}'" for w in status.TERMINAL)}) AND x.s <> 'restarted') OR (x.s = 'queued' AND a.s = 'running') THEN a
+        ELSE struct_pack(s := CASE WHEN x.s = 'restarted' THEN 'queued' ELSE x.s END, n := a.n + CASE WHEN a.s = (CASE WHEN x.s = 'restarted' THEN 'queued' ELSE x.s END) THEN 0 ELSE 1 END) END) AS r FROM g)
+    SELECT source_id, nullif(r.s, '') AS status, r.n AS changes, CAST(events AS BIGINT) AS events FROM f"""
+
+
+def _status_events(spark, d):
+    words = F.array(*(F.lit(w) for w in ("queued", "running", "completed", "failed", "skipped", "restarted", "running", "unsupported", "cancelled", "none")))
+    return table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("source_id"), F.element_at(words, (F.col("event_id") * 7 % 10 + 1).cast("int")).alias("status"))
+
+
+@query("source_machine", _MACHINE_SQL)
+def source_machine(spark, d):
+    """Each source's status after all its events, by maps that compose."""
+    return machine.final_states(_status_events(spark, d))
+
+
+@query("source_machine_stream", _MACHINE_SQL)
+def source_machine_stream(spark, d):
+    """The same from a stream of four files, one batch each, by keyed state."""
+    source, path = new_folder(spark, "events"), new_folder(spark, "states")
+    e = _status_events(spark, d).withColumn("source_id", F.col("source_id").cast("string"))
+    for k in range(4):
+        e.filter(F.floor(F.col("event_id") * 4 / (1 + e.agg(F.max("event_id")).scalar())) == k).write.mode("append").parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1_000_000)
+    for k in range(4):  # one run for each file, from the same checkpoint: the order of batches is that of the events
+        states = status.source_states(stream.parquet(f"{source}/part={k}") if k == 0 else stream.parquet(f"{source}/part=[0-{k}]"))
+        states.writeStream.outputMode("update").foreachBatch(lambda b, i, k=k: b.write.mode("append").parquet(path)).trigger(availableNow=True).option("checkpointLocation", f"{path}-at").start().awaitTermination()
+    s = spark.read.parquet(path)
+    return s.groupBy("source_id").agg(F.max_by(F.struct("status", "changes", "events"), "events").alias("s")).select(F.col("source_id").cast("long").alias("source_id"), "s.*")
+
+
+_TTL_MS = 3_600_000
+_LEASE_SQL = f"""WITH e AS (SELECT event_id, epoch_us(ts) // 1000 AS ts, CAST(user_id AS VARCHAR) AS source_id, ['claim', 'heartbeat', 'release', 'claim', 'heartbeat'][event_id % 5 + 1] AS kind, 'h' || CAST(event_id // 3 % 3 AS VARCHAR) AS holder FROM events),
+    g AS (SELECT source_id, list_concat([[struct_pack(event := '', holder := '', ts := 0::BIGINT, lh := '', le := 0::BIGINT, lr := '')]], list([struct_pack(event := kind, holder := holder, ts := ts, lh := '', le := 0::BIGINT, lr := '')] ORDER BY ts, event_id)) AS rows FROM e GROUP BY source_id),
+    x AS (SELECT source_id, list_reduce(rows, lambda acc, y: list_concat(acc,
+        CASE WHEN acc[len(acc)].lh <> '' AND y[1].ts > acc[len(acc)].le THEN [struct_pack(event := 'expired', holder := acc[len(acc)].lh, ts := acc[len(acc)].le, lh := '', le := 0::BIGINT, lr := 'expired')] ELSE [] END,
+        [CASE WHEN y[1].event = 'claim' AND (acc[len(acc)].lh = '' OR y[1].ts > acc[len(acc)].le) THEN struct_pack(event := CASE WHEN acc[len(acc)].lh <> '' OR acc[len(acc)].lr = 'expired' THEN 'reclaimed' ELSE 'granted' END, holder := y[1].holder, ts := y[1].ts, lh := y[1].holder, le := y[1].ts + {_TTL_MS}, lr := '')
+            WHEN acc[len(acc)].lh <> '' AND y[1].ts > acc[len(acc)].le THEN struct_pack(event := 'lost', holder := y[1].holder, ts := y[1].ts, lh := '', le := 0::BIGINT, lr := 'expired')
+            WHEN acc[len(acc)].lh <> y[1].holder THEN struct_pack(event := CASE WHEN y[1].event = 'claim' THEN 'denied' ELSE 'lost' END, holder := y[1].holder, ts := y[1].ts, lh := acc[len(acc)].lh, le := acc[len(acc)].le, lr := acc[len(acc)].lr)
+            WHEN y[1].event = 'release' THEN struct_pack(event := 'released', holder := y[1].holder, ts := y[1].ts, lh := '', le := 0::BIGINT, lr := 'released')
+            ELSE struct_pack(event := 'renewed', holder := y[1].holder, ts := y[1].ts, lh := y[1].holder, le := y[1].ts + {_TTL_MS}, lr := acc[len(acc)].lr) END])) AS told FROM g),
+    o AS (SELECT source_id, unnest(list_concat(told[2:], CASE WHEN told[len(told)].lh <> '' THEN [struct_pack(event := 'expired', holder := told[len(told)].lh, ts := told[len(told)].le, lh := '', le := 0::BIGINT, lr := '')] ELSE [] END)) AS t FROM x)
+    SELECT source_id, t.event AS event, t.holder AS holder, t.ts AS ts_ms FROM o"""
+
+
+@query("lease_stream", _LEASE_SQL)
+def lease_stream(spark, d):
+    """What becomes of the leases that the events claim, renew and release, from a stream run to its end; a last tick moves the watermark past all of them."""
+    source, path = new_folder(spark, "events"), new_folder(spark, "leases")
+    kinds = F.array(*(F.lit(k) for k in ("claim", "heartbeat", "release", "claim", "heartbeat")))
+    i = F.col("event_id")
+    e = table(spark, d, "events").select("event_id", F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts"), F.col("user_id").cast("string").alias("source_id"), F.element_at(kinds, (i % 5 + 1).cast("int")).alias("kind"), F.concat(F.lit("h"), F.floor(i / 3 % 3).cast("string")).alias("holder"))
+    tick = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit("~").alias("source_id"), F.lit("tick").alias("kind"), F.lit("").alias("holder"))
+    e.write.parquet(f"{source}/part=0")
+    tick.write.parquet(f"{source}/part=1")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for files in ("part=0", "part=[0-1]"):
+            stream = spark.readStream.schema(e.schema).parquet(f"{source}/{files}")
+            lease.lease_events(stream, _TTL_MS, "1 day").writeStream.format("parquet").option("path", path).trigger(availableNow=True).option("checkpointLocation", f"{path}-at").start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(path).filter("source_id <> '~'").select("source_id", "event", "holder", "ts_ms")

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.merge import append_merge
 from tidemark.sources.files import source_id
 
 EVENT = "event_id long, ts timestamp, source_id string, status string, count long"
 #: Once reached, only a new run leaves them.
 TERMINAL = ("completed", "failed", "skipped", "unsupported", "cancelled")
+#: What an event can say; other words change nothing.
+STATUSES = ("queued", "running", *TERMINAL, "restarted")
 
 
 def discovered(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -41,8 +42,9 @@ def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _advance(now: str | None, new: str) -> str:
-    if now in TERMINAL and new != "restarted":
+def advance(now: str | None, new: str | None) -> str | None:
+    """The status after an event: queued does not undo running, and nothing but a restart leaves a terminal status."""
+    if new not in STATUSES or (now in TERMINAL and new != "restarted"):
         return now
     if new == "queued" and now == "running":
         return now
@@ -59,7 +61,7 @@ def source_states(events: DataFrame) -> DataFrame:
         status, n, seen = state.get if state.exists else (None, 0, 0)
         for batch in batches:
             for new, _ in sorted(zip(batch["status"], batch["event_id"]), key=lambda x: x[1]):
-                after = _advance(status, new)
+                after = advance(status, new)
                 n += after != status
                 status, seen = after, seen + 1
         state.update((status, n, seen))
@@ -87,16 +89,22 @@ def dispatch_limit(metrics: DataFrame, slots: int) -> DataFrame:
     return metrics.withColumn("limit", limit)
 
 
-def merge_into(path: str, key: str = "id"):
-    """A foreachBatch function, the only writer of `path`: appends rows whose key is new to the Parquet table there."""
+def merge_into(path: str, key: str = "id", buckets: int = 64):
+    """A foreachBatch function, the only writer of `path`: appends rows whose key is new to the Parquet table there.
+
+    The table lies in folders by a hash of the key, `bucket`, so a batch is held against the keys of the buckets that it touches only; give as many as make one a few files.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fresh = new
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):  # else this is the table's first batch
-            existing = spark.read.schema(batch.schema).parquet(path)
-            new = append_merge(existing.limit(0), new.join(existing.select(key), key, "left_anti"), key)
-        new.select(*batch.columns).write.mode("append").parquet(path)
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # `buckets` numbers at most
+            existing = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+            fresh = new.join(existing.select(F.col(key).alias("_k"), F.col("bucket").alias("_b")), (F.col("bucket") == F.col("_b")) & F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+        fresh.select(*batch.columns, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        new.unpersist()
 
     return write
