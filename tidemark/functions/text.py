@@ -92,6 +92,28 @@ def title(text: Column) -> Column:
     return F.get(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != ""), 0)
 
 
+# Words of titles, a line that looks like one, and one title that is known by its words.
+TITLE_WORDS = r"(?i)submerged beach|ancient beach|submerged forest|marine terrace|raised beach|guyots?|table\s*mounts?|flat[- ]topped\s+seamounts?|drowned\s+(?:carbonate\s+)?platforms?"
+TITLE_LINE = r"(?m)^([A-Z][A-Za-z0-9.,;:'\"()\-–— ]{20,})$"
+KNOWN_TITLE = r"(?is)(Late Pleistocene and Holocene whale remains.*?trace element concentrations)"
+
+
+def clean_title(title: Column, text: Column, stem: Column) -> Column:
+    """The title, unless it is blank, an identifier, the file's name or terms of use; then the first that there is of: a known title, one of the first 20 lines with a title's words and over 20 characters,
+    the text around such words, a line that looks like a title, the file's name."""
+    raw = F.trim(F.coalesce(title, F.lit("")))
+    none = (raw == "") | raw.startswith("PII:") | (raw == stem) | (F.lower(raw) == "terms of use")
+    lines = F.slice(F.filter(F.transform(F.split(text, r"\R"), collapse), lambda x: x != ""), 1, 20)
+    line = F.get(F.filter(lines, lambda x: x.rlike(TITLE_WORDS) & (F.length(x) > 20)), 0)
+    at = F.regexp_instr(text, F.lit(f"(?s){TITLE_WORDS}"))
+    word = F.regexp_substr(text, F.lit(TITLE_WORDS))
+    start = F.greatest(at - 10, F.lit(1))
+    around = F.when(at > 0, F.substring(collapse(F.substr(text, start, at - start + F.length(word) + 110)), 1, 160))
+    known = F.substring(collapse(first_group(text, KNOWN_TITLE)), 1, 180)
+    ladder = F.coalesce(known, F.substring(line, 1, 160), around, F.substring(collapse(first_group(text, TITLE_LINE)), 1, 160), stem)
+    return F.when(none, ladder).otherwise(collapse(raw))
+
+
 def html_text(html: Column) -> Column:
     """Tags and what stands in script and style elements removed, white space collapsed."""
     return collapse(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " "))

@@ -23,8 +23,6 @@ DEPTHS = (
     r"(?i)at\s+(?:a\s+)?depth\s+of\s+(\d+(?:\.\d+)?)\s*m",
 )
 ISOBATH = r"(?i)(\d+(?:\.\d+)?)\s*m\s+isobath"
-BLOCKED_CLASSES = ("amenity", "shop", "building", "office", "tourism", "leisure", "highway")
-BLOCKED_TYPES = ("kindergarten", "school", "office", "hotel", "restaurant", "residential", "road", "service")
 
 
 def depth_values(text: Column, isobath_offset: float = 200.0) -> Column:
@@ -134,13 +132,12 @@ def beach_name(name: Column) -> Column:
 
 
 def table_records(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, row, cells): the tables of a page as maps from the first row's normalized headers to the cells; cells beyond the header go. Row numbers count from 1."""
+    """(key, row, cells): the tables of a page as maps from the first row's normalized headers to the cells, of equal headers the last cell; cells beyond the header go. Row numbers count from 1."""
     rows = pages.select(key, table_rows(F.col(html)).alias("rows")).filter(F.size("rows") > 1)
-    heads = F.transform(F.get("rows", 0), header)
-    each = rows.select(key, F.map_from_arrays(F.array_distinct(heads), F.array_distinct(heads)).alias("_h"), heads.alias("h"), F.posexplode(F.slice("rows", 2, F.size("rows"))).alias("row", "cells"))
-    pairs = F.filter(F.arrays_zip(F.col("h"), F.col("cells")), lambda p: p["h"].isNotNull() & p["cells"].isNotNull())
-    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["h"] == p["h"]))
-    return each.select(key, (F.col("row") + 1).alias("row"), F.map_from_entries(F.transform(first, lambda p: F.struct(p["h"], p["cells"]))).alias("cells"))
+    each = rows.select(key, F.transform(F.get("rows", 0), header).alias("h"), F.posexplode(F.slice("rows", 2, F.size("rows"))).alias("row", "cells"))
+    pairs = F.filter(F.arrays_zip(F.col("h"), F.slice("cells", 1, F.size("h"))), lambda p: p["h"].isNotNull() & p["1"].isNotNull())
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["h"] == p["h"]))
+    return each.select(key, (F.col("row") + 1).alias("row"), F.map_from_entries(F.transform(last, lambda p: F.struct(p["h"], p["1"]))).alias("cells"))
 
 
 def carried(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame:
@@ -173,15 +170,6 @@ def ranked_dois(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return best.groupBy(key).agg(F.max_by(F.struct("doi", "score", "n"), F.struct("score", -F.col("at"))).alias("b")).select(key, "b.*")
 
 
-def best_place(results: DataFrame, key: str = "query") -> DataFrame:
-    """Of gazetteer results (query, display_name, class, type, importance, lat, lon) the most important one that is a place and whose name holds the query's first word."""
-    token = F.get(F.filter(F.split(F.replace(F.lower(key), F.lit(","), F.lit(" ")), r"\s+"), lambda x: F.length(x) > 2), 0)
-    ok = ~F.coalesce(F.lower("class"), F.lit("")).isin(*BLOCKED_CLASSES) & ~F.coalesce(F.lower("type"), F.lit("")).isin(*BLOCKED_TYPES)
-    named = token.isNull() | F.contains(F.lower("display_name"), token)
-    good = results.filter(ok & named)
-    return good.groupBy(key).agg(F.max_by(F.struct(*(c for c in results.columns if c != key)), F.struct(F.coalesce("importance", F.lit(0.0)), "display_name")).alias("b")).select(key, "b.*")
-
-
 def median_step(df: DataFrame, value: str) -> DataFrame:
     """The median of the differences between neighbouring distinct values. Distinct values of a grid axis are few, so one window orders them."""
     steps = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("d", F.col(value) - F.lag(value).over(Window.orderBy(value)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import extraction as ex
-from tidemark.operators import interpret
+from tidemark.operators import gazetteer, interpret
 from tidemark.plans.evidence import _ATLAS_SQL, _COORDINATES_SQL, _NOTE_SQL, _RECORD_SQL, atlas_rows, notes, raw_records
 from tidemark.plans.registry import query, table
 from tidemark.sources import atlas
@@ -61,7 +61,7 @@ def doi_ranking(spark, d):
 def gazetteer_pick(spark, d):
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     g = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("query"), F.concat("s_name", F.lit(", "), "n_name").alias("display_name"), F.when(F.col("s_suppkey") % 3 == 0, "shop").otherwise("place").alias("class"), F.lit("town").alias("type"), F.col("s_acctbal").alias("importance"))
-    return ex.best_place(g).select("query", "display_name")
+    return gazetteer.best_place(g).select("query", "display_name")
 
 
 @query("sectioned_paragraphs", "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t) WHERE trim(regexp_replace(l, '\\s+', ' ', 'g')) <> '' GROUP BY doc_id) SELECT doc_id, n AS n_lines FROM l")
