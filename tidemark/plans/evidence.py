@@ -183,7 +183,7 @@ def keep_last(spark, d):
     return merge.keep_last(points(spark, d)).select("id", "seq", "place", "method")
 
 
-_FOLD_SQL = """d AS (SELECT id, elevation_m AS e, notes AS n, method AS m, max(seq) AS seq FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM d), fold AS (
+_FOLD_SQL = """r AS (SELECT id, elevation_m AS e, notes AS n, method AS m, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM p), fold AS (
     SELECT id, k, e, n, m FROM r WHERE k = 1
     UNION ALL
     SELECT id, k, CASE WHEN t THEN coalesce(ae, be) ELSE coalesce(be, ae) END, CASE WHEN t THEN CASE WHEN coalesce(lower(trim(an)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(bn)) NOT IN ('', 'null', 'none'), false) THEN an ELSE bn END ELSE CASE WHEN coalesce(lower(trim(bn)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(an)) NOT IN ('', 'null', 'none'), false) THEN bn ELSE an END END, CASE WHEN t THEN CASE WHEN coalesce(lower(trim(am)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(bm)) NOT IN ('', 'null', 'none'), false) THEN am ELSE bm END ELSE CASE WHEN coalesce(lower(trim(bm)) NOT IN ('', 'null', 'none'), false) OR NOT coalesce(lower(trim(am)) NOT IN ('', 'null', 'none'), false) THEN bm ELSE am END END FROM (

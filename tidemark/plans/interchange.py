@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from tidemark.operators import extraction as ex
 from tidemark.operators import fields, interpret
 from tidemark.plans.evidence import _RECORD_SQL, raw_records
 from tidemark.plans.registry import query, table
-from tidemark.sources import files
+from tidemark.sources import files, rasters
 from tidemark.sources.sites import SITES_SQL, usable_sites
 from tidemark.streaming import lease, machine, status
 
@@ -155,6 +156,21 @@ def raster_samples(spark, d):
     return files.sample_raster(sites(spark, d), cells, (-180.0, 90.0), (7.0, 5.0), (36, 50), -9999.0).select("id", "sampled_m")
 
 
+@query("raster_file", f"WITH {SITES_SQL}, c AS (SELECT CAST(trunc(longitude + 180) AS BIGINT) AS c, CAST(trunc(90 - latitude) AS BIGINT) AS r, min(id) AS least FROM s GROUP BY 1, 2) SELECT id, CASE WHEN c BETWEEN 0 AND 349 AND least % 11 > 0 THEN CAST(least AS DOUBLE) END AS sampled_m FROM s JOIN c ON c.c = trunc(longitude + 180) AND c.r = trunc(90 - latitude)")
+def raster_file(spark, d):
+    """Sites sampled from a raster file of one-degree cells, written from the sites' least ids; some cells have no data, and the file ends before the eastmost sites."""
+    from tidemark.sources.sites import sites
+
+    s = sites(spark, d)
+    cells = s.groupBy((F.col("longitude") + 180).cast("int").alias("c"), (90 - F.col("latitude")).cast("int").alias("r")).agg(F.min("id").alias("v")).filter("c < 350").collect()  # no more than 180 x 350 cells
+    grid = np.full((180, 350), -9999.0)
+    for x in cells:
+        grid[x["r"], x["c"]] = x["v"] if x["v"] % 11 else -9999.0
+    path = f"{new_folder(spark, 'raster')}.tif"
+    rasters.write_raster(path, grid, (-180.0, 90.0), (1.0, 1.0), -9999.0, 64, rasters.DEFLATE, 3)
+    return rasters.sample_file(s.select("id", "longitude", "latitude"), path).select("id", "sampled_m")
+
+
 @query("run_report", f"WITH {_RECORD_SQL}, c AS (SELECT record_class, count(*) AS n FROM r GROUP BY record_class) SELECT '# Run' || chr(10) || chr(10) || 'Records: ' || CAST((SELECT count(*) FROM r) AS VARCHAR) || chr(10) || 'Unresolved: ' || CAST((SELECT count(*) FROM r WHERE latitude IS NULL) AS VARCHAR) || chr(10) || chr(10) || (SELECT string_agg('- ' || record_class || ': ' || CAST(n AS VARCHAR), chr(10) ORDER BY '- ' || record_class || ': ' || CAST(n AS VARCHAR)) FROM c) AS value")
 def run_report(spark, d):
     r = raw_records(spark, d)
