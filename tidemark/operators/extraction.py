@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.placing import numbered
 from tidemark.functions.text import GUYOT, collapse, first_group, number, quality, table_rows  # noqa: F401
 from tidemark.operators import records
 
@@ -170,9 +171,32 @@ def ranked_dois(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return best.groupBy(key).agg(F.max_by(F.struct("doi", "score", "n"), F.struct("score", -F.col("at"))).alias("b")).select(key, "b.*")
 
 
+def queued(jobs: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`jobs` with `place`, 0, 1, 2 ... within each queue of `by` in the order of `order`, by ranges of rows."""
+    rows = numbered(jobs, [*by, *order], "_k")
+    if not by:
+        return rows.withColumnRenamed("_k", "place")
+    start = rows.groupBy(*by).agg(F.min("_k").alias("_start")).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(start, same).withColumn("place", F.col("_k") - F.col("_start")).drop("_k", "_start", *(f"_{c}" for c in by))
+
+
+# The order of statuses in the table of jobs.
+STATUS_ORDER = ("running", "queued", "done", "failed", "cancelled", "skipped", "unsupported")
+
+
+def sorted_states(states: DataFrame, mode: str, index: str = "index") -> DataFrame:
+    """`states` with `place`, their order by `mode`: status, name, elapsed (longest first), unresolved (most first, then status) or any other for the index alone, which also ends the others."""
+    rank = F.coalesce(*(F.when(F.col("status") == s, F.lit(i)) for i, s in enumerate(STATUS_ORDER)), F.lit(9))
+    keys = {"status": [rank], "name": [F.lower("name")], "elapsed": [-F.coalesce("elapsed", F.lit(0.0))], "unresolved": [-F.col("unresolved"), rank]}.get(mode, [])
+    names = [f"_by{i}" for i in range(len(keys))]
+    return queued(states.withColumns(dict(zip(names, keys))) if keys else states, [], [*names, index]).drop(*names)
+
+
 def median_step(df: DataFrame, value: str) -> DataFrame:
-    """The median of the differences between neighbouring distinct values. Distinct values of a grid axis are few, so one window orders them."""
-    steps = df.select(value).filter(F.col(value).isNotNull()).distinct().withColumn("d", F.col(value) - F.lag(value).over(Window.orderBy(value)))
+    """The median of the differences between neighbouring distinct values: values are numbered by ranges and meet the one after them; no task orders all of them."""
+    rows = numbered(df.select(F.col(value).alias("_v")).filter("_v IS NOT NULL").distinct(), "_v", "_i")
+    steps = rows.join(rows.select((F.col("_i") + 1).alias("_i"), F.col("_v").alias("_before")), "_i").select((F.col("_v") - F.col("_before")).alias("d"))
     return steps.agg(F.percentile("d", F.lit(0.5)).alias("median_step"))
 
 

@@ -110,3 +110,22 @@ def preference(records: DataFrame, poles: DataFrame, bulge: float = 11_000.0, si
     out = out.withColumn("preference_norm", F.col("preference_raw") / F.col("_w")).withColumn("hit_fraction", F.coalesce("hit_fraction", F.lit(0.0))).drop("_w")
     top = out.agg(F.max("preference_norm")).scalar()
     return out.withColumn("preference_0_1", F.coalesce(F.col("preference_norm") / F.nullif(top, F.lit(0.0)), F.lit(0.0)))
+
+
+def inverse(sites: DataFrame, poles: DataFrame, within: float, bulge: float = 11_000.0) -> DataFrame:
+    """For each site (id, latitude, longitude, z_m) the poles (offset_deg, px, py, pz) that predict its z up to `within`: id, n, least_offset_deg, most_offset_deg; sites without one are left out.
+
+    The grid, whose size its steps set, is broadcast; a task keeps sums for each of its sites only.
+    """
+    v = geo.unit("latitude", "longitude")
+    weighed = sites.select("id", "z_m", *(c.alias(f"v{i}") for i, c in enumerate(v)))
+    met = reduce(DataFrame.unionByName, (weighed.crossJoin(F.broadcast(p)) for p in in_parts(poles)))
+    miss = F.round(F.col("z_m") - geo.predicted_elevation((F.col("v0"), F.col("v1"), F.col("v2")), (F.col("px"), F.col("py"), F.col("pz")), bulge), 5)
+    return met.filter(F.abs(miss) <= within).groupBy("id").agg(F.count("*").alias("n"), F.min("offset_deg").alias("least_offset_deg"), F.max("offset_deg").alias("most_offset_deg"))
+
+
+def correlated(grid: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n and the correlation of two fields over the cells that have both, and least, greatest, middle, mean and median of the first (a_min ...)."""
+    g = grid.dropna(subset=[a, b])
+    stats = {"min": F.min(a), "max": F.max(a), "mid": (F.min(a) + F.max(a)) / 2, "mean": F.avg(a), "median": F.percentile(a, F.lit(0.5))}
+    return g.agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), *(c.alias(f"{a}_{n}") for n, c in stats.items()))

@@ -252,6 +252,8 @@ CANDIDATE = ("axis_lat", "axis_lon", "angle_deg", "lambda_q")
 ROTATION_FIT = ("n", "r2", "rmse", "intercept", "rotation_coeff", "quadrupole_norm", *(f"q_{k}" for k in ("xy", "yz", "z2", "xz", "x2y2")))
 #: Candidates that a task fits, and that `rotation_scores` takes at most.
 SCAN_ROWS, MOST_SCORED = 20_000, 10_000
+#: Pairs of rows and candidates that `rotation_scores` ranks at most.
+MOST_PAIRS = 1 << 36
 
 
 def _turned_pole() -> tuple[Column, Column, Column]:
@@ -307,8 +309,9 @@ def rotation_scores(df: DataFrame, fitted: DataFrame, z: str = "z_m") -> DataFra
 
     The candidates are broadcast to the rows, once for their scale and once for the residuals; ranks are dealt by candidate and range.
     """
-    if fitted.count() > MOST_SCORED:
-        raise ValueError("too many candidates to score; take the best of them")
+    candidates, rows_ = fitted.count(), df.count()
+    if candidates > MOST_SCORED or candidates * rows_ > MOST_PAIRS:
+        raise ValueError("too many candidates to score for so many rows; take the best of them")
     pole = _turned_pole()
     c = fitted.withColumns({f"p{i}": p for i, p in enumerate(pole)} | {"rotated_pole_lat": geo.latitude(pole), "rotated_pole_lon": geo.longitude(pole)})
     v = geo.unit("latitude", "longitude")

@@ -86,15 +86,16 @@ def dominated(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def gamma(df: DataFrame, x: str, y: str, blocks: int = 1024) -> DataFrame:
+def gamma(df: DataFrame, x: str, y: str, blocks: int | None = None) -> DataFrame:
     """Goodman and Kruskal's gamma, (C - D) / (C + D): ties leave the denominator.
 
-    Rows are summed by (x, y); both axes are cut into about `blocks` ranges of equally many rows, a value that fills a range being one of its own. Pairs whose ranges differ on both
+    Rows are summed by (x, y); both axes are cut into about `blocks` (by default the cube root of the number of cells, from 64 to 2 048) ranges of equally many rows, a value that fills a range being one of its own. Pairs whose ranges differ on both
     axes are counted in the table of ranges (at most 4 * blocks ** 2 cells, one task), the others within a range of x or of y, a task for each, by sorting; no pair is made. Discordant pairs are the rest
     without ties.
     """
     v = kept(df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("n")))
-    rows = v.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows, cells = v.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    blocks = blocks or min(2_048, max(64, round(cells ** (1 / 3))))
 
     def ranges(c: str, out: str) -> DataFrame:
         placed = running(v.groupBy(c).agg(F.sum("n").alias("_n")), [c], "_n", "_b")

@@ -119,11 +119,16 @@ def wrapped_longitudes(spark, d):
     return sites(spark, d).select("id", geo.wrap_longitude((F.col("id") * 7 % 1081 - 540).cast("double")).alias("lon"))
 
 
-@query("displaced_pole_grid", "WITH a AS (SELECT 0.5 + 2.5 * unnest(range(0, 18)) AS a), p AS (SELECT 5.0 * unnest(range(0, 72)) AS p), g AS (SELECT a, p, sin(radians(a)) * cos(radians(p)) AS px, sin(radians(a)) * sin(radians(p)) AS py, cos(radians(a)) AS pz FROM a, p) SELECT CAST(a AS DOUBLE) AS offset_deg, CAST(p AS DOUBLE) AS azimuth_deg, round(px, 9) + 0.0 AS px, round(py, 9) + 0.0 AS py, round(pz, 9) + 0.0 AS pz FROM g")
+@query("displaced_pole_grid", f"""{W}, a AS (SELECT 0.5 + 2.5 * unnest(range(0, 18)) AS a), p AS (SELECT 5.0 * unnest(range(0, 72)) AS p), g AS (SELECT CAST(a AS DOUBLE) AS offset_deg, CAST(p AS DOUBLE) AS azimuth_deg, sin(radians(a)) * cos(radians(p)) AS px, sin(radians(a)) * sin(radians(p)) AS py, cos(radians(a)) AS pz FROM a, p),
+    m AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM u) SELECT offset_deg, azimuth_deg, round(px, 9) + 0.0 AS px, round(py, 9) + 0.0 AS py, round(pz, 9) + 0.0 AS pz, round(degrees(acos(greatest(-1, least(1, (px * x + py * y + pz * z) / sqrt(x * x + y * y + z * z))))), 5) AS from_sites_deg FROM g, m""")
 def displaced_pole_grid(spark, d):
-    g = spark.range(1).select(F.explode(geo.steps(0.5, 18, 2.5)).alias("offset_deg")).select("offset_deg", F.explode(geo.steps(0.0, 72, 5.0)).alias("azimuth_deg"))
-    p = geo.displaced_pole("offset_deg", "azimuth_deg")
-    return rounded(g.select("*", *(c.alias(n) for c, n in zip(p, ("px", "py", "pz")))), 9)
+    """The grid of displaced poles and each one's distance from the middle of the usable sites."""
+    x, y, z = geo.unit("latitude", "longitude")
+    middle = usable_sites(spark, d).agg(F.struct(F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(z).alias("z"))).scalar()
+    g = spark.range(1).select(F.explode(geo.steps(0.5, 18, 2.5)).alias("offset_deg")).select("offset_deg", F.explode(geo.steps(0.0, 72, 5.0)).alias("azimuth_deg")).withColumn("m", middle)
+    p, m = geo.displaced_pole("offset_deg", "azimuth_deg"), (F.col("m.x"), F.col("m.y"), F.col("m.z"))
+    d_ = geo.angular_distance(p, tuple(c / F.sqrt(geo.dot(m, m)) for c in m))
+    return rounded(g.select("offset_deg", "azimuth_deg", *(c.alias(n) for c, n in zip(p, ("px", "py", "pz"))), F.round(d_, 5).alias("from_sites_deg")), 9)
 
 
 @query("lat_lon_slopes", f"{W}, l AS (SELECT 'lat' AS axis, latitude AS v, z_m FROM u UNION ALL SELECT 'lon', longitude, z_m FROM u UNION ALL SELECT 'abs_lat', abs(latitude), z_m FROM u) SELECT axis, regr_count(z_m, v) AS n, round(regr_slope(z_m, v), 7) AS slope, round(regr_intercept(z_m, v), 7) AS intercept, round(regr_r2(z_m, v), 9) AS r2, round(sqrt(regr_syy(z_m, v) * (1 - regr_r2(z_m, v)) / regr_count(z_m, v)), 7) AS rmse FROM l GROUP BY axis")

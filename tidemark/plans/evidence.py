@@ -58,10 +58,10 @@ def coordinate_extract(spark, d):
     return notes(spark, d).select("doc_id", tx.coordinates(F.col("note")).alias("c")).select("doc_id", "c.lat", "c.lon")
 
 
-@query("place_queries", f"WITH {_NOTE_SQL}, p AS (SELECT doc_id, list_concat(regexp_extract_all(note, 'near\\s+([A-Z][A-Za-z\\-]+(?:\\s+[A-Z][A-Za-z\\-]+)*)', 1), regexp_extract_all(note, 'off\\s+([A-Z][A-Za-z\\-]+(?:\\s+[A-Z][A-Za-z\\-]+)*)', 1)) AS p FROM notes) SELECT doc_id, p[1] AS first_place, p[2] AS second_place FROM p WHERE len(p) = 2")
+@query("place_queries", f"WITH {_NOTE_SQL}, p AS (SELECT doc_id, list_concat(regexp_extract_all(note, 'near\\s+([A-Z][A-Za-z\\-]+(?:\\s+[A-Z][A-Za-z\\-]+)*)', 1), regexp_extract_all(note, 'off\\s+([A-Z][A-Za-z\\-]+(?:\\s+[A-Z][A-Za-z\\-]+)*)', 1)) AS p FROM notes) SELECT doc_id, list_distinct_ordered AS places FROM (SELECT doc_id, list_filter(p, lambda x, i: list_position(p, x) = i)[1:5] AS list_distinct_ordered FROM p)")
 def place_queries(spark, d):
-    p = notes(spark, d).select("doc_id", tx.places(F.col("note")).alias("p")).filter(F.size("p") == 2)
-    return p.select("doc_id", F.get("p", 0).alias("first_place"), F.get("p", 1).alias("second_place"))
+    """The places that every note names after `near` and `off`, five at most, which is the operator's rule."""
+    return notes(spark, d).select("doc_id", tx.places(F.col("note")).alias("places"))
 
 
 WORDS = ["submerged beach", "raised beach", "the", "licensed", "idiot", "%%%"]

@@ -78,12 +78,25 @@ def median_step(spark, d):
 
 @query("queue_order", "SELECT o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'F'")
 def queue_order(spark, d):
-    """Pending jobs of each queue: boosted ones first, then in the order they came."""
-    from pyspark.sql import Window
-
+    """Pending jobs of each queue: boosted ones first, then in the order they came; numbered by ranges, so that a queue is many tasks' work."""
     rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    w = Window.partitionBy("o_orderpriority").orderBy(rank, "o_orderkey")
-    return table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.row_number().over(w).cast("long").alias("place"))
+    jobs = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("queue"), rank.alias("rank"))
+    return ex.queued(jobs, ["queue"], ["rank", "id"]).select("id", (F.col("place") + 1).alias("place"))
+
+
+_STATES_SQL = "t AS (SELECT o_orderkey AS idx, ['running', 'queued', 'done', 'failed', 'cancelled', 'skipped', 'unsupported', 'odd'][o_orderkey % 8 + 1] AS status, 'File ' || o_orderpriority AS name, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 1000 AS DOUBLE) END AS elapsed, o_custkey % 4 AS unresolved FROM orders), r AS (SELECT *, CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 WHEN 'done' THEN 2 WHEN 'failed' THEN 3 WHEN 'cancelled' THEN 4 WHEN 'skipped' THEN 5 WHEN 'unsupported' THEN 6 ELSE 9 END AS rank FROM t)"
+
+
+@query("sort_modes", f"WITH {_STATES_SQL} SELECT idx, row_number() OVER (ORDER BY rank, idx) - 1 AS by_status, row_number() OVER (ORDER BY lower(name), idx) - 1 AS by_name, row_number() OVER (ORDER BY -coalesce(elapsed, 0), idx) - 1 AS by_elapsed, row_number() OVER (ORDER BY -unresolved, rank, idx) - 1 AS by_unresolved FROM r")
+def sort_modes(spark, d):
+    """The place of each job in the status table under each of its orders."""
+    k = F.col("o_orderkey")
+    words = F.array(*(F.lit(w) for w in ("running", "queued", "done", "failed", "cancelled", "skipped", "unsupported", "odd")))
+    states = table(spark, d, "orders").select(k.alias("idx"), F.element_at(words, (k % 8 + 1).cast("int")).alias("status"), F.concat(F.lit("File "), "o_orderpriority").alias("name"), F.when(k % 5 > 0, (k % 1000).cast("double")).alias("elapsed"), (F.col("o_custkey") % 4).alias("unresolved"))
+    out = states.select("idx")
+    for mode in ("status", "name", "elapsed", "unresolved"):
+        out = out.join(ex.sorted_states(states, mode, "idx").select("idx", F.col("place").alias(f"by_{mode}")), "idx")
+    return out
 
 
 @query("processed_records", f"WITH {_RECORD_SQL}, v AS (SELECT record_class IN ('sea_level_indicator', 'marine_limiting', 'terrestrial_limiting') AND coordinate_source IN ('reported', 'inferred_text', 'inferred_map') AND coalesce(abs(latitude) <= 90, true) AND coalesce(abs(longitude) <= 180, true) AND provenance IS NOT NULL AS accepted, record_class FROM r) SELECT record_class, accepted, count(*) AS n FROM v GROUP BY ALL")

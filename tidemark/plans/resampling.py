@@ -8,6 +8,7 @@ from tidemark.functions import geo
 from tidemark.functions.placing import numbered
 from tidemark.operators import fields, fits, records, statistics
 from tidemark.plans.analysis import EDGES, BINS_SQL, W, rounded
+from tidemark.plans.least_squares import RECURSIVE, TERMS_SQL, least_squares_sql
 from tidemark.plans.registry import query, table
 from tidemark.sources.sites import usable_sites
 
@@ -129,23 +130,43 @@ def field(spark):
     return g.withColumn("m", FIELD[0] + FIELD[1] * x + FIELD[2] * y + FIELD[3] * z)
 
 
-@query("field_summary", f"WITH {_FIELD_SQL} SELECT count(*) AS n, round(min(m), 6) AS m_min, round(max(m), 6) AS m_max, round(avg(m), 6) AS m_mean, round(quantile_cont(m, 0.5), 6) AS m_median, round(corr(m, lat), 7) AS pearson_lat FROM f")
+_SITE_FIELD_SQL = "f AS (SELECT latitude AS lat, longitude AS lon, min(z_m) AS m FROM u GROUP BY latitude, longitude)"
+
+
+def site_field(spark, d):
+    """The usable sites' places with their least z, as a field."""
+    return usable_sites(spark, d).groupBy(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).agg(F.min("z_m").alias("m"))
+
+
+@query("field_summary", f"{W}, {_SITE_FIELD_SQL} SELECT count(*) AS n, round(min(m), 6) AS m_min, round(max(m), 6) AS m_max, round((min(m) + max(m)) / 2, 6) AS m_mid, round(avg(m), 6) AS m_mean, round(quantile_cont(m, 0.5), 6) AS m_median FROM f")
 def field_summary(spark, d):
-    return field(spark).agg(F.count("*").alias("n"), *(F.round(c, 6).alias(n) for n, c in (("m_min", F.min("m")), ("m_max", F.max("m")), ("m_mean", F.avg("m")), ("m_median", F.percentile("m", F.lit(0.5))))), F.round(F.corr("m", "lat"), 7).alias("pearson_lat"))
+    return site_field(spark, d).agg(F.count("*").alias("n"), *(F.round(c, 6).alias(n) for n, c in (("m_min", F.min("m")), ("m_max", F.max("m")), ("m_mid", (F.min("m") + F.max("m")) / 2), ("m_mean", F.avg("m")), ("m_median", F.percentile("m", F.lit(0.5))))))
+
+
+@query("field_correlation", f"""{RECURSIVE}, one AS (SELECT 1 AS g, u.* FROM u), {least_squares_sql('one', ['g'], TERMS_SQL[:4], (4,))}, c AS (SELECT floor((latitude + 90) / 10) * 10 - 85 AS lat, floor((longitude + 180) / 20) * 20 - 170 AS lon, avg(z_m) AS m FROM u GROUP BY 1, 2),
+    p AS (SELECT m, beta[1] + beta[2] * cos(radians(lat)) * cos(radians(lon)) + beta[3] * cos(radians(lat)) * sin(radians(lon)) + beta[4] * sin(radians(lat)) AS e FROM c, ls)
+    SELECT count(*) AS n, round(corr(e, m), 7) AS pearson, round(min(e), 5) AS e_min, round(max(e), 5) AS e_max, round((min(e) + max(e)) / 2, 5) AS e_mid, round(avg(e), 5) AS e_mean, round(quantile_cont(e, 0.5), 5) AS e_median FROM p""")
+def field_correlation(spark, d):
+    """Two fields on one grid: the spherical fit's values at the centers of 10 by 20 degree cells, and the mean z of the sites in them."""
+    s = usable_sites(spark, d)
+    beta = fits.grouped_fits(s.withColumn("g", F.lit(1)), ["g"], fits.harmonic_terms(1)).select("coefficients").scalar()
+    lat, lon = F.floor((F.col("latitude") + 90) / 10) * 10 - 85, F.floor((F.col("longitude") + 180) / 20) * 20 - 170
+    cells = s.groupBy(lat.cast("double").alias("lat"), lon.cast("double").alias("lon")).agg(F.avg("z_m").alias("m"))
+    return fields.correlated(cells.withColumn("b", beta).withColumn("e", F.col("b")[0] + geo.dot(geo.unit("lat", "lon"), tuple(F.col("b")[i] for i in (1, 2, 3)))), "e", "m").select("n", F.round("pearson", 7).alias("pearson"), *(F.round(f"e_{x}", 5).alias(f"e_{x}") for x in ("min", "max", "mid", "mean", "median")))
 
 
-@query("field_geometry", f"WITH {_FIELD_SQL}, q AS (SELECT quantile_cont(m, 0.9) AS a, quantile_cont(m, 0.1) AS b FROM f), p AS (SELECT 'top' AS part, lat, lon, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM f, q WHERE m >= a UNION ALL SELECT 'bottom', lat, lon, cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat)) FROM f, q WHERE m <= b), c AS (SELECT part, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM p GROUP BY part) SELECT part, n, round(degrees(asin(z / sqrt(x * x + y * y + z * z))), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon FROM c")
+@query("field_geometry", f"{W}, {_SITE_FIELD_SQL}, q AS (SELECT quantile_cont(m, 0.9) AS a, quantile_cont(m, 0.1) AS b FROM f), p AS (SELECT 'top' AS part, lat, lon, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM f, q WHERE m >= a UNION ALL SELECT 'bottom', lat, lon, cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat)) FROM f, q WHERE m <= b), c AS (SELECT part, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM p GROUP BY part) SELECT part, n, round(degrees(asin(z / sqrt(x * x + y * y + z * z))), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon FROM c")
 def field_geometry(spark, d):
-    f = field(spark)
+    f = site_field(spark, d)
     q = f.agg(F.struct(F.percentile("m", F.lit(0.9)).alias("a"), F.percentile("m", F.lit(0.1)).alias("b"))).scalar()
     part = F.when(F.col("m") >= F.col("q.a"), "top").when(F.col("m") <= F.col("q.b"), "bottom")
     lat, lon = fields.centroid("lat", "lon")
     return f.withColumn("q", q).withColumn("part", part).filter("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("n"), F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"))
 
 
-@query("basin", f"WITH {_FIELD_SQL}, t AS (SELECT * FROM f ORDER BY m DESC, lat, lon LIMIT 25) SELECT round(avg(lat), 6) AS basin_lat, round(degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))), 6) AS basin_lon FROM t")
+@query("basin", f"{W}, {_SITE_FIELD_SQL}, t AS (SELECT * FROM f ORDER BY m DESC, lat, lon LIMIT 25) SELECT round(avg(lat), 6) AS basin_lat, round(degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))), 6) AS basin_lon FROM t")
 def basin(spark, d):
-    return rounded(fields.basin(field(spark), 25), 6)
+    return rounded(fields.basin(site_field(spark, d), 25), 6)
 
 
 _PATH_SQL = f"""WITH {_FIELD_SQL}, ax AS (SELECT (s_suppkey * 37 % 121 - 60)::DOUBLE AS axis_lat, (s_suppkey * 53 % 360 - 180)::DOUBLE AS axis_lon, s_suppkey AS axis_id FROM supplier), a AS (
@@ -188,19 +209,20 @@ def observed_vs_random(spark, d):
     return rounded(r.groupBy("metric").agg(F.max(m).alias("observed_median"), F.percentile("v", F.lit(0.5)).alias("random_median"), F.percentile("v", F.lit(0.1)).alias("random_p10"), F.percentile("v", F.lit(0.9)).alias("random_p90"), statistics.p_greater(v, m).alias("p_high"), statistics.p_greater(-v, -m).alias("p_low")), 6)
 
 
-@query("random_axes", f"SELECT CAST(k AS BIGINT) AS k, round(degrees(asin(2 * {uniform_sql(md5_sql(chr(39) + 'lat' + chr(39), 'k'))} - 1)), 7) AS axis_lat, round(360.0::DOUBLE * {uniform_sql(md5_sql(chr(39) + 'lon' + chr(39), 'k'))} - 180, 7) AS axis_lon FROM (SELECT unnest(range(0, 10000)) AS k)")
+@query("random_axes", f"SELECT c_custkey AS k, round(degrees(asin(2 * {uniform_sql(md5_sql(chr(39) + 'lat' + chr(39), 'c_custkey'))} - 1)), 7) AS axis_lat, round(360.0::DOUBLE * {uniform_sql(md5_sql(chr(39) + 'lon' + chr(39), 'c_custkey'))} - 180, 7) AS axis_lon FROM customer")
 def random_axes(spark, d):
-    k = F.col("id")
-    return rounded(spark.range(10_000).select(k.alias("k"), F.degrees(F.asin(2 * statistics.uniform(statistics.draw("lat", k)) - 1)).alias("axis_lat"), (360 * statistics.uniform(statistics.draw("lon", k)) - 180).alias("axis_lon")))
+    """A random axis for every customer."""
+    k = F.col("c_custkey")
+    return rounded(table(spark, d, "customer").select(k.alias("k"), F.degrees(F.asin(2 * statistics.uniform(statistics.draw("lat", k)) - 1)).alias("axis_lat"), (360 * statistics.uniform(statistics.draw("lon", k)) - 180).alias("axis_lon")))
 
 
 _MATCHED = "k * 200 + j"
 
 
-@query("matched_random_axes", f"WITH c AS (SELECT c_custkey AS k, CAST(c_custkey % 60 + 1 AS DOUBLE) AS angle_deg FROM customer WHERE c_custkey <= 25), e AS (SELECT k, angle_deg, unnest(range(0, 200)) AS j FROM c) SELECT k, angle_deg, j, round(degrees(asin(2 * {uniform_sql(md5_sql(chr(39) + 'mlat' + chr(39), _MATCHED))} - 1)), 7) AS axis_lat, round(360.0::DOUBLE * {uniform_sql(md5_sql(chr(39) + 'mlon' + chr(39), _MATCHED))} - 180, 7) AS axis_lon FROM e")
+@query("matched_random_axes", f"WITH c AS (SELECT c_custkey AS k, CAST(c_custkey % 60 + 1 AS DOUBLE) AS angle_deg FROM customer), e AS (SELECT k, angle_deg, unnest(range(0, 200)) AS j FROM c) SELECT k, angle_deg, j, round(degrees(asin(2 * {uniform_sql(md5_sql(chr(39) + 'mlat' + chr(39), _MATCHED))} - 1)), 7) AS axis_lat, round(360.0::DOUBLE * {uniform_sql(md5_sql(chr(39) + 'mlon' + chr(39), _MATCHED))} - 180, 7) AS axis_lon FROM e")
 def matched_random_axes(spark, d):
-    """For each of 25 candidates 200 random axes with its angle."""
-    c = table(spark, d, "customer").filter("c_custkey <= 25").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 60 + 1).cast("double").alias("angle_deg"))
+    """For every customer as a candidate 200 random axes with its angle."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 60 + 1).cast("double").alias("angle_deg"))
     return rounded(statistics.matched_axes(c, "k", 200, "m"))
 
 
@@ -270,15 +292,14 @@ def regime_pairs(spark, d):
     return j.select("regime_a", "regime_b", F.round(geo.angular_distance(geo.unit("lat_a", "lon_a"), geo.unit("lat_b", "lon_b")), 4).alias("separation_deg"), F.round(F.abs(F.col("z_a") - F.col("z_b")), 6).alias("z_difference"))
 
 
-_SITE = "WITH g AS (SELECT 0.5::DOUBLE * a AS offset_deg, 2.5::DOUBLE * p AS azimuth_deg FROM (SELECT unnest(range(1, 91)) AS a), (SELECT unnest(range(0, 144)) AS p)), v AS (SELECT cos(radians(32.2)) * cos(radians(-64.6)) AS x, cos(radians(32.2)) * sin(radians(-64.6)) AS y, sin(radians(32.2)) AS z), r AS (SELECT offset_deg, azimuth_deg, round(-2800.0::DOUBLE + 11000.0::DOUBLE * (z * z - pow(x * sin(radians(offset_deg)) * cos(radians(azimuth_deg)) + y * sin(radians(offset_deg)) * sin(radians(azimuth_deg)) + z * cos(radians(offset_deg)), 2)), 5) + 0.0 AS residual_m FROM g, v)"
-
-
-@query("single_site_inverse", f"{_SITE} SELECT * FROM r WHERE abs(residual_m) <= 25")
+@query("single_site_inverse", f"""{W}, g AS (SELECT 0.5::DOUBLE * a AS offset_deg, 2.5::DOUBLE * p AS azimuth_deg FROM (SELECT unnest(range(1, 91)) AS a), (SELECT unnest(range(0, 144)) AS p)), h AS (SELECT *, sin(radians(offset_deg)) * cos(radians(azimuth_deg)) AS px, sin(radians(offset_deg)) * sin(radians(azimuth_deg)) AS py, cos(radians(offset_deg)) AS pz FROM g),
+    r AS (SELECT id, offset_deg, azimuth_deg, round(z_m + 11000.0::DOUBLE * (z * z - pow(x * px + y * py + z * pz, 2)), 5) AS residual FROM u, h)
+    SELECT id, count(*) AS n, min(offset_deg) AS least_offset_deg, max(offset_deg) AS most_offset_deg FROM r WHERE abs(residual) <= 25 GROUP BY id""")
 def single_site_inverse(spark, d):
+    """For every usable site the displaced poles of the grid that predict its z within 25 m: how many, and how far they are from north."""
     g = spark.range(1).select(F.explode(geo.steps(0.5, 90, 0.5)).alias("offset_deg")).select("offset_deg", F.explode(geo.steps(0.0, 144, 2.5)).alias("azimuth_deg"))
-    v = geo.unit(32.2, -64.6)
-    r = F.round(-2800 - geo.predicted_elevation(v, geo.displaced_pole("offset_deg", "azimuth_deg"), 11000), 5) + 0.0
-    return g.withColumn("residual_m", r).filter(F.abs("residual_m") <= 25)
+    poles = g.select("*", *(c.alias(n) for c, n in zip(geo.displaced_pole("offset_deg", "azimuth_deg"), ("px", "py", "pz"))))
+    return fields.inverse(usable_sites(spark, d).select("id", "latitude", "longitude", "z_m"), poles, 25.0)
 
 
 @query("top_fraction", f"{W}, r AS (SELECT id, z_m, row_number() OVER (ORDER BY z_m DESC, id) AS k, count(*) OVER () AS n FROM u) SELECT id, round(z_m, 7) AS z_m FROM r WHERE k <= greatest(1, ceil(n * 0.1))")
