@@ -57,6 +57,16 @@ def require_whole(df: DataFrame, key: str) -> None:
         raise TypeError(f"{key} must be of whole numbers")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of `df` has."""
+    out = []
+    for name in names:
+        while name in df.columns:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once for a row, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,6 +14,8 @@ from tidemark.llm.common import checkpointed, documents, id_mod, release
 
 #: Documents that the model is fitted on at most: the languages take turns, each with its first document by a hash of its id; a fifth of them calibrate it.
 SAMPLE = 4_000
+#: Lots in which the ranks of one language are thinned out before one task puts them in order.
+LOTS = 256
 #: Subwords of 3 and 4 bytes share this many buckets; bucket 0 is for none.
 BUCKETS = 1 << 15
 DIMENSION, EPOCHS, RATE = 16, 20, 1.0
@@ -162,8 +164,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     shares on the executors; only these come to the driver. Without such rows the model has no language.
     """
     usable = docs.filter("lang IS NOT NULL").filter(id_mod(F.col("doc_id"), 5) != 0).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # tasks keep `sample` ranks of a language before the shuffle
-    ranked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("turn", turn).filter(F.col("turn") <= sample)
+    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    ranked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
+    lots = ranked.withColumn("lot", F.spark_partition_id() % LOTS).withColumn("turn", turn("lang", "lot")).filter(F.col("turn") <= sample)  # `sample` ranks of a language for each task and then for each lot, so that no task ranks all
+    ranked = lots.withColumn("turn", turn("lang")).filter(F.col("turn") <= sample)
     ids = ranked.orderBy("turn", "h", "lang", "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))  # bounded, so broadcast
     rows = usable.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
     rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

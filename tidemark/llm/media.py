@@ -32,7 +32,7 @@ PAD = 0xFF
 ENTRY = struct.Struct("<qqqqqq")
 #: Bytes of an archive after which a task begins the next, bytes of members that a read partition covers about, and bytes that one read or one batch holds about.
 ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES = 128 << 20, 16 << 20, 4 << 20
-#: Read partitions of a folder, about; more bytes make them larger, so that the driver's list of them stays short.
+#: Read partitions of a folder, about; more bytes make them larger, and one may span archives, so that the driver's list of them stays short.
 MOST_RANGES = 50_000
 #: How often a member is read again on its own.
 RETRIES = 3
@@ -143,11 +143,9 @@ def write_archives(df: DataFrame, folder: str, key: str = "doc_id", text: str =
 
 @dataclass
 class ByteRange(InputPartition):
-    """Entries [first, last) of one archive's directory."""
+    """Entries [first, last) of the directories of archives: (name, first, last) each."""
 
-    name: str
-    first: int
-    last: int
+    parts: list[tuple[str, int, int]]
 
 
 class ArchiveReader(DataSourceReader):
@@ -164,15 +162,23 @@ class ArchiveReader(DataSourceReader):
         return (self.open_file or fs.open_input_file)(f"{at}/{name}")
 
     def partitions(self) -> list[ByteRange]:
-        out = []
         with self._open("MANIFEST.json") as f:
             archives = json.loads(f.read())
-        range_bytes = max(self.range_bytes, sum(size for _, _, size in archives) // MOST_RANGES)
+        wanted = max(self.range_bytes, sum(size for _, _, size in archives) // MOST_RANGES)
+        out, parts, held = [], [], 0
         for name, entries, size in archives:
-            parts = max(1, min(entries, -(-size // range_bytes)))
-            cuts = [entries * i // parts for i in range(parts + 1)]
-            out += [ByteRange(name, a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
-        return out or [ByteRange("", 0, 0)]
+            pieces = max(1, min(entries, -(-size // wanted)))
+            cuts = [entries * i // pieces for i in range(pieces + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                piece = size * (b - a) // entries
+                if parts and held + piece > wanted:
+                    out.append(ByteRange(parts))
+                    parts, held = [], 0
+                parts.append((name, a, b))
+                held += piece
+        return [*out, ByteRange(parts)]
 
     def _member(self, name: str, entry: tuple) -> bytes:
         """One member, read on its own by its offset; tried `retries` times."""
@@ -189,10 +195,10 @@ class ArchiveReader(DataSourceReader):
                 error = e
         raise OSError(f"member at offset {entry[2]} of {self.folder}/{name}.arc can't be read: {error}")
 
-    def _members(self, part: ByteRange) -> Iterator[tuple[tuple, bytes]]:
-        with self._open(f"{part.name}.dir") as f:
-            f.seek(part.first * ENTRY.size)
-            entries = list(ENTRY.iter_unpack(f.read((part.last - part.first) * ENTRY.size)))
+    def _members(self, name: str, first: int, last: int) -> Iterator[tuple[tuple, bytes]]:
+        with self._open(f"{name}.dir") as f:
+            f.seek(first * ENTRY.size)
+            entries = list(ENTRY.iter_unpack(f.read((last - first) * ENTRY.size)))
         at = 0
         while at < len(entries):
             end = at + 1
@@ -200,14 +206,14 @@ class ArchiveReader(DataSourceReader):
                 end += 1
             start = entries[at][2]
             try:
-                with self._open(f"{part.name}.arc") as f:
+                with self._open(f"{name}.arc") as f:
                     f.seek(start)
                     raw = f.read(entries[end - 1][2] + entries[end - 1][3] - start)
             except OSError:
                 raw = b""
             for e in entries[at:end]:
                 media = raw[e[2] - start : e[2] - start + e[3]]
-                yield e, media if len(media) == e[3] and zlib.crc32(media) == e[4] else self._member(part.name, e)
+                yield e, media if len(media) == e[3] and zlib.crc32(media) == e[4] else self._member(name, e)
             at = end
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -218,12 +224,13 @@ class ArchiveReader(DataSourceReader):
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "archive", "offset", "n_bytes", "media"])
 
-        for e, media in self._members(part) if part.name else ():
-            rows.append((None if e[1] else e[0], part.name, e[2], e[5], media))
-            size += len(media)
-            if size >= READ_BYTES:
-                yield batch()
-                rows, size = [], 0
+        for name, first, last in part.parts:
+            for e, media in self._members(name, first, last):
+                rows.append((None if e[1] else e[0], name, e[2], e[5], media))
+                size += len(media)
+                if size >= READ_BYTES:
+                    yield batch()
+                    rows, size = [], 0
         if rows:
             yield batch()
 
@@ -275,7 +282,7 @@ def digests(stored: DataFrame) -> DataFrame:
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """A row for each row of `df`: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    Texts are stored as images in archives under `folder` (a new one in the shared folder if None), which are written when this is called, and then read back.
+    Texts are stored as images in archives under `folder` (a new one in the shared folder if None), which are written when this is called, whether or not the result is read, and stay until the folder is cleared; they are then read back.
     Null and empty texts are one image of padding, very long ones one large image. Keys are whole numbers or null. Equal texts give equal values; repeated rows stay, an empty table gives an empty result, other columns are not read.
     """
     spark = df.sparkSession

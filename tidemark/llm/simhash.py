@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, documents, release
+from tidemark.llm.common import checkpointed, documents, fresh, release
 from tidemark.llm.graph import components
 
 SHINGLE = 3
@@ -70,6 +70,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     radius 1), and any two that meet there are within the radius. Each is linked to the least at the variant: the same
     components as from all pairs. Pairs are made distinct and their distance is checked.
     """
+    if radius % 2 or not 0 <= radius <= 4:
+        raise ValueError("the radius must be 0, 2 or 4: both fingerprints reach half of it")
     half = radius // 2
     even = distinct.select("fp").repartition(max(1, -(-distinct.count() // SENT_ROWS)), "fp")  # few bytes, many variants: dealt by number of rows
     sent = even.select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
@@ -82,7 +84,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """A row for each row of `df`: key, fingerprint (16 hexadecimal digits), component_id.
 
     component_id is the least key of the documents whose fingerprints can be reached by links, the document's own
-    included; null keys don't count for it. Null and empty texts have fingerprint zero and link like any other.
+    included; null keys don't count for it. Null and empty texts have fingerprint zero and link like any other; very long texts are read whole, their shingles counted in blocks.
     Equal texts meet in one fingerprint before anything is compared; repeated rows stay. An empty table gives
     an empty result. Other columns are not read.
     """
@@ -108,12 +110,13 @@ def first_rows(df: DataFrame, grouped: DataFrame, key: str = "doc_id", text: str
     """
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "id")).alias("first"))
     is_first = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("id") == F.col("first.id"))
-    gone = checkpointed(grouped.join(first, "root").filter(~is_first).select(F.col("key").alias("_gone"), F.col("id").alias("_gone_id")).distinct())
-    told = df.withColumn("_id", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    named = told.filter(F.col(key).isNotNull()).join(gone.filter("_gone IS NOT NULL"), (F.col(key) == F.col("_gone")) & (F.col("_id") == F.col("_gone_id")), "left_anti")
-    bare = told.filter(F.col(key).isNull()).join(gone.filter("_gone IS NULL"), F.col("_id") == F.col("_gone_id"), "left_anti")
-    bare = bare.groupBy("_id").agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("_row")).select("_row.*")
-    return named.drop("_id").unionByName(bare)
+    text_id, gone_key, gone_id, row = fresh(df, "text_id", "gone_key", "gone_id", "row")
+    gone = checkpointed(grouped.join(first, "root").filter(~is_first).select(F.col("key").alias(gone_key), F.col("id").alias(gone_id)).distinct())
+    told = df.withColumn(text_id, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    named = told.filter(F.col(key).isNotNull()).join(gone.filter(F.col(gone_key).isNotNull()), (F.col(key) == F.col(gone_key)) & (F.col(text_id) == F.col(gone_id)), "left_anti")
+    bare = told.filter(F.col(key).isNull()).join(gone.filter(F.col(gone_key).isNull()), F.col(text_id) == F.col(gone_id), "left_anti")
+    bare = bare.groupBy(text_id).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias(row)).select(f"{row}.*")
+    return named.drop(text_id).unionByName(bare)
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:

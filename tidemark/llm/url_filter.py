@@ -113,6 +113,8 @@ def judge_joined(df: DataFrame, rules: DataFrame, url: str = "url", key: str = "
     """What `judge` returns, for `rules` (verdict, host, path) too many to broadcast: nothing but joins.
 
     Each suffix of a distinct host is looked up among the rules' hosts, which know how long their paths are, and then the beginnings of these lengths of its paths.
+    Null, empty and scheme-less URLs have empty host and path; very long ones are a row for each label of their host, not for each segment. On the same entry in both lists block wins. Repeated rows stay and are looked up
+    once; an empty table, or one of no rules, gives an empty result or the default. Other columns are not read.
     """
     parts = _parts(df, url, key)
     table = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(F.col("verdict") == "block").alias("blocks"))
