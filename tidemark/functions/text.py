@@ -64,14 +64,20 @@ def places(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(F.array_distinct(F.transform(found, collapse)), lambda x: x != ""), 1, most)
 
 
+# The weights and limits of a text's quality, and the shape of a DOI.
+LETTER_WEIGHT, MOST_SPACE, SPACE_WEIGHT, MOST_ODD, ODD_WEIGHT, LINE_WEIGHT = 0.45, 0.25, 1.2, 0.2, 0.25, 0.1
+LINE_LENGTHS, OTHER_LINES, LINES = (25, 180), 0.6, 200
+DOI = r"(10\.\d{4,9}/[^\s\"<>]+)"
+
+
 def quality(text: Column) -> Column:
     """From 0 to 1: shares of letters, white space and characters that are neither, and the mean length of the first 200 lines."""
     total = F.nullif(F.length(text), F.lit(0)).cast("double")
     share = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))) / total
-    lines = F.slice(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != ""), 1, 200)
+    lines = F.slice(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != ""), 1, LINES)
     mean = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.size(lines), F.lit(1))
-    line_score = F.when(mean.between(25, 180), 1.0).otherwise(0.6)
-    score = share(r"\p{L}") * 0.45 + F.least(share(r"\s"), F.lit(0.25)) * 1.2 + (1 - F.least(share("[^\\x00-\\x7e°–—©]"), F.lit(0.2))) * 0.25 + line_score * 0.1
+    line_score = F.when(mean.between(*LINE_LENGTHS), 1.0).otherwise(OTHER_LINES)
+    score = share(r"\p{L}") * LETTER_WEIGHT + F.least(share(r"\s"), F.lit(MOST_SPACE)) * SPACE_WEIGHT + (1 - F.least(share("[^\\x00-\\x7e°–—©]"), F.lit(MOST_ODD))) * ODD_WEIGHT + line_score * LINE_WEIGHT
     return F.when(total > 0, F.bround(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 3)).otherwise(0.0)
 
 
@@ -128,7 +134,7 @@ def table_rows(html: Column) -> Column:
 
 def dois(text: Column) -> Column:
     """DOIs, lower-cased, without closing punctuation, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(10\.\d{4,9}/[^\s\"<>]+)"), F.lit(1)), lambda d: F.lower(F.regexp_replace(d, r"[.,;:)\]]+$", ""))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DOI), F.lit(1)), lambda d: F.lower(F.regexp_replace(d, r"[.,;:)\]]+$", ""))))
 
 
 def key_variants(value: Column) -> Column:

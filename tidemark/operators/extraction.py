@@ -46,15 +46,13 @@ def depth_summary(text: Column) -> Column:
 
 
 # Where guyots and atolls say how deep they lie; one or two numbers each, in metres, or in kilometres where km follows.
-_UPTO = r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:-|to|and)?\s*(\d+(?:,\d{3})*(?:\.\d+)?)?\s*m"
-_ABOUT = r"depths?\s+of\s+(?:about\s+|approximately\s+|~\s*)?"
 GUYOT_DEPTHS = (
     r"summit\s+depths?\s+of\s+about\s+(\d+(?:,\d{3})*(?:\.\d+)?)\b.{0,180}?\bm\b",
-    r"(?:summit|plateau|platform|top|break)\s+depths?(?:\s*\([^)]*\))?[^.;:]{0,100}?" + _UPTO,
-    r"(?:summit|plateau|platform|top|break)[^.]{0,80}?water\s+depths?[^.;:]{0,80}?" + _UPTO,
-    r"tops?\s+(?:lie|fall|are|deepen)[^.]{0,80}?" + _UPTO,
-    _ABOUT + _UPTO + r"[^.]{0,80}?(?:guyot|seamount|tablemount|platform)",
-    r"(?:guyot|seamount|tablemount|platform)[^.]{0,100}?" + _ABOUT + _UPTO,
+    r"(?:summit|plateau|platform|top|break)\s+depths?(?:\s*\([^)]*\))?[^.;:]{0,100}?(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:-|to|and)?\s*(\d+(?:,\d{3})*(?:\.\d+)?)?\s*m",
+    r"(?:summit|plateau|platform|top|break)[^.]{0,80}?water\s+depths?[^.;:]{0,80}?(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:-|to|and)?\s*(\d+(?:,\d{3})*(?:\.\d+)?)?\s*m",
+    r"tops?\s+(?:lie|fall|are|deepen)[^.]{0,80}?(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:-|to|and)?\s*(\d+(?:,\d{3})*(?:\.\d+)?)?\s*m",
+    r"depths?\s+of\s+(?:about\s+|approximately\s+|~\s*)?(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:-|to|and)?\s*(\d+(?:,\d{3})*(?:\.\d+)?)?\s*m[^.]{0,80}?(?:guyot|seamount|tablemount|platform)",
+    r"(?:guyot|seamount|tablemount|platform)[^.]{0,100}?depths?\s+of\s+(?:about\s+|approximately\s+|~\s*)?(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:-|to|and)?\s*(\d+(?:,\d{3})*(?:\.\d+)?)?\s*m",
     r"(?:summits?|tops?)\s+(?:now\s+)?(?:being\s+)?(\d+(?:\.\d+)?)\s*(?:-|to)\s*(\d+(?:\.\d+)?)\s*km\s+below\s+sea\s+level",
     r"(?:summits?|tops?)[^.]{0,80}?(\d+(?:\.\d+)?)\s*km\s+below\s+sea\s+level",
     r"atoll\s+(?:top|surface)\s+falls\s+below\s+(\d+(?:\.\d+)?)\s*m\s+with\s+respect\s+to\s+sea\s+level",
@@ -119,12 +117,17 @@ def header(text: Column) -> Column:
     return F.replace(F.replace(plain, F.lit("yrs b p"), F.lit("yrs bp")), F.lit("years b p"), F.lit("years bp"))
 
 
+# Depths that a beach's name tells, in fathoms (two numbers or one) or metres.
+BEACH_FATHOMS_BETWEEN = r"(?i)(\d+(?:\.\d+)?)\s*(?:-|to)\s*(\d+(?:\.\d+)?)\s*fathoms?"
+BEACH_FATHOMS = r"(?i)(\d+(?:\.\d+)?)\s*fathoms?"
+BEACH_TOE = r"(?i)toes?\s+at\s+(?:approx\.\s*)?(\d+(?:\.\d+)?)\s*m"
+
+
 def beach_depth(name: Column) -> Column:
     """Metres from a name such as `10-12 fathom beach` or `toe at 35 m`."""
     plain = F.replace(F.replace(name, F.lit("−"), F.lit("-")), F.lit("–"), F.lit("-"))
-    pair = r"(?i)(\d+(?:\.\d+)?)\s*(?:-|to)\s*(\d+(?:\.\d+)?)\s*fathoms?"
-    both = F.bround((number(first_group(plain, pair, 1)) + number(first_group(plain, pair, 2))) / 2 * FATHOM_M, 2)
-    return F.coalesce(both, F.bround(number(first_group(plain, r"(?i)(\d+(?:\.\d+)?)\s*fathoms?")) * FATHOM_M, 2), number(first_group(plain, r"(?i)toes?\s+at\s+(?:approx\.\s*)?(\d+(?:\.\d+)?)\s*m")))
+    both = F.bround((number(first_group(plain, BEACH_FATHOMS_BETWEEN, 1)) + number(first_group(plain, BEACH_FATHOMS_BETWEEN, 2))) / 2 * FATHOM_M, 2)
+    return F.coalesce(both, F.bround(number(first_group(plain, BEACH_FATHOMS)) * FATHOM_M, 2), number(first_group(plain, BEACH_TOE)))
 
 
 def beach_name(name: Column) -> Column:

@@ -187,6 +187,18 @@ def block_items(spark, d):
     return files.page_blocks(table(spark, d, "part").select(F.concat(F.lit("s"), (k % 10).cast("string")).alias("source_id"), F.array(item).alias("items"))).select("source_id", "page", "source", "text")
 
 
+@query("staged_texts", """WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t FROM documents) SELECT 's' || CAST(k AS VARCHAR) AS source_id, CASE WHEN k % 4 = 0 THEN length(t) ELSE length(t) + 2 + length(CAST(k AS VARCHAR)) + 1 END AS n_chars,
+    CASE k % 3 WHEN 0 THEN 'Title ' || CAST(k AS VARCHAR) ELSE CASE WHEN k % 4 = 0 THEN coalesce(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], 's' || CAST(k AS VARCHAR)) ELSE CAST(k AS VARCHAR) END END AS title, CASE WHEN k % 3 = 0 THEN CAST(k % 7 + 1 AS INTEGER) END AS page_count FROM d""")
+def staged_texts(spark, d):
+    """Documents whose text comes from images where there is no other, with the titles and pages of their content items."""
+    k = F.col("doc_id")
+    own = F.concat(F.lit("# "), k.cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    item = lambda kind, text, level, page: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(level).alias("text_level"), page.cast("int").alias("page_idx"))
+    items = F.when(k % 3 == 0, F.array(item("text", F.lit(" "), 1, k * 0), item("text", F.concat(F.lit(" Title  "), k.cast("string")), 1, k % 7), item("image", F.lit("x"), 1, k * 0)))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("s"), k.cast("string")).alias("source_id"), F.when(k % 4 > 0, own).alias("native_text"), F.when(k % 4 != 1, F.when(k % 4 == 0, F.coalesce("text", F.lit(""))).otherwise(own)).alias("ocr_text"), items.alias("items"))
+    return files.staged(files.better_text(docs)).select("source_id", F.length("text").alias("n_chars"), "title", "page_count")
+
+
 @query("field_columns", "WITH f AS (SELECT CAST(l_linenumber * 10 AS DOUBLE) AS lat, CAST(l_quantity * 13 AS DOUBLE) AS lon, l_tax AS m FROM lineitem WHERE l_returnflag <> 'R'), w AS (SELECT lat, lon + 180 - 360 * floor((lon + 180) / 360) - 180 AS lon, m FROM f) SELECT lat, lon, min(m) AS m FROM w GROUP BY lat, lon")
 def field_columns(spark, d):
     """A scalar field from columns of other names, as text, some of it no number."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.text import collapse, title
+from tidemark.functions.text import collapse, quality, title
 from tidemark.operators.records import elevation_texts, is_present, union_value
 
 _STRINGS = (
@@ -88,6 +88,31 @@ def page_blocks(df: DataFrame, items: str = "items") -> DataFrame:
     return each.select("source_id", (F.col("i.page_idx") + 1).alias("page"), F.col("i.type").alias("source"), F.substring(text, 1, 120).alias("cue"), text.alias("text")).filter("text <> ''")
 
 
+# When a native text is too short or too poor to do without the one read from images.
+SHORTEST_NATIVE, POOREST_NATIVE = 1500, 0.55
+
+
+def better_text(df: DataFrame, native: str = "native_text", ocr: str = "ocr_text") -> DataFrame:
+    """Adds text, text_quality and methods: the native text, unless it is short or poor and the one read from images is better, or as good and longer. Null texts count as empty."""
+    a, b = (F.coalesce(F.col(c), F.lit("")) for c in (native, ocr))
+    told = df.withColumns({"_a": a, "_b": b}).withColumns({"_qa": quality(F.col("_a")), "_qb": quality(F.col("_b"))})
+    tried = (F.length("_a") < SHORTEST_NATIVE) | (F.col("_qa") < POOREST_NATIVE)
+    other = tried & ((F.col("_qb") > F.col("_qa")) | ((F.col("_qb") >= F.col("_qa")) & (F.length("_b") > F.length("_a"))))
+    methods = F.array_compact(F.array(F.lit("native"), F.when(tried, F.lit("ocr"))))
+    return told.withColumns({"text": F.when(other, F.col("_b")).otherwise(F.col("_a")), "text_quality": F.when(other, F.col("_qb")).otherwise(F.col("_qa")), "methods": methods}).drop("_a", "_b", "_qa", "_qb")
+
+
+def staged(df: DataFrame, items: str = "items", text: str = "text", stem: str = "source_id") -> DataFrame:
+    """Adds title and page_count to documents with content items: struct(type, text, text_level, page_idx, ...).
+
+    The title is the first item of level 1 that has text, else the first line without its marks, else the file's name; the pages are those up to the last item's. Null items count as none.
+    """
+    top = F.get(F.filter(items, lambda i: (i["type"] == "text") & (i["text_level"] == 1) & (F.length(F.trim(i["text"])) > 0)), 0)["text"]
+    line = F.nullif(F.trim(F.regexp_replace(title(F.coalesce(F.col(text), F.lit(""))), "^[# ]+", "")), F.lit(""))
+    pages_ = F.array_max(F.transform(items, lambda i: i["page_idx"])) + 1
+    return df.withColumns({"title": F.coalesce(collapse(top), line, F.col(stem)), "page_count": pages_.cast("int")})
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Record files with numbers, union values and nested columns parsed; blank, `null` and `None` numbers are null, malformed JSON fails."""
     raw = spark.read.csv(path, header=True, schema=RECORD_FILE, multiLine=True, escape='"', mode="FAILFAST")
