@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.functions.placing import in_parts
+from tidemark.functions.placing import in_parts, kept
 from tidemark.operators.statistics import spearman
 
 
@@ -128,6 +128,7 @@ def plane_rescan(df: DataFrame, step: float = 4.0, z: str = "z_m") -> DataFrame:
     p, q, r = geo.unit("pole_lat", "pole_lon")
     grid = pole_grid(df.sparkSession, step).select("pole_lat", "pole_lon", p.alias("p"), q.alias("q"), r.alias("r"))
     parts = in_parts(grid, (int(round(176 / step)) + 1) * int(round(360 / step)))
+    places = places if len(parts) == 1 else kept(places)  # each part of the grid reads them
     met = reduce(DataFrame.unionByName, (places.crossJoin(F.broadcast(g)) for g in parts))  # a pair costs a dot product and an arc sine
     d = geo.plane_distance((F.col("x"), F.col("y"), F.col("w")), (F.col("p"), F.col("q"), F.col("r")))
     scanned = met.select("pole_lat", "pole_lon", "n", "sz", "szz", d.alias("d"))

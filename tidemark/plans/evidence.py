@@ -155,6 +155,20 @@ _ATLAS_SQL = """a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 > 0 THEN
     SELECT *, CASE WHEN k % 17 = 0 THEN 'missing_walis_id' WHEN lat IS NULL THEN 'missing_coordinates' WHEN indicator_type IS NULL THEN 'unmapped_indicator' END AS reason FROM r)"""
 
 
+@query("atlas_texts", """WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS w, ['Marine Terrace', 'Coral reef terrace (general definition)', 'Tidal notch', 'Beach deposit or beachrock', 'Limiting indicator', 'Other thing', 'Shell bed'][CAST(floor(o_orderkey / 3) AS BIGINT) % 7 + 1] AS indicator, CASE WHEN o_orderkey % 3 > 0 THEN 'Bay ' || CAST(o_orderkey % 9 AS VARCHAR) ELSE '' END AS site, CASE WHEN o_orderkey % 4 = 0 THEN 'north' ELSE '' END AS sub FROM orders)
+    SELECT k, indicator AS description, array_to_string(list_filter([site, sub, 'Region', 'Nation'], lambda x: x <> ''), ', ') AS location_name, CASE WHEN site <> '' OR sub <> '' THEN array_to_string(list_filter([site, sub], lambda x: x <> ''), ' - ') ELSE w END AS site_name FROM a""")
+def atlas_texts(spark, d):
+    """Descriptions, locations and sites composed of what is not blank."""
+    k = F.col("k")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).withColumns({
+        "WALIS_ID": F.when(k % 17 == 0, "").otherwise(k.cast("string")), "RSL Indicator": F.element_at(F.array(*(F.lit(v) for v in ("Marine Terrace", "Coral reef terrace (general definition)", "Tidal notch", "Beach deposit or beachrock", "Limiting indicator", "Other thing", "Shell bed"))), (F.floor(k / 3) % 7).cast("int") + 1),
+        "RSL indicator description": F.lit(None).cast("string"), "Site": F.when(k % 3 > 0, F.concat(F.lit(" Bay  "), (k % 9).cast("string"))), "Subsite": F.when(k % 4 == 0, "north").otherwise(" "), "Region": F.lit("Region"), "Nation": F.lit("Nation"),
+        "Quality of RSL information": F.lit("3"), "Quality of age information": F.lit(""), "Originally accepted?": F.lit("yes"), "Accepted by other study?": F.lit(""),
+    })
+    t = atlas.texts()
+    return atlas.cleaned(rows).select(F.col("k").cast("long").alias("k"), *(t[n].alias(n) for n in ("description", "location_name", "site_name")))
+
+
 @query("atlas_skipped", f"WITH {_ATLAS_SQL} SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY reason")
 def atlas_skipped(spark, d):
     return atlas.skipped(atlas_rows(spark, d))

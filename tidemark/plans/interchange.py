@@ -199,6 +199,48 @@ def staged_texts(spark, d):
     return files.staged(files.better_text(docs)).select("source_id", F.length("text").alias("n_chars"), "title", "page_count")
 
 
+@query("csv_documents", "SELECT lower('file_' || CAST(n_nationkey AS VARCHAR)) AS source_id, n_name AS title, n_name || ',a, \"b\",' || CAST(n_regionkey AS VARCHAR) || chr(10) || 'x,,z' AS text FROM nation")
+def csv_documents(spark, d):
+    """CSV files as documents, quoted cells without their quotes."""
+    folder = new_folder(spark, "csv")
+    fs, at = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
+    fs.create_dir(at, recursive=True)
+    for r in table(spark, d, "nation").collect():  # 25 rows
+        with fs.open_output_stream(f"{at}/File {r['n_nationkey']}.csv") as f:
+            f.write(f'{r["n_name"]},"a, ""b""",{r["n_regionkey"]}\nx,,z\n'.encode())
+    return files.csv_documents(spark, folder).select("source_id", "title", "text")
+
+
+@query("json_sink", "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 3 > 0 THEN '{\"balance\":' ELSE '{\"balance\":null,' END AS head FROM customer")
+def json_sink(spark, d):
+    """Rows written as JSON objects with sorted keys, read back as text and as columns."""
+    path, k = new_folder(spark, "json"), F.col("c_custkey")
+    files.write_json(table(spark, d, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.when(k % 3 > 0, F.col("c_acctbal")).alias("balance")), path)
+    lines = spark.read.text(path)
+    r = F.from_json("value", "id long, name string, balance double")
+    return lines.select(r.alias("r"), "value").select("r.id", "r.name", "r.balance", F.when(F.col("value").startswith('{"balance":null,'), '{"balance":null,').otherwise(F.substring("value", 1, 11)).alias("head"))
+
+
+@query("log_sink", "SELECT CAST(run AS INTEGER) AS run, CAST(c_custkey AS VARCHAR) AS value FROM customer, (SELECT unnest([0, 1]) AS run)")
+def log_sink(spark, d):
+    """A log that two runs append to, after a summary that it replaced."""
+    path, lines = new_folder(spark, "log"), table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("value"))
+    files.write_lines(lines.select(F.concat(F.lit("old "), "value").alias("value")), path)
+    files.write_lines(lines.select(F.concat(F.lit("0 "), "value").alias("value")), path)
+    files.write_lines(lines.select(F.concat(F.lit("1 "), "value").alias("value")), path, append=True)
+    return spark.read.text(path).select(F.substring_index("value", " ", 1).cast("int").alias("run"), F.substring_index("value", " ", -1).alias("value"))
+
+
+@query("discovery_sink", "SELECT 'Work \"' || p_name || '\", part ' || CAST(p_partkey AS VARCHAR) AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS authors, CAST(p_size + 1970 AS VARCHAR) AS year, '10.1000/' || CAST(p_partkey AS VARCHAR) AS doi, '' AS url, p_type AS search_keywords_matched, '2024-05-01' AS search_date FROM part")
+def discovery_sink(spark, d):
+    """Found works written as CSV with the date of the search, and read back."""
+    path, k = new_folder(spark, "found"), F.col("p_partkey")
+    works = table(spark, d, "part").select(F.concat(F.lit('Work "'), "p_name", F.lit('", part '), k.cast("string")).alias("title"), F.when(k % 2 == 0, F.col("p_brand")).alias("authors"), (F.col("p_size") + 1970).alias("year"), F.concat(F.lit("10.1000/"), k.cast("string")).alias("doi"), F.col("p_type").alias("search_keywords_matched"))
+    files.write_discovery(works, path, "2024-05-01")
+    r = spark.read.option("escape", '"').csv(path, header=True)
+    return r.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in r.columns))
+
+
 @query("field_columns", "WITH f AS (SELECT CAST(l_linenumber * 10 AS DOUBLE) AS lat, CAST(l_quantity * 13 AS DOUBLE) AS lon, l_tax AS m FROM lineitem WHERE l_returnflag <> 'R'), w AS (SELECT lat, lon + 180 - 360 * floor((lon + 180) / 360) - 180 AS lon, m FROM f) SELECT lat, lon, min(m) AS m FROM w GROUP BY lat, lon")
 def field_columns(spark, d):
     """A scalar field from columns of other names, as text, some of it no number."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +68,38 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("source_id", title(F.col("text")).alias("title"), "text")
 
 
+def csv_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_id, title, text, quality) of CSV files as documents: cells of a row joined by commas, without their quotes, rows by line ends; the title is the first cell, else the file's name."""
+    whole = spark.read.text(folder, wholetext=True).select(source_id(F.input_file_name()).alias("source_id"), F.col("value").alias("raw"))
+
+    def parsed(raw: pd.Series) -> pd.DataFrame:
+        files = [list(csv.reader(io.StringIO(x, newline=""))) for x in raw]
+        return pd.DataFrame({"first": [r[0][0] if r and r[0] else None for r in files], "text": ["\n".join(",".join(c) for c in r) for r in files]})
+
+    d = whole.select("source_id", F.pandas_udf(parsed, "first string, text string")("raw").alias("p"))
+    return d.select("source_id", F.coalesce(F.nullif(F.col("p.first"), F.lit("")), F.col("source_id")).alias("title"), "p.text", quality(F.col("p.text")).alias("quality"))
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A JSON object for each row, with its keys in order; null fields stay."""
+    df.select(*sorted(df.columns)).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_lines(lines: DataFrame, path: str, append: bool = False) -> None:
+    """Text lines (value): a summary that replaces the one before, or a log that grows."""
+    lines.select(F.col("value").cast("string").alias("value")).write.mode("append" if append else "overwrite").text(path)
+
+
+# The columns of a table of found works.
+DISCOVERY = ("title", "authors", "year", "doi", "url", "search_keywords_matched")
+
+
+def write_discovery(works: DataFrame, path: str, search_date: str) -> None:
+    """Found works as CSV with the date of the search; absent and null columns are blank."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in works.columns else F.lit("")
+    works.select(*(text(c).alias(c) for c in DISCOVERY), F.lit(search_date).alias("search_date")).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+
+
 def pages(df: DataFrame, text: str = "text") -> DataFrame:
     """A row for each page of a text split at form feeds, numbered from 1."""
     others = [c for c in df.columns if c != text]
