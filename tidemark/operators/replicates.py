@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.placing import kept
 from tidemark.operators.fits import best, pole_grid
+from tidemark.operators.statistics import quantiles
 
 #: Places that are multiplied at once, and numbers that a task keeps for each of its sums at most.
 BLOCK, MOST_KEPT = 2_048, 4_000_000
@@ -150,7 +151,7 @@ def _harmonics(gram: np.ndarray, rhs: np.ndarray, total: np.ndarray, kmax: int)
     return at + 1, r2[rows, at], np.hypot(beta[:, 1], beta[:, 2]), np.degrees(np.arctan2(-beta[:, 2], beta[:, 1]))
 
 
-SPECTRA = "rep int, n long, z_mean double, spherical_r2 double, axis_lat double, axis_lon double, l1_r2 double, l2_r2 double, l3_r2 double, l2_gain double, l3_gain double, raw_k int, raw_r2 double, raw_amplitude double, raw_phase_deg double, residual_k int, residual_r2 double"
+SPECTRA = "rep int, n long, z_mean double, spherical_r2 double, spherical_rmse double, axis_lat double, axis_lon double, l1_r2 double, l2_r2 double, l3_r2 double, l2_gain double, l3_gain double, raw_k int, raw_r2 double, raw_amplitude double, raw_phase_deg double, residual_k int, residual_r2 double"
 
 
 def spectra(places: DataFrame, reps: int, kmax: int = KMAX) -> DataFrame:
@@ -192,7 +193,8 @@ def spectra(places: DataFrame, reps: int, kmax: int = KMAX) -> DataFrame:
             left_total = total - 2 * (beta * rhs[:, :4]).sum(axis=1) + np.einsum("ri,rij,rj->r", beta, gram[:, :4, :4], beta)
             raw, residual = _harmonics(gram, rhs, total, kmax), _harmonics(gram, left, left_total, kmax)
             n = gram[:, 0, 0]
-            columns = [batch["rep"], n.astype(np.int64), rhs[:, 0] / n, l1, lat, lon, l1, l2, l3, l2 - l1, l3 - l2, raw[0].astype(np.int32), *raw[1:], residual[0].astype(np.int32), residual[1]]
+            rmse = np.sqrt(np.maximum(left_total, 0) / n)
+            columns = [batch["rep"], n.astype(np.int64), rhs[:, 0] / n, l1, rmse, lat, lon, l1, l2, l3, l2 - l1, l3 - l2, raw[0].astype(np.int32), *raw[1:], residual[0].astype(np.int32), residual[1]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True) for c in columns], names=[c.split()[0] for c in SPECTRA.split(", ")])
 
     told = places.mapInArrow(run, "rep int, gram array<double>, rhs array<double>, szz array<double>")
@@ -200,7 +202,10 @@ def spectra(places: DataFrame, reps: int, kmax: int = KMAX) -> DataFrame:
 
 
 def evaluated(draws: DataFrame, reps: int, z: str = "z_m", step: float = 4.0, kmax: int = KMAX) -> DataFrame:
-    """`spectra` and the best plane (best_plane_r2, pole_lat, pole_lon, plane_slope) of the replicates in `draws` (rep, latitude, longitude, z)."""
+    """All fits of the replicates in `draws` (rep, latitude, longitude, z): `spectra`, the best plane (best_plane_r2, pole_lat, pole_lon, plane_slope), and z_min, z_max, z_median (exact, by ranges of values)."""
     places = by_place(draws, z)
     planes = best_planes(places, reps, step).select("rep", F.col("r2").alias("best_plane_r2"), "pole_lat", "pole_lon", F.col("slope").alias("plane_slope"))
-    return spectra(places, reps, kmax).join(planes, "rep", "left")
+    rows = draws.dropna(subset=["latitude", "longitude", z])
+    ends = rows.groupBy("rep").agg(F.min(z).alias("z_min"), F.max(z).alias("z_max"))
+    middle = quantiles(rows.select("rep", z), z, {"z_median": 0.5}, ["rep"]).select("rep", "z_median")
+    return spectra(places, reps, kmax).join(planes, "rep", "left").join(ends, "rep", "left").join(middle, "rep", "left")

@@ -9,7 +9,7 @@ from tidemark.operators import fits, replicates, scattered, statistics
 from tidemark.plans.analysis import W, rounded
 from tidemark.plans.least_squares import RECURSIVE, TERMS_SQL, least_squares_sql
 from tidemark.plans.registry import query
-from tidemark.plans.resampling import REPS, _axes, md5_sql, uniform_sql
+from tidemark.plans.resampling import REPS, _axes, _drawn_sql, md5_sql, uniform_sql
 from tidemark.sources.sites import sites, usable_sites
 
 def _places(df):
@@ -121,6 +121,28 @@ def bootstrap_evaluated(spark, d):
     return rounded(statistics.summary(e, ["n", "spherical_r2", "best_plane_r2", "l2_gain", "l3_gain", "raw_r2", "residual_r2"]), 7)
 
 
+_SCHEMES = ("ordinary", "one_per_cell", "one_per_source", "cell_then_source")
+_CELL_SQL = "concat_ws('_', CAST(CAST(floor((latitude + 90) / 10) AS BIGINT) AS VARCHAR), CAST(CAST(floor((longitude + 180) / 20) AS BIGINT) AS VARCHAR))"
+_ALL_SQL = "id, latitude, longitude, x, y, z, z_m, source_id, cell"
+
+
+@query("bootstrap_scheme_fits", f"""{RECURSIVE}, e AS (SELECT rep, u.*, {_CELL_SQL} AS cell FROM u, (SELECT unnest(range(1, {REPS + 1})) AS rep)), i AS (SELECT *, {_CELL_SQL} AS cell, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM u),
+    sl AS (SELECT rep, CAST(floor({uniform_sql(md5_sql(chr(39) + 'f' + chr(39), 'rep', 'i'))} * n) AS BIGINT) AS i FROM i, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
+    {_drawn_sql('pc', 'cell', 'f-cell', 'e')}, {_drawn_sql('ps', 'source_id', 'f-source', 'e')}, {_drawn_sql('pb', 'source_id', 'f-both', f'(SELECT rep, {_ALL_SQL} FROM pc)')},
+    al AS (SELECT rep, {_ALL_SQL} FROM sl JOIN i USING (i) UNION ALL SELECT rep + {REPS}, {_ALL_SQL} FROM pc UNION ALL SELECT rep + {2 * REPS}, {_ALL_SQL} FROM ps UNION ALL SELECT rep + {3 * REPS}, {_ALL_SQL} FROM pb),
+    dr AS (SELECT * FROM al QUALIFY count(*) OVER (PARTITION BY rep) >= 20), {least_squares_sql('dr', ['rep'], TERMS_SQL[:4], (4,))}, st AS (SELECT rep, min(z_m) AS z_min, max(z_m) AS z_max, quantile_cont(z_m, 0.5) AS z_median FROM dr GROUP BY rep),
+    pn AS (WITH {_BEST_PLANES_SQL}) SELECT ['{"', '".join(_SCHEMES)}'][CAST((ls.rep - 1) // {REPS} AS INTEGER) + 1] AS scheme, CAST((ls.rep - 1) % {REPS} + 1 AS INTEGER) AS rep, ls.n, round(z_min, 6) AS z_min, round(z_max, 6) AS z_max, round(z_median, 6) AS z_median, round(ls.r2, 7) AS spherical_r2,
+        round(sqrt((szz - sz * sz / ls.n) * (1 - ls.r2) / ls.n), 6) AS spherical_rmse, pole_lat, pole_lon, pn.r2 AS best_plane_r2 FROM ls JOIN st ON ls.rep = st.rep JOIN pn ON ls.rep = pn.rep""")
+def bootstrap_scheme_fits(spark, d):
+    """The fits of every draw of the four schemes, draws of fewer than 20 rows left out; all draws are replicates of one pass."""
+    s = usable_sites(spark, d).withColumn("cell", geo.cell_key("latitude", "longitude")).select("id", "latitude", "longitude", "z_m", "source_id", "cell")
+    number = F.coalesce(*(F.when(F.col("scheme") == n, F.lit(i)) for i, n in enumerate(_SCHEMES)))
+    draws = statistics.schemes(s, "cell", "source_id", "id", REPS, "f", 20).withColumn("rep", number * REPS + F.col("rep"))
+    e = replicates.evaluated(draws, len(_SCHEMES) * REPS)
+    scheme = F.element_at(F.array(*(F.lit(n) for n in _SCHEMES)), (F.floor((F.col("rep") - 1) / REPS) + 1).cast("int"))
+    return e.select(scheme.alias("scheme"), ((F.col("rep") - 1) % REPS + 1).alias("rep"), "n", *(F.round(c, 6).alias(c) for c in ("z_min", "z_max", "z_median")), F.round("spherical_r2", 7).alias("spherical_r2"), F.round("spherical_rmse", 6).alias("spherical_rmse"), "pole_lat", "pole_lon", F.round("best_plane_r2", 8).alias("best_plane_r2"))
+
+
 @query("grouped_gradients", f"""{RECURSIVE}, g AS (SELECT source_id, CASE WHEN z_m < -200 THEN 'deepwater' ELSE 'shelf' END AS regime, x, y, z, z_m, count(*) OVER (PARTITION BY source_id, z_m < -200) AS n FROM u), h AS (SELECT * FROM g WHERE n >= 12),
     {least_squares_sql('h', ['source_id', 'regime'], ('1', 'x', 'y', 'z'), (4,))} SELECT source_id, regime, n, round(r2, 7) AS r2, round(beta[1], 5) AS intercept, round(beta[2], 5) AS gx, round(beta[3], 5) AS gy, round(beta[4], 5) AS gz FROM ls""")
 def grouped_gradients(spark, d):
