@@ -14,8 +14,8 @@ from tidemark.llm.common import checkpointed, release
 
 #: Components are stored as floor(SCALE * x), vectors are cut into PARTS equal parts, each with a codebook of ENTRIES entries that ROUNDS rounds move.
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-#: Parts that are held against a codebook at once, and dimensions whose distances all entries get before the first complete distance is known.
-BLOCK, LEAD = 1024, 4
+#: Parts that are held against a codebook at once, dimensions whose distances all entries get before the first complete distance is known, and components that a task unpacks at once, about.
+BLOCK, LEAD, UNPACKED = 1024, 4, 1 << 20
 
 
 def finite(vector) -> F.Column:
@@ -32,6 +32,13 @@ def scaled(column: pa.Array, dims: int, scale: int = SCALE) -> np.ndarray:
     return x.astype(np.int64).reshape(-1, dims)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in batches of about UNPACKED components."""
+    rows = max(1, UNPACKED // max(1, dims))
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _fits(bound: int) -> type:
     """The narrowest integers that hold `bound`."""
     if bound < 1 << 31:
@@ -120,7 +127,7 @@ def moved(kept: DataFrame, books: np.ndarray) -> np.ndarray:
         release()
         books = held.value
         sums, counts = np.zeros((parts, entries, width), dtype=np.int64), np.zeros((parts, entries), dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches, parts * width):
             x = scaled(batch["vector"], parts * width)
             for p in range(parts):
                 part = x[:, p * width : (p + 1) * width]
@@ -160,7 +167,7 @@ def assigned(kept: DataFrame, books: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
+        for batch in pieces(batches, parts * width):
             x = scaled(batch["vector"], parts * width)
             found = [nearest(x[:, p * width : (p + 1) * width], held.value[p]) for p in range(parts)]
             digits = np.stack([i for i, _ in found], axis=1).astype(np.uint8).tobytes().hex()

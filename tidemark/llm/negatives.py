@@ -17,8 +17,8 @@ from tidemark.llm.common import checkpointed, release
 SCALE = 256
 #: Positives of an anchor, negatives of a positive, and the window of a negative's score in hundredths of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
-#: Rows of a tree, of a leaf, and queries that are broadcast at once, about.
-TREE_ROWS, LEAF_ROWS, QUERIES_AT_ONCE = 16_384, 128, 16_384
+#: Rows of a tree and queries that are broadcast at once, about, at 64 components or fewer (more components make both smaller in proportion), and rows of a leaf.
+TREE_ROWS, QUERIES_AT_ONCE, LEAF_ROWS = 16_384, 16_384, 128
 #: Queries that walk a tree together.
 TOGETHER = 2_048
 #: A null key in the ranking: after all others.
@@ -106,7 +106,7 @@ class Search:
         at = at[(least <= self.labels[at]) & (self.labels[at] <= most)] if self.same else at[(least != most) | (self.labels[at] != least)]
         if not len(at):
             return
-        middle, reach = self._middle(node, at), self.lengths[at] * node.radius * (1 + 1e-9) + 1e-3
+        middle, reach = self._middle(node, at), self.lengths[at] * (node.radius * (1 + 1e-9) + np.linalg.norm(node.center) * 1e-12) + 1e-3  # with room for rounding
         open_ = (middle + reach >= np.maximum(self.low[at], self.scores[at, -1])) & (middle - reach <= self.high[at])
         at = at[open_]
         if not len(at):
@@ -145,14 +145,19 @@ class Search:
         self.scores[at[query[best]], place[best]], self.found[at[query[best]], place[best]] = score[best], key[best]
 
 
-def searched(rows: DataFrame, queries: DataFrame, k: int, same: bool) -> DataFrame:
-    """(q, key, score, rank): of `rows` (key, label, vector) the best `k` for each of `queries` (q, key, label, vector, low, high), whose q are unique.
+def at_dims(size: int, dims: int) -> int:
+    """`size` at 64 components, less in proportion at more."""
+    return max(1, size * 64 // max(64, dims))
+
+
+def searched(rows: DataFrame, queries: DataFrame, k: int, same: bool, dims: int) -> DataFrame:
+    """(q, key, score, rank): of `rows` (key, label, vector of `dims`) the best `k` for each of `queries` (q, key, label, vector, low, high), whose q are unique.
 
     Queries meet the rows in parts of about QUERIES_AT_ONCE, each broadcast and then let go; rows stay where they are read. A task grows a tree for every
     TREE_ROWS rows that it reads, carries each query's best from one tree to the next and sends k rows a query at most.
     """
     spark = rows.sparkSession
-    parts = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    parts, tree_rows = max(1, -(-queries.count() // at_dims(QUERIES_AT_ONCE, dims))), at_dims(TREE_ROWS, dims)
     found = []
     for part in range(parts):
         table = queries.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toArrow()
@@ -164,8 +169,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int, same: bool) -> DataFra
             release()
             table = held.value.combine_chunks()
             q, key, label, low, high = (table[c].to_numpy() for c in ("q", "key", "label", "low", "high"))
-            vectors = scaled(table["vector"].combine_chunks(), len(table["vector"][0]), 1)
-            dims, search = vectors.shape[1], None
+            vectors, search = scaled(table["vector"].combine_chunks(), dims, 1), None
             waiting, n = [], 0
 
             def grow() -> None:
@@ -179,10 +183,10 @@ def searched(rows: DataFrame, queries: DataFrame, k: int, same: bool) -> DataFra
                 search.add(Rows(x.astype(search.vectors.dtype), *(np.concatenate([b[c].to_numpy() for b in waiting]) for c in ("key", "label"))))
                 waiting, n = [], 0
 
-            for batch in batches:
+            for batch in (whole.slice(at, tree_rows) for whole in batches for at in range(0, whole.num_rows, tree_rows)):
                 waiting.append(batch)
                 n += batch.num_rows
-                if n >= TREE_ROWS:
+                if n >= tree_rows:
                     grow()
             if n:
                 grow()
@@ -218,13 +222,13 @@ def hard_negatives(
     ints = F.transform("vector", lambda x: F.floor(x.cast("double") * scale).cast("int"))
     rows = checkpointed(kept.filter(F.size("vector") == dims).select(F.coalesce(F.col(key), F.lit(LAST)).alias("key"), "label", ints.alias("vector"), (F.col(key).isNotNull() & F.expr(anchors)).alias("anchor")))
     asked = checkpointed(rows.filter("anchor").select(F.monotonically_increasing_id().alias("q"), "key", "label", "vector", F.lit(LEAST).alias("low"), F.lit(MOST).alias("high")))
-    best = searched(rows, asked, positives, True)
+    best = searched(rows, asked, positives, True, dims)
     p = F.col("positive_score")
     pairs = asked.select("q", F.col("key").alias("anchor_id"), "label", "vector").join(best.select("q", F.col("key").alias("positive_id"), F.col("score").alias("positive_score")), "q")
     pairs = pairs.withColumn("low", F.ceil(F.lit(low) * p / 100).cast("long")).withColumn("high", F.floor(F.lit(high) * p / 100).cast("long"))
     pairs = checkpointed(pairs.withColumn("q", F.monotonically_increasing_id()))
     windows = pairs.filter("low <= high").select("q", F.col("anchor_id").alias("key"), "label", "vector", "low", "high")
-    mined = searched(rows, windows, negatives, False).withColumnsRenamed({"key": "negative_id", "score": "negative_score"})
+    mined = searched(rows, windows, negatives, False, dims).withColumnsRenamed({"key": "negative_id", "score": "negative_score"})
     known = lambda c: F.nullif(F.col(c), F.lit(LAST)).alias(c)
     return pairs.select("q", "anchor_id", "positive_id", "positive_score").join(mined, "q").select("anchor_id", known("positive_id"), "rank", known("negative_id"), "positive_score", "negative_score")
 
