@@ -74,6 +74,7 @@ def test_tiles_agree_with_one_triangulation(spark, monkeypatch):
     whole = scattered.located(qx, qy, x, y, np.cos(m), scattered.triangulated(*scattered.shifted(x, y))[0])
     monkeypatch.setattr(scattered, "TILE_PLACES", 60)
     monkeypatch.setattr(scattered, "LAST_PLACES", 100)
+    monkeypatch.setattr(scattered, "LOT", 50)
     points, field = frames(spark, x, y, np.cos(m), qx, qy)
     got = np.array(values(scattered.interpolated(points, field)))
     held = ~np.isnan(whole)

@@ -23,8 +23,8 @@ TILE_PLACES, LAST_PLACES, MOST_TILES = 1_000, 4_000, 1_000_000
 SHIFT = 1e-6
 #: How far beyond a triangle's edge, in barycentric weights, a point still counts as inside.
 SLACK = 1e-6
-#: Points that are located at once.
-BLOCK = 256
+#: Points that are located at once, and points that one task looks up in a tile at most, about; a tile with more is triangulated by several.
+BLOCK, LOT = 256, 200_000
 
 
 def shifted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def _tile(lat0: float, lon0: float, step: float):
     """What a tile tells: a row (q, m) for each point that a triangle within its halo holds, and a row (lat, lon, m, no q) for each of its own places that has an open triangle."""
 
     def run(key, places: pa.Table, points: pa.Table) -> pa.Table:
-        a, o = (k.as_py() for k in key)
+        a, o, lot = (k.as_py() for k in key)
         x, y, m = (places[c].to_numpy() for c in ("lon", "lat", "m"))
         sx, sy = shifted(x, y)
         triangles, hull = triangulated(sx, sy)
@@ -168,7 +168,7 @@ def _tile(lat0: float, lon0: float, step: float):
         found = ~np.isnan(value)
         open_ = hull.copy()
         open_[triangles[~closed].reshape(-1)] = True
-        own = open_ & (np.floor((y - lat0) / step) == a) & (np.floor((x - lon0) / step) == o)
+        own = open_ & (np.floor((y - lat0) / step) == a) & (np.floor((x - lon0) / step) == o) & (lot == 0)
         n, k = int(found.sum()), int(own.sum())
         nothing = lambda size: np.full(size, np.nan)
         columns = [np.concatenate(c) for c in ((nothing(n), y[own]), (nothing(n), x[own]), (value[found], m[own]))]
@@ -202,13 +202,17 @@ def interpolated(points: DataFrame, field: DataFrame, lat: str = "lat", lon: str
     step = first_step = _tile_step(field, lat0, lon0, lat1 - lat0, lon1 - lon0, n)
     left, open_, found = asked, field, []
     while (count := open_.count()) > LAST_PLACES and step < 2 * max(lat1 - lat0, lon1 - lon0):
-        met = _dealt(open_, lat0, lon0, step).groupBy("a", "o").cogroup(_dealt(left, lat0, lon0, step).groupBy("a", "o"))
+        points_ = _dealt(left, lat0, lon0, step)
+        lots = kept(points_.groupBy("a", "o").agg(F.ceil(F.count("*") / LOT).alias("lots")))
+        places = _dealt(open_, lat0, lon0, step).join(lots, ["a", "o"], "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1).cast("long")) - 1)))
+        points_ = points_.join(lots, ["a", "o"]).withColumn("lot", F.pmod(F.xxhash64("q"), F.col("lots")))
+        met = places.groupBy("a", "o", "lot").cogroup(points_.groupBy("a", "o", "lot"))
         told = kept(met.applyInArrow(_tile(lat0, lon0, step), "q long, lat double, lon double, m double"))
         found.append(told.filter("q IS NOT NULL").groupBy("q").agg(F.min("m").alias("m")))
         left = kept(left.join(found[-1].select("q"), "q", "left_anti"))
         open_ = told.filter("q IS NULL").select("lat", "lon", "m")
         step *= 2
-    if count > 64 * LAST_PLACES:
+    if count > 8 * LAST_PLACES:
         raise ValueError(f"{count} places have open triangles at the scale of the whole field; they are too many to be triangulated together")
     found.append(_located_last(left, open_))
     outside = left.join(found[-1].select("q"), "q", "left_anti")
