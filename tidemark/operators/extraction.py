@@ -151,14 +151,14 @@ def carried(df: DataFrame, by: str, order: str, columns: list[str]) -> DataFrame
 
 
 def sectioned_paragraphs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, n, section, paragraph): blocks of lines between blank lines; lines that begin with # name the section of what follows."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\R")).alias("i", "raw")).withColumn("line", collapse(F.col("raw")))
+    """(key, n, section, paragraph): blocks of lines between blank lines; lines that begin with # name the section of what follows. Each row is a document of its own, whatever its key; its length bounds what one task orders."""
+    lines = df.select(key, text, F.monotonically_increasing_id().alias("_doc")).select(key, "_doc", F.posexplode(F.split(text, r"\R")).alias("i", "raw")).withColumn("line", collapse(F.col("raw")))
     head = F.col("line").startswith("#")
-    w = Window.partitionBy(key).orderBy("i")
+    w = Window.partitionBy("_doc").orderBy("i")
     lines = lines.withColumn("section", F.last(F.when(head, F.nullif(F.regexp_replace("line", "^[# ]+|[# ]+$", ""), F.lit(""))), ignorenulls=True).over(w))
     lines = lines.withColumn("block", F.sum(F.when(head | (F.col("line") == ""), 1).otherwise(0)).over(w)).filter((F.col("line") != "") & ~head)
-    out = lines.groupBy(key, "block").agg(F.first("section").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), " ").alias("paragraph"))
-    return out.select(key, F.row_number().over(Window.partitionBy(key).orderBy("block")).alias("n"), "section", "paragraph")
+    out = lines.groupBy("_doc", "block").agg(F.first(key).alias(key), F.first("section").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), " ").alias("paragraph"))
+    return out.select(key, F.row_number().over(Window.partitionBy("_doc").orderBy("block")).alias("n"), "section", "paragraph")
 
 
 def ranked_dois(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -73,8 +73,8 @@ def clusters(docs: DataFrame, most: int = 16) -> DataFrame:
     elevation = F.when(F.col("kind") == "raised_beach", F.bround(feet * 0.3048, 2)).otherwise(F.bround(-F.coalesce(depth, fathoms), 2))
     found = p.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("elevation_m", elevation)
     first = found.groupBy("source_id", F.substring("paragraph", 1, 200).alias("_t")).agg(F.min_by(F.struct("n", "kind", "elevation_m", "section", "paragraph"), "n").alias("r")).select("source_id", "r.*")
-    kept = first.groupBy("source_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "kind", "elevation_m", "section", "paragraph"))), 1, most).alias("all"))
-    return kept.select("source_id", F.explode("all").alias("c")).select("source_id", "c.*")
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("n", "kind", "elevation_m", "section", "paragraph"))  # tasks pass on `most` rows of a source at most
+    return first.withColumn("_place", place).filter(F.col("_place") <= most).select("source_id", "n", "kind", "elevation_m", "section", "paragraph")
 
 
 def promotable(df: DataFrame) -> DataFrame:
