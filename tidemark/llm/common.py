@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,19 @@ def held(name: str, make):
 def release() -> None:
     """Lets go of what this worker keeps. Tasks of other operators begin with it, so that a reused worker holds the memory of one operator at a time."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that this worker has freed back to the system, which allocators else keep from one task to the next; large arrays go back at once from then on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

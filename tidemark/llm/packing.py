@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, documents, held, release
+from tidemark.llm.common import checkpointed, documents, held, release, trim
 
 #: Tokens, documents and attention cost (sum of squared piece lengths) that a sequence holds at most.
 CAPACITY = (1024, 1024, 1024**2)
@@ -191,6 +191,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = C
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encode = encoder(path)
         for batch in batches:
             for part in blocks(batch, "text", BLOCK):
