@@ -67,12 +67,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def drop_unused(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more; else they stay on the executors' disks until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def require_whole(df: DataFrame, key: str) -> None:
     """An error if the column `key` does not hold whole numbers, which some operators store as 64-bit ones."""
     if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
