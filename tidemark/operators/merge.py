@@ -94,10 +94,13 @@ def fold_duplicates(df: DataFrame, key: str = "id", seq: str = "seq", elevation:
 
 
 def lookup(records: DataFrame, table: DataFrame, record_keys: Sequence[str], table_keys: Sequence[str], seq: str, record_id: str = "id") -> DataFrame:
-    """(record_id, matched_key, row...): the first row of the table, in `seq` order, that shares a key form with a record; the longest shared form is the matched key."""
+    """(record_id, matched_key, row...): the first row of the table, in `seq` order, that shares a key form with a record; the longest shared form is the matched key.
+
+    Only the first row of each form is met: a record's first row is the first of one of its forms, and of every form that both have. So a form that many records and rows share brings no more rows than there are records.
+    """
     forms = lambda df, keys, keep: df.select(*keep, F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(key_variants(F.col(k).cast("string")), F.array().cast("array<string>")) for k in keys))))).alias("_form"))
     left = forms(records, record_keys, [record_id])
-    right = forms(table, table_keys, [seq])
+    right = forms(table, table_keys, [seq]).groupBy("_form").agg(F.min(seq).alias(seq))
     met = left.join(right, "_form").groupBy(record_id, seq).agg(F.max_by("_form", F.struct(F.length("_form"), F.col("_form"))).alias("matched_key"))
     first = met.groupBy(record_id).agg(F.min_by(F.struct(seq, "matched_key"), seq).alias("m")).select(record_id, "m.*")
     return first.join(table, seq)
