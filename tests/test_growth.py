@@ -23,3 +23,21 @@ def test_lookup_meets_the_first_row_of_each_form_only(spark):
     assert sorted((r["id"], r["seq"], r["matched_key"]) for r in got.collect()) == [(1, 0, "07"), (2, 0, "07"), (3, -2, "k1")]
     before_join = _plan(got).split("Optimized Logical Plan")[1].split("Physical Plan")[0]
     assert "min(seq" in before_join
+
+
+def test_inverse_makes_no_row_for_a_pair(spark):
+    """The same as a row for each site and pole, at the edge too, without such rows."""
+    sites = spark.createDataFrame([(1, 10.0, 20.0, -5.0), (1, 10.0, 20.0, -5.0), (2, -45.0, 100.0, 60.0), (3, 20.0, 0.0, 900.0), (5, 3.0, 4.0, None), (6, 1.0, 1.0, 9e9)], "id long, latitude double, longitude double, z_m double")
+    grid = spark.range(1).select(F.explode(geo.steps(0.0, 19, 5.0)).alias("offset_deg")).select("offset_deg", F.explode(geo.steps(0.0, 36, 10.0)).alias("azimuth_deg"))
+    poles = grid.select("*", *(c.alias(n) for c, n in zip(geo.displaced_pole("offset_deg", "azimuth_deg"), ("px", "py", "pz"))))
+    got = fields.inverse(sites, poles, 25.0)
+    want: dict[int, list[float]] = {}
+    for s in sites.collect():
+        v = [math.cos(math.radians(s["latitude"])) * math.cos(math.radians(s["longitude"])), math.cos(math.radians(s["latitude"])) * math.sin(math.radians(s["longitude"])), math.sin(math.radians(s["latitude"]))]
+        for p in poles.collect():
+            if s["z_m"] is not None and abs(round(s["z_m"] + 11_000 * (v[2] ** 2 - (v[0] * p["px"] + v[1] * p["py"] + v[2] * p["pz"]) ** 2), 5)) <= 25:
+                want.setdefault(s["id"], []).append(p["offset_deg"])
+    assert {r["id"]: (r["n"], r["least_offset_deg"], r["most_offset_deg"]) for r in got.collect()} == {k: (len(o), min(o), max(o)) for k, o in want.items()}
+    assert "NestedLoopJoin" not in _plan(got)
+    edge = spark.createDataFrame([(1, 0.0, 0.0, 25.000004), (2, 0.0, 0.0, 25.000005), (3, 0.0, 0.0, -25.000004), (4, 0.0, 0.0, -25.000005)], "id long, latitude double, longitude double, z_m double")
+    assert sorted(r["id"] for r in fields.inverse(edge, poles.filter("offset_deg = 0"), 25.0).collect()) == [1, 3]

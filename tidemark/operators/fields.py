@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidemark.functions import geo
-from tidemark.functions.placing import in_parts
+from tidemark.functions.placing import in_parts, spread
 
+#: Pairs of sites and poles that a task holds at once.
+PAIRS = 1 << 19
 LAT_NAMES = ("lat", "latitude", "y")
 LON_NAMES = ("lon", "longitude", "long", "x")
 VALUE_NAMES = ("m", "mach", "value", "z")
@@ -113,15 +119,43 @@ def preference(records: DataFrame, poles: DataFrame, bulge: float = 11_000.0, si
 
 
 def inverse(sites: DataFrame, poles: DataFrame, within: float, bulge: float = 11_000.0) -> DataFrame:
-    """For each site (id, latitude, longitude, z_m) the poles (offset_deg, px, py, pz) that predict its z up to `within`: id, n, least_offset_deg, most_offset_deg; sites without one are left out.
+    """For each site (id, latitude, longitude, z_m) the poles (offset_deg, px, py, pz) that predict its z up to `within`, both to five digits: id, n, least_offset_deg, most_offset_deg; sites without one are left out.
 
-    The grid, whose size its steps set, is broadcast; a task keeps sums for each of its sites only.
+    The grid, whose size its steps set, is broadcast, in parts if it has over a million poles. Sites are dealt evenly; a task holds a block of sites by poles and sends a row for each site, no pair becomes a row.
     """
+    kind = dict(sites.dtypes)["id"]
+    edge = float(math.floor(Decimal(str(within)) * 100_000) / Decimal(100_000) + Decimal("0.000005"))  # the least size that is over `within` when rounded
     v = geo.unit("latitude", "longitude")
-    weighed = sites.select("id", "z_m", *(c.alias(f"v{i}") for i, c in enumerate(v)))
-    met = reduce(DataFrame.unionByName, (weighed.crossJoin(F.broadcast(p)) for p in in_parts(poles)))
-    miss = F.round(F.col("z_m") - geo.predicted_elevation((F.col("v0"), F.col("v1"), F.col("v2")), (F.col("px"), F.col("py"), F.col("pz")), bulge), 5)
-    return met.filter(F.abs(miss) <= within).groupBy("id").agg(F.count("*").alias("n"), F.min("offset_deg").alias("least_offset_deg"), F.max("offset_deg").alias("most_offset_deg"))
+    weighed = spread(sites.select("id", F.col("z_m").cast("double").alias("z_m"), *(c.alias(f"v{i}") for i, c in enumerate(v))))
+
+    def found(part: DataFrame) -> DataFrame:
+        grid = part.select(*(F.col(c).cast("double") for c in ("offset_deg", "px", "py", "pz"))).sort("offset_deg").toPandas()
+        held = sites.sparkSession.sparkContext.broadcast(tuple(grid[c].to_numpy() for c in grid.columns))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            offset, px, py, pz = held.value
+            size = max(1, PAIRS // max(1, len(offset)))
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    block = batch.slice(at, size)
+                    z, x, y, w = (block[c].to_numpy(zero_copy_only=False)[:, None] for c in ("z_m", "v0", "v1", "v2"))
+                    dot = x * px
+                    dot += y * py
+                    dot += w * pz
+                    dot *= dot
+                    np.subtract(w * w, dot, out=dot)
+                    dot *= -bulge
+                    np.subtract(z, dot, out=dot)
+                    hit = np.abs(dot, out=dot) < edge
+                    n = hit.sum(axis=1)
+                    some = np.flatnonzero(n)
+                    ends = (hit[some].argmax(axis=1), len(offset) - 1 - hit[some, ::-1].argmax(axis=1)) if len(some) else (some, some)
+                    yield pa.RecordBatch.from_arrays([block["id"].take(pa.array(some)), pa.array(n[some].astype(np.int64)), *(pa.array(offset[e]) for e in ends)], names=["id", "n", "least", "most"])
+
+        return weighed.mapInArrow(run, f"id {kind}, n long, least double, most double")
+
+    met = reduce(DataFrame.unionByName, (found(p) for p in in_parts(poles)))
+    return met.groupBy("id").agg(F.sum("n").alias("n"), F.min("least").alias("least_offset_deg"), F.max("most").alias("most_offset_deg"))
 
 
 def correlated(grid: DataFrame, a: str, b: str) -> DataFrame:
