@@ -41,3 +41,32 @@ def test_inverse_makes_no_row_for_a_pair(spark):
     assert "NestedLoopJoin" not in _plan(got)
     edge = spark.createDataFrame([(1, 0.0, 0.0, 25.000004), (2, 0.0, 0.0, 25.000005), (3, 0.0, 0.0, -25.000004), (4, 0.0, 0.0, -25.000005)], "id long, latitude double, longitude double, z_m double")
     assert sorted(r["id"] for r in fields.inverse(edge, poles.filter("offset_deg = 0"), 25.0).collect()) == [1, 3]
+
+
+def test_points_of_paths_are_never_broadcast(spark):
+    """Points exploded from a few axes look small to the planner; joins on them shuffle."""
+    from tidemark.operators import scattered
+
+    field = spark.createDataFrame([(float(a), float(o), float(a * o)) for a in range(-40, 41, 20) for o in range(-80, 81, 40)], "lat double, lon double, m double")
+    axes = spark.range(3).select(F.col("id").alias("axis_id"), (F.col("id") * 20.0).alias("axis_lat"), (F.col("id") * 30.0).alias("axis_lon"))
+    got = scattered.interpolated(fields.sweep(axes, 90.0), field)
+    assert got.count() == 15 and got.filter("m IS NULL").count() == 0
+    executed = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in executed and "BroadcastHashJoin" not in executed
+
+
+def test_points_meet_the_triangles_of_their_cell_only(spark, monkeypatch):
+    """The value at a point is that of the triangle that holds it, however few pairs are held at once."""
+    import numpy as np
+
+    from tidemark.operators import scattered
+
+    r = np.random.default_rng(3)
+    x, y = r.uniform(0, 10, (2, 300))
+    triangles, _ = scattered.triangulated(x, y)
+    q = r.uniform(-1, 11, (2, 2_000))
+    whole = scattered.located(*q, x, y, 2 * x - 3 * y + 1, triangles)
+    monkeypatch.setattr(scattered, "BLOCK", 7)
+    assert np.array_equal(whole, scattered.located(*q, x, y, 2 * x - 3 * y + 1, triangles), equal_nan=True)
+    inside = ~np.isnan(whole)
+    assert 1_000 < inside.sum() < 2_000 and np.allclose(whole[inside], (2 * q[0] - 3 * q[1] + 1)[inside])

@@ -60,10 +60,11 @@ def sweep(axes: DataFrame, step: float = 2.0) -> DataFrame:
     size = F.sqrt(geo.dot(e, e))
     e = tuple(x / size for x in e)
     g = geo.cross(a, e)
-    each = axes.withColumn("theta", F.explode(geo.steps(0.0, n, step)))
+    frame = {f"_{n}{i}": x for n, v in (("e", e), ("g", g)) for i, x in enumerate(v)}
+    each = spread(axes).withColumns(frame).withColumn("theta", F.explode(geo.steps(0.0, n, step)))  # an axis's own vectors are worked out once, before its points are made
     t = F.radians("theta")
-    v = tuple(x * F.cos(t) + y * F.sin(t) for x, y in zip(e, g))
-    return each.withColumns({"lat": geo.latitude(v), "lon": geo.longitude(v)})
+    v = tuple(F.col(f"_e{i}") * F.cos(t) + F.col(f"_g{i}") * F.sin(t) for i in range(3))
+    return each.withColumns({"lat": geo.latitude(v), "lon": geo.longitude(v)}).drop(*frame)
 
 
 def path_metrics(paths: DataFrame, keys: Sequence[str], threshold: float, step: float) -> DataFrame:

@@ -23,8 +23,8 @@ TILE_PLACES, LAST_PLACES, MOST_TILES = 1_000, 4_000, 1_000_000
 SHIFT = 1e-6
 #: How far beyond a triangle's edge, in barycentric weights, a point still counts as inside.
 SLACK = 1e-6
-#: Points that are located at once, and points that one task looks up in a tile at most, about; a tile with more is triangulated by several.
-BLOCK, LOT = 256, 200_000
+#: Pairs of points and triangles that are held at once, and points that one task looks up in a tile at most, about; a tile with more is triangulated by several.
+BLOCK, LOT = 1 << 20, 200_000
 
 
 def shifted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,26 +119,63 @@ def circles(x: np.ndarray, y: np.ndarray, triangles: np.ndarray) -> tuple[np.nda
     return x[a] + ux, y[a] + uy, np.hypot(ux, uy)
 
 
+def _listed(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value): the whole numbers from first to last of each row, in order."""
+    n = last - first + 1
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+
+
 def located(qx: np.ndarray, qy: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray, triangles: np.ndarray) -> np.ndarray:
-    """The interpolated value at each query point, from the triangle that holds it; nan where none does."""
+    """The interpolated value at each query point, from the triangle that holds it; nan where none does.
+
+    Triangles are listed in the cells of a grid that they reach into, about two for each cell, and a point meets those of its own cell only.
+    """
     out = np.full(len(qx), np.nan)
-    if not len(triangles):
-        return out
     a, b, c = triangles.T
     bx, by, cx, cy = x[b] - x[a], y[b] - y[a], x[c] - x[a], y[c] - y[a]
     area = bx * cy - by * cx
-    flat = np.abs(area) < 1e-9
-    area[flat] = 1.0
-    for at in range(0, len(qx), BLOCK):
-        dx, dy = qx[at : at + BLOCK, None] - x[a], qy[at : at + BLOCK, None] - y[a]
-        v, w = (dx * cy - dy * cx) / area, (dy * bx - dx * by) / area
+    some = np.abs(area) >= 1e-9
+    a, b, c, bx, by, cx, cy, area = (v[some] for v in (a, b, c, bx, by, cx, cy, area))
+    if not len(a) or not len(qx):
+        return out
+    ends = []
+    for v in (x, y):
+        low, high = np.minimum(np.minimum(v[a], v[b]), v[c]), np.maximum(np.maximum(v[a], v[b]), v[c])
+        reach = 4 * SLACK * (high - low) + 1e-12
+        ends.append((low - reach, high + reach))
+    side = max(1, int(np.sqrt(len(a) / 2)))
+    cells = []
+    for low, high in ends:
+        start, step = low.min(), max((high.max() - low.min()) / side, 1e-12)
+        cells.append(lambda v, start=start, step=step: np.clip(np.floor((v - start) / step), 0, side - 1).astype(np.int64))
+    row, column = _listed(cells[0](ends[0][0]), cells[0](ends[0][1]))
+    at, line = _listed(cells[1](ends[1][0])[row], cells[1](ends[1][1])[row])
+    cell, triangle = column[at] * side + line, row[at]
+    order = np.argsort(cell, kind="stable")  # of equally good triangles the first still counts
+    triangle = triangle[order]
+    start = np.searchsorted(cell[order], np.arange(side * side + 1))
+    own = cells[0](qx) * side + cells[1](qy)
+    n = (start[1:] - start[:-1])[own]
+    asked = np.flatnonzero(n)
+    upto = np.cumsum(n[asked])
+    at = 0
+    while at < len(asked):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+        q = asked[at:to]
+        point, k = _listed(start[own[q]], start[own[q] + 1] - 1)
+        t = triangle[k]
+        dx, dy = qx[q[point]] - x[a[t]], qy[q[point]] - y[a[t]]
+        v, w = (dx * cy[t] - dy * cx[t]) / area[t], (dy * bx[t] - dx * by[t]) / area[t]
         least = np.minimum(np.minimum(v, w), 1 - v - w)
-        least[:, flat] = -np.inf
-        best = least.argmax(axis=1)
-        rows = np.arange(len(best))
-        v, w = v[rows, best], w[rows, best]
-        value = (1 - v - w) * m[a[best]] + v * m[b[best]] + w * m[c[best]]
-        out[at : at + BLOCK] = np.where(least[rows, best] >= -SLACK, value, np.nan)
+        heads = np.cumsum(n[q]) - n[q]
+        most = np.maximum.reduceat(least, heads)
+        tied = np.flatnonzero(least == most[point])
+        best = tied[np.searchsorted(tied, heads)]
+        v, w, t = v[best], w[best], t[best]
+        value = (1 - v - w) * m[a[t]] + v * m[b[t]] + w * m[c[t]]
+        out[q] = np.where(most >= -SLACK, value, np.nan)
+        at = to
     return out
 
 
@@ -188,6 +225,11 @@ def _tile_step(field: DataFrame, lat0: float, lon0: float, height: float, width:
         step /= 2
 
 
+def _met(points: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by a shuffle of both sides: points that were exploded from few rows look small to the planner, which would send all of them to the driver to broadcast them."""
+    return points.hint("merge").join(other.hint("merge"), on, how)
+
+
 def interpolated(points: DataFrame, field: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """`points` with `m`: the value of `field` (lat, lon, m; places are unique) on its triangulation, beyond its hull that of the nearest place, of equally near ones the first by latitude and longitude.
 
@@ -205,23 +247,23 @@ def interpolated(points: DataFrame, field: DataFrame, lat: str = "lat", lon: str
         points_ = _dealt(left, lat0, lon0, step)
         lots = kept(points_.groupBy("a", "o").agg(F.ceil(F.count("*") / LOT).alias("lots")))
         places = _dealt(open_, lat0, lon0, step).join(lots, ["a", "o"], "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1).cast("long")) - 1)))
-        points_ = points_.join(lots, ["a", "o"]).withColumn("lot", F.pmod(F.xxhash64("q"), F.col("lots")))
+        points_ = _met(points_, lots, ["a", "o"]).withColumn("lot", F.pmod(F.xxhash64("q"), F.col("lots")))
         met = places.groupBy("a", "o", "lot").cogroup(points_.groupBy("a", "o", "lot"))
         told = kept(met.applyInArrow(_tile(lat0, lon0, step), "q long, lat double, lon double, m double"))
         found.append(told.filter("q IS NOT NULL").groupBy("q").agg(F.min("m").alias("m")))
-        left = kept(left.join(found[-1].select("q"), "q", "left_anti"))
+        left = kept(_met(left, found[-1].select("q"), "q", "left_anti"))
         open_ = told.filter("q IS NULL").select("lat", "lon", "m")
         step *= 2
     if count > 8 * LAST_PLACES:
         raise ValueError(f"{count} places have open triangles at the scale of the whole field; they are too many to be triangulated together")
     found.append(_located_last(left, open_))
-    outside = left.join(found[-1].select("q"), "q", "left_anti")
+    outside = _met(left, found[-1].select("q"), "q", "left_anti")
     found.append(nearest(outside, field, lat0, lon0, first_step))
     values = found[0]
     for more in found[1:]:
         values = values.unionByName(more)
-    placed = asked.join(values, "q").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "m")
-    return points.join(placed, (F.col(lat).cast("double") == F.col("_lat")) & (F.col(lon).cast("double") == F.col("_lon")), "left").drop("_lat", "_lon")
+    placed = _met(asked, values, "q").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "m")
+    return _met(points, placed, (F.col(lat).cast("double") == F.col("_lat")) & (F.col(lon).cast("double") == F.col("_lon")), "left").drop("_lat", "_lon")
 
 
 def _located_last(left: DataFrame, open_: DataFrame) -> DataFrame:
@@ -265,7 +307,7 @@ def nearest(points: DataFrame, field: DataFrame, lat0: float, lon0: float, step:
                 rows.append(pd.DataFrame({"q": part["q"].to_numpy()[i], "qlat": part["lat"].to_numpy()[i], "qlon": part["lon"].to_numpy()[i], "a": t["a"].to_numpy()[j], "o": t["o"].to_numpy()[j]}))
             yield pd.concat(rows) if rows else pd.DataFrame({"q": [], "qlat": [], "qlon": [], "a": [], "o": []})
 
-    met = points.mapInPandas(run, "q long, qlat double, qlon double, a long, o long").join(tiled, ["a", "o"])
+    met = _met(points.mapInPandas(run, "q long, qlat double, qlon double, a long, o long"), tiled, ["a", "o"])
     gap = (F.col("qlat") - F.col("lat")) * (F.col("qlat") - F.col("lat")) + (F.col("qlon") - F.col("lon")) * (F.col("qlon") - F.col("lon"))
     return met.groupBy("q").agg(F.min_by("m", F.struct(gap, "lat", "lon")).alias("m"))
 
