@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.functions.placing import kept, numbered, running
+from tidemark.functions.placing import kept, numbered, running, spread
 
 
 def draw(seed: str, *parts) -> Column:
@@ -140,8 +140,8 @@ def p_greater(null: Column, observed: Column) -> Column:
 
 
 def one_per_group(df: DataFrame, by: Sequence[str], key: str, reps: int, seed: str) -> DataFrame:
-    """For rep 1..reps a random row of each group: the one of the least draw, an aggregate without sorting."""
-    each = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    """For rep 1..reps a random row of each group: the one of the least draw. Rows are dealt evenly before they are repeated, so that a task repeats and sorts its share only."""
+    each = spread(df).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     least = F.min_by(F.struct(*df.columns), F.struct(draw(seed, F.col("rep"), F.col(key)), F.col(key)))
     return each.groupBy("rep", *by).agg(least.alias("r")).select("rep", "r.*")
 
@@ -165,7 +165,7 @@ def bootstrap_groups(df: DataFrame, by: str, reps: int, seed: str) -> DataFrame:
 
 def matched_axes(candidates: DataFrame, key: str, each: int, seed: str) -> DataFrame:
     """For every candidate `each` axes drawn evenly from the sphere, with the candidate's columns and `j`, the draw: axis_lat, axis_lon."""
-    rows = candidates.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long"))))
+    rows = spread(candidates).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long"))))
     n = F.col(key) * each + F.col("j")
     lat = F.degrees(F.asin(2 * uniform(draw(f"{seed}lat", n)) - 1))
     return rows.withColumns({"axis_lat": lat, "axis_lon": 360 * uniform(draw(f"{seed}lon", n)) - 180})
