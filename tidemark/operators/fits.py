@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.functions.placing import in_parts, kept
+from tidemark.functions.placing import in_parts, kept, spread
 from tidemark.operators.statistics import spearman
 
 
@@ -317,7 +317,7 @@ def rotation_scores(df: DataFrame, fitted: DataFrame, z: str = "z_m") -> DataFra
     c = fitted.withColumns({f"p{i}": p for i, p in enumerate(pole)} | {"rotated_pole_lat": geo.latitude(pole), "rotated_pole_lon": geo.longitude(pole)})
     v = geo.unit("latitude", "longitude")
     terms = {k: t for k, t in harmonic_terms(2).items() if k not in ("x", "y", "z")}
-    rows = df.select(*(x.alias(f"v{i}") for i, x in enumerate(v)), *(t.alias(f"t_{k}") for k, t in terms.items()), F.col(z).alias("obs"))
+    rows = kept(spread(df.select("latitude", "longitude", F.col(z).alias("obs"))).select(*(x.alias(f"v{i}") for i, x in enumerate(v)), *(t.alias(f"t_{k}") for k, t in terms.items()), "obs"))
     dot = sum(F.col(f"v{i}") * F.col(f"p{i}") for i in range(3))
     anomaly = dot * dot - F.col("v2") * F.col("v2")
     scales = rows.crossJoin(F.broadcast(c.select(*CANDIDATE, "p0", "p1", "p2"))).groupBy(*CANDIDATE).agg(F.greatest(F.stddev_pop(anomaly), F.lit(1e-6)).alias("scale"))
