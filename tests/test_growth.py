@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.operators import fields, merge
+from tidemark.operators import fields, merge, tables
+from tidemark.plans.mining import table_items
 
 
 def _plan(df) -> str:
@@ -70,3 +71,9 @@ def test_points_meet_the_triangles_of_their_cell_only(spark, monkeypatch):
     assert np.array_equal(whole, scattered.located(*q, x, y, 2 * x - 3 * y + 1, triangles), equal_nan=True)
     inside = ~np.isnan(whole)
     assert 1_000 < inside.sum() < 2_000 and np.allclose(whole[inside], (2 * q[0] - 3 * q[1] + 1)[inside])
+
+
+def test_pages_of_tables_are_read_once(spark, sf):
+    """No kind of table reads the pages again: the mined records' plan splits none."""
+    plan = tables.mined(*table_items(spark, sf), specimen_sources=["whales"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
