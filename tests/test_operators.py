@@ -434,3 +434,14 @@ def test_large_grids_are_broadcast_in_parts(points, monkeypatch):
     monkeypatch.setattr(placing, "MOST_BROADCAST", 40)
     got = sorted(tuple(r) for r in fits.plane_rescan(df, 22.0).collect())
     assert len(got) == len(want) == 9 * 16 and np.allclose(np.array(got, dtype=float), np.array(want, dtype=float), equal_nan=True)
+
+
+def test_all_clusters_of_a_document_are_kept(spark):
+    """Forty paragraphs are forty clusters, also those whose first 200 characters are alike; a text that comes twice is one."""
+    from tidemark.operators import interpret as it
+
+    same = "The terrace was surveyed in detail " * 8
+    paragraphs = [f"{same}and has a water depth of {10 + i} m." for i in range(40)]
+    docs = spark.createDataFrame([("a", "\n\n".join([*paragraphs, paragraphs[3]])), ("b", paragraphs[3])], "source_id string, text string")
+    got = it.clusters(docs).collect()
+    assert sorted((r["source_id"], r["n"], r["elevation_m"]) for r in got) == [("a", i + 1, -10.0 - i) for i in range(40)] + [("b", 1, -13.0)]
