@@ -150,3 +150,16 @@ def test_equal_headers_keep_the_last_cell(spark):
     html = "<table><tr><td>A</td><td>B</td><td>a</td></tr><tr><td>1</td><td>2</td><td>3</td><td>4</td></tr><tr><td>5</td></tr></table>"
     got = {r["row"]: r["cells"] for r in extraction.table_records(spark.createDataFrame([(1, html)], "id long, html string"), "id").collect()}
     assert got == {1: {"a": "3", "b": "2"}, 2: {"a": "5"}}
+
+
+def test_coordinates_and_indicators_far_in_a_text_count(spark):
+    """A document and a page block whose coordinates, indicator and age stand beyond the first 40 000 characters give records."""
+    far = "x y z " * 7000 + "\n\nA raised beach at 10.5000, 20.2500 with a water depth of 12 m, 9,250 years B.P."
+    d = spark.createDataFrame([("s1", "Report", far), ("s2", "Report", "Permian conodont beds " + "x " * 3000 + "Holocene table"), ("s3", "Report", "none")], "source_id string, title string, text string")
+    blocks = spark.createDataFrame([("s3", 1, "map", "Map 1", far)], "source_id string, page int, source string, cue string, text string")
+    items = spark.createDataFrame([], "source_id string, table_no int, caption string, html string")
+    answers = spark.createDataFrame([("s2", "m1", 1.0, 2.0)], "source_id string, sample_id string, latitude double, longitude double")
+    out = documents.interpreted(d, blocks, items, answers)
+    got = sorted((r["source_id"], r["stage"], r["indicator_type"], r["latitude"], r["age_ka"]) for r in out.records.filter("stage <> 'narrative'").collect())
+    assert got == [("s1", "document", "raised_beach", 10.5, 9.25), ("s2", "model", None, 1.0, None), ("s3", "page_block", "raised_beach", 10.5, 9.25)]
+    assert out.unresolved.count() == 0
