@@ -71,3 +71,27 @@ def test_chains_and_odd_tables(spark):
     assert unique.not_seen(chain, chain).count() == 0 and unique.not_seen(chain, chain.limit(0)).count() == 12
     alone = chain.drop("id", "location_name")
     assert unique.not_seen(alone, chain.filter("seq = 0").drop("id")).count() == 10
+
+
+def test_ranges_of_the_order_give_the_same_and_leave_no_tables(spark, monkeypatch):
+    """Candidates that go through rounds a few at a time are held against all that was taken before; of the tables of the rounds only the result's stays in the shared folder."""
+    import glob
+
+    from tidemark.functions import placing
+
+    rng = random.Random(5)
+    old, new = observations(rng, 5, 10_000), observations(rng, 60)
+    e, c = spark.createDataFrame(old, SCHEMA), spark.createDataFrame(rng.sample(new, len(new)), SCHEMA)
+    names = [x.split()[0].strip("`") for x in SCHEMA.split(", ")]
+    there, want = [dict(zip(names, r)) for r in old], []
+    for r in (dict(zip(names, r)) for r in new):
+        if not any(same(r, x) for x in there):
+            there.append(r)
+            want.append(r["seq"])
+    folder = placing.shared_dir(spark).removeprefix("file:")
+    before = len(glob.glob(f"{folder}/unique-*"))
+    for together, rounds in ((25, 4), (1 << 22, 32)):
+        monkeypatch.setattr(unique, "TOGETHER", together)
+        monkeypatch.setattr(unique, "MOST_ROUNDS", rounds)
+        assert sorted(r["seq"] for r in unique.semantically_unique(c, e).collect()) == want
+    assert len(glob.glob(f"{folder}/unique-*")) == before + 2
